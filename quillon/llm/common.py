@@ -53,3 +53,19 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that an id set may have to be broadcast; larger ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that aren't in ``removed`` (a written table of doc_id and text_hash, xxhash64 of the text).
+
+    Null ids and null texts equal themselves. Columns stay as they are.
+    """
+    gone = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    if removed.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")

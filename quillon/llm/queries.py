@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sharding
+from . import decontamination, packing, quality_rules, sharding
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -21,8 +25,8 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op9_host_quality_rules, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_benchmark_decontamination, op9_host_quality_rules, op10_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_host_quality_rules": quality_rules.ORACLE, "op10_hash_tree_sharding": sharding.oracle()}
+    return {"op3_benchmark_decontamination": decontamination.ORACLE, "op9_host_quality_rules": quality_rules.ORACLE, "op10_hash_tree_sharding": sharding.oracle()}
