@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, packing, quality_rules, sharding, simhash, warc
+from . import chat, decontamination, html_text, packing, quality_rules, sharding, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_duplicates, op6_warc_round_trip, op7_chat_formatting, op9_host_quality_rules, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_benchmark_decontamination, op4_html_main_text, op5_simhash_near_duplicates, op6_warc_round_trip, op7_chat_formatting, op9_host_quality_rules, op10_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
