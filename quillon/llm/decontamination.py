@@ -22,8 +22,8 @@ from .common import ascii_lower, let, without, written
 WINDOW = 10
 #: What is not a word: everything in ASCII but digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the prefilter: 512 KB in all.
-BITS = 1 << 22
+#: Bits of the prefilter: 128 KB in all.
+BITS = 1 << 20
 #: Windows up to this many are broadcast for the verification; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -59,9 +59,9 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text", doc_i
     """doc_id, text_hash, n_words, n_hit, items (sorted ids): a row for each row of docs. windows: a written table."""
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
     keys = windows.select(F.xxhash64("words").alias("h")).union(windows.filter("n > 1").select(F.expr("xxhash64(words[0], words[1])").alias("h"))).union(windows.filter("n = 1").select(F.expr("xxhash64(words[0])").alias("h")))
-    bits = _bits(keys)
+    table = _bits(keys)  # one constant of the plan, bound once
 
-    def candidates(w: Column) -> Column:
+    def candidates(w: Column, bits: Column) -> Column:
         n = F.size(w)
 
         def starts(i: Column) -> Column:
@@ -82,7 +82,7 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text", doc_i
 
     words = words_of(F.col(text))
     none = F.struct(F.size(words).cast("long").alias("n_words"), F.array().cast("array<struct<i:int,k:int,g:string>>").alias("hits"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), (let(words, candidates) if lengths else none).alias("c"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), (let(table, lambda bits: let(words, lambda w: candidates(w, bits))) if lengths else none).alias("c"))
     spread = rows.select("rid", "doc_id", "text_hash", "c.n_words", F.explode_outer("c.hits").alias("hit"))
     known = windows.select(F.col("gram"), F.col("items"))
     if windows.count() <= BROADCAST_WINDOWS:
