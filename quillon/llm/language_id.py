@@ -52,49 +52,67 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 def script(word: str) -> str:
     """Of a word, by its first letter."""
+    if word[0] < "\u0370":
+        return "Latin"
     i = bisect_right(_STARTS, ord(word[0])) - 1
     return SCRIPTS[max(i, 0)][1]
 
 
+class _Grams(dict):
+    """Row of a trigram in the score table; one that was never seen has its last two letters' row, or the neutral row 0."""
+
+    def __missing__(self, gram: str) -> int:
+        row = self[gram] = self.get(gram[1:], 0) if len(gram) == 3 else 0
+        return row
+
+
 class Model:
     """Character model of each language and the scripts it is written in."""
 
     def __init__(self, counts: dict[str, Counter]):
         self.languages = sorted(counts, key=lambda k: (-sum(counts[k].values()), k))
         self.scripts: dict[str, list[int]] = defaultdict(list)
-        letters, context, smooth = [], [], set()
+        tri, two, one = ([Counter() for _ in self.languages] for _ in range(3))
         for k, language in enumerate(self.languages):
-            by_script, tri, two = Counter(), Counter(), Counter()
+            by_script = Counter()
             for word, n in counts[language].items():
                 by_script[script(word)] += n
                 w, n = f"  {word} ", 1 + math.log(n)
                 for i in range(2, len(w)):
-                    tri[w[i - 2 : i + 1]] += n
-                    two[w[i - 2 : i]] += n
-                    tri[w[i - 1 : i + 1]] += n
-                    two[w[i - 1]] += n
-                smooth.update(w)
+                    tri[k][w[i - 2 : i + 1]] += n
+                    two[k][w[i - 1 : i + 1]] += n
+                    one[k][w[i - 1]] += n
             for s, n in by_script.items():
                 if n >= SCRIPT_SHARE * sum(by_script.values()):
                     self.scripts[s].append(k)
-            letters.append(dict(tri))
-            context.append(dict(two))
-        self.tri, self.two, self.alphabet = letters, context, max(2, len(smooth))
-
-    def scores(self, word: str) -> np.ndarray | None:
-        """Nats for each language below the best one, at most WORD_LIMIT; None if none is written in the script."""
-        able = self.scripts.get(script(word))
-        if not able:
-            return None
-        out = np.full(len(self.languages), -np.inf)
-        w = f"  {word[:WORD_LETTERS]} "
-        for k in able:
-            tri, two, total = self.tri[k], self.two[k], 0.0
-            for i in range(2, len(w)):
-                one = (tri.get(w[i - 1 : i + 1], 0) + 0.5) / (two.get(w[i - 1], 0) + 0.5 * self.alphabet)
-                total += math.log((tri.get(w[i - 2 : i + 1], 0) + 4 * one) / (two.get(w[i - 2 : i], 0) + 4))
-            out[k] = total
-        return np.maximum(out - out.max(), -WORD_LIMIT)
+        alphabet = max(2, len({c for x in one for c in x}))
+        self.rows, table = _Grams(), [[0.0] * len(self.languages)]
+        pair = lambda k, g: (two[k].get(g, 0) + 0.5) / (one[k].get(g[0], 0) + 0.5 * alphabet)
+        context = [Counter() for _ in self.languages]
+        for k, grams in enumerate(tri):
+            for g, n in grams.items():
+                context[k][g[:2]] += n
+        for g in sorted({g for x in two for g in x}):
+            self.rows[g] = len(table)
+            table.append([math.log(pair(k, g)) for k in range(len(self.languages))])
+        for g in sorted({g for x in tri for g in x}):
+            self.rows[g] = len(table)
+            table.append([math.log((tri[k].get(g, 0) + 4 * pair(k, g[1:])) / (context[k].get(g[:2], 0) + 4)) for k in range(len(self.languages))])
+        self.table = np.array(table)
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Nats of each language below the best one for each word, at most WORD_LIMIT; and whether any is written in its script."""
+        padded, rows = [f"  {w[:WORD_LETTERS]} " for w in words], self.rows
+        flat = self.table[[rows[w[i : i + 3]] for w in padded for i in range(len(w) - 2)]]
+        sizes = np.fromiter(map(len, padded), np.int64, len(padded)) - 2
+        out = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+        scripts = list(map(script, words))
+        able = {s: np.isin(np.arange(len(self.languages)), self.scripts.get(s, [])) for s in set(scripts)}
+        allowed = np.array([able[s] for s in scripts])
+        out[~allowed] = -np.inf
+        voting = allowed.any(axis=1)
+        out[~voting] = 0
+        return np.maximum(out - out.max(axis=1, keepdims=True), -WORD_LIMIT), voting
 
 
 def spans(emissions: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -139,33 +157,33 @@ def spans(emissions: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarra
 
 class Labeller:
     def __init__(self, model: Model):
-        self.model, self.index, self.table = model, {}, []
-
-    def _known(self, words: list[str]) -> list[int]:
-        got = list(map(self.index.get, words))
-        for j, i in enumerate(got):
-            if i is None:
-                w = words[j]
-                if w not in self.index:
-                    s = self.model.scores(w)
-                    self.index[w] = -1 if s is None else len(self.table)
-                    if s is not None:
-                        self.table.append(s)
-                got[j] = self.index[w]
-        return got
+        self.model, self.index, self.table = model, {}, np.zeros((0, len(model.languages)))
+
+    def _known(self, found: list[list[str]]) -> list[np.ndarray]:
+        """Rows of each text's words in self.table; -1: doesn't vote."""
+        if len(self.index) > CACHED_WORDS:
+            self.index, self.table = {}, self.table[:0]
+        index = self.index
+        new = list({w for words in found for w in words if w not in index})
+        if new:
+            scores, voting = self.model.scores(new)
+            at = np.where(voting, len(self.table) + np.arange(len(new)), -1)
+            index.update(zip(new, at.tolist(), strict=True))
+            self.table = np.concatenate((self.table, scores))
+        return [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in found]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int]]]]:
         """(prediction, its share of the letters, spans (language, words)) of each text."""
         found = [_WORDS.findall(t.lower()) if t else [] for t in texts]
-        if len(self.index) > CACHED_WORDS:
-            self.index, self.table = {}, []
-        known = [np.array(self._known(words), np.int64) for words in found]
-        table = np.array(self.table).reshape(-1, max(1, len(self.model.languages)))
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0, [])] * len(texts)
+        known, out = self._known(found), []
+        table = self.table
         voting = [table[ids[ids >= 0]] for ids in known]
         letters = [np.fromiter(map(len, words), np.int64, len(words))[ids >= 0] for words, ids in zip(found, known, strict=True)]
-        paths, out = spans(voting), []
+        paths = spans(voting)
         for words, path, n in zip(found, paths, letters, strict=True):
-            if not words or not self.model.languages:
+            if not words:
                 out.append((UNDETERMINED, 0.0, []))
                 continue
             if not len(path):

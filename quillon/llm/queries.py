@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html_text, packing, quality_rules, sharding, simhash, warc
+from . import chat, decontamination, html_text, language_id, packing, quality_rules, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +40,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(messages.union(hostile)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -44,7 +54,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_benchmark_decontamination, op4_html_main_text, op5_simhash_near_duplicates, op6_warc_round_trip, op7_chat_formatting, op9_host_quality_rules, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_benchmark_decontamination, op4_html_main_text, op5_simhash_near_duplicates, op6_warc_round_trip, op7_chat_formatting, op8_toxicity, op9_host_quality_rules, op10_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
