@@ -140,3 +140,103 @@ def structure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql(f"SELECT {BAR}, last_type AS type, {r('last_level')}, (pos - last_index)::BIGINT AS bars_ago FROM h_st"))
 def last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar(_structure(spark, sf_dir), F.col("last_event.type").alias("type"), F.round("last_event.level", 6).alias("last_level"), (F.col("pos") - F.col("last_event.index")).cast("long").alias("bars_ago"))
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import described
+
+    return described(tables.bars_1h(spark, sf_dir), "1h")
+
+
+def _higher(name: str, base, rule: str) -> None:
+    from ..operators.resample import resample
+
+    block = {"1D": "day", "1W": "week", "1ME": "month"}[rule]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = resample(base(spark, sf_dir), rule)
+        return bar(df, stamp(F.col("ts")).alias("ts"), stamp(F.col("period_end")).alias("period_end"), *rounded("open", "high", "low", "close", "volume"))
+
+    run.__name__ = name
+    query(sql(f"SELECT {BAR}, {T}, strftime(period_end, '%Y-%m-%d %H:%M:%S') AS period_end, {r('open', 'high', 'low', 'close', 'volume')} FROM {block}"))(run)
+
+
+_higher("bars_htf_1d", tables.bars_1h, "1D")
+_higher("bars_htf_1w", tables.bars_1d, "1W")
+_higher("bars_htf_1m", tables.bars_1d, "1ME")
+
+
+@query(sql(f"""SELECT a.symbol, a.pos::BIGINT AS pos, (x.pos + 1)::BIGINT AS bars_available, strftime(x.ts, '%Y-%m-%d %H:%M:%S') AS as_of, x.trend, x.bias, round(x.close, 4) AS close, x.last_type AS last_event
+    FROM htf_at a LEFT JOIN dd_st x ON x.symbol = a.symbol AND x.pos = a.hpos"""))
+def htf_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.resample import closed_period, higher_timeframe
+
+    bars = tables.bars_1h(spark, sf_dir)
+    h = F.col("htf")
+    return bar(closed_period(bars, higher_timeframe(bars, "1h")), h.bars_available.cast("long").alias("bars_available"), stamp(h.as_of).alias("as_of"), h.trend.alias("trend"), h.bias.alias("bias"), h.close.alias("close"), h.last_event.type.alias("last_event"))
+
+
+@query(sql(f"SELECT {BAR}, id::BIGINT AS id, side, touches::BIGINT AS touches, i0::BIGINT AS first_index, i1::BIGINT AS last_index, {r('price')}, round((price - close) / atr, 6) AS distance_atr FROM lv"))
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bar(_described(spark, sf_dir), F.posexplode("levels").alias("id", "v"))
+    long = lambda c: F.col(f"v.{c}").cast("long").alias(c)
+    return df.select("symbol", "pos", F.col("id").cast("long").alias("id"), "v.side", long("touches"), long("first_index"), long("last_index"), F.round("v.price", 6).alias("price"), F.round("v.distance_atr", 6).alias("distance_atr"))
+
+
+@query(sql(f"SELECT {BAR}, rule AS name, direction, round(trig, 4) AS trigger_level, round(inval, 4) AS invalidation_level FROM verdicts WHERE met = total"))
+def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bar(_described(spark, sf_dir), F.explode("setups").alias("s"))
+    return df.select("symbol", "pos", "s.name", "s.direction", "s.trigger_level", "s.invalidation_level")
+
+
+@query(sql(f"SELECT {BAR}, rule || ': ' || met || '/' || total || ' met, missing ' || missing AS near_miss FROM verdicts WHERE met < total AND met / total >= 0.66"))
+def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bar(_described(spark, sf_dir), F.explode("near_miss_setups").alias("near_miss"))
+
+
+@query(sql(f"""SELECT {BAR}, list_aggregate(list_transform(w, lambda x: x.c), 'sum').round(2) AS sum_close, len(w)::BIGINT AS candles, strftime(w[1].t, '%Y-%m-%d %H:%M:%S') AS first_ts
+    FROM (SELECT symbol, pos, list({{'t': ts, 'c': close}}) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS w FROM bars_1h)"""))
+def candle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.scalar import trailing
+
+    w = F.collect_list(F.struct("ts", "close")).over(trailing(60))
+    df = bar(tables.bars_1h(spark, sf_dir).withColumn("w", w), "w")
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x.close)
+    return df.select("symbol", "pos", F.round(total, 2).alias("sum_close"), F.size("w").cast("long").alias("candles"), stamp(F.get("w", F.lit(0)).ts).alias("first_ts"))
+
+
+@query(sql(f"""SELECT symbol, pos::BIGINT AS pos, string_agg(kind || ':' || label || '@' || i, ',' ORDER BY i, kind) AS swings FROM
+    (SELECT b.symbol, b.pos, s.kind, s.label, s."index" AS i FROM bars_1h b JOIN h_swings s ON s.symbol = b.symbol AND s.confirmed_index <= b.pos
+     QUALIFY row_number() OVER (PARTITION BY b.symbol, b.pos ORDER BY s.confirmed_index DESC, s.kind DESC) <= 8) GROUP BY symbol, pos"""))
+def recent_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.levels import known_swings
+
+    df = bar(known_swings(_structure(spark, sf_dir)), F.expr("slice(known, greatest(size(known) - 7, 1), 8)").alias("s")).filter(F.size("s") > 0)
+    keyed = F.sort_array(F.transform("s", lambda x: F.struct(x["index"].alias("i"), x.kind.alias("k"), x.label.alias("l"))))
+    return df.select("symbol", "pos", F.array_join(F.transform(keyed, lambda x: F.concat(x.k, F.lit(":"), x.l, F.lit("@"), x.i.cast("string"))), ",").alias("swings"))
+
+
+@query(sql(f"""SELECT s.symbol, s.pos::BIGINT AS pos, trend, bias, vol_regime, trend_regime, round(close, 4) AS close, round(rsi, 2) AS rsi, round(atr, 4) AS atr, round(atr_percentile, 4) AS atr_percentile,
+    round(efficiency, 4) AS efficiency_ratio, coalesce(n_setups, 0)::BIGINT AS n_setups, coalesce(n_levels, 0)::BIGINT AS n_levels
+    FROM facts s LEFT JOIN (SELECT symbol, pos, count(*) AS n_setups FROM verdicts WHERE met = total GROUP BY ALL) USING (symbol, pos) LEFT JOIN (SELECT symbol, pos, count(*) AS n_levels FROM lv GROUP BY ALL) USING (symbol, pos)"""))
+def context_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _described(spark, sf_dir)
+    size = lambda c: F.size(c).cast("long")
+    return bar(df, "trend", "bias", "vol_regime", "trend_regime", *rounded("close", digits=4), *rounded("rsi", digits=2), *rounded("atr", "atr_percentile", digits=4), F.round("efficiency", 4).alias("efficiency_ratio"), size("setups").alias("n_setups"), size("levels").alias("n_levels"))
+
+
+@query(None)
+def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested document, as JSON, of 20 evenly strided bars of each series: the context command's own sample."""
+    from ..operators.context import context_json, contexts, strided
+
+    bars = tables.bars_1h(spark, sf_dir)
+    return bar(context_json(contexts(bars, "1h", strided(bars, 20))), "context")
+
+
+@query(sql("""SELECT symbol, pos::BIGINT AS pos FROM (SELECT symbol, pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars_1h)
+    WHERE pos >= least(200, n - 1) AND (pos - least(200, n - 1)) % greatest(1, (n - least(200, n - 1)) // 20) = 0 AND (pos - least(200, n - 1)) / greatest(1, (n - least(200, n - 1)) // 20) < 20"""))
+def strided_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import strided
+
+    return bar(strided(tables.bars_1h(spark, sf_dir), 20))

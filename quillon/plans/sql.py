@@ -103,3 +103,45 @@ def sql(select: str, **own: str) -> str:
     if not order:
         return select
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({blocks[name]})" for name in order) + "\n" + select
+
+# Levels: the clusters of every bar, one swing at a time in ascending order of price.
+BLOCKS |= {
+    "lv_in": """SELECT b.symbol, b.pos, b.close, b.atr, s.price, s."index" AS i, row_number() OVER (PARTITION BY b.symbol, b.pos ORDER BY s.price, s."index", s.kind) AS rn
+        FROM h_ind b JOIN h_swings s ON s.symbol = b.symbol AND s.confirmed_index <= b.pos WHERE b.atr > 0""",
+    "lv_fold": """SELECT symbol, pos, close, atr, rn, 1 AS cluster, price AS total, 1 AS n, i AS i0, i AS i1 FROM lv_in WHERE rn = 1
+        UNION ALL SELECT x.symbol, x.pos, x.close, x.atr, x.rn, CASE WHEN j THEN cluster ELSE cluster + 1 END, CASE WHEN j THEN total + price ELSE price END, CASE WHEN j THEN n + 1 ELSE 1 END,
+               CASE WHEN j THEN least(i0, i) ELSE i END, CASE WHEN j THEN greatest(i1, i) ELSE i END
+        FROM (SELECT f.cluster, f.total, f.n, f.i0, f.i1, t.*, abs(t.price - f.total / f.n) <= t.atr * 0.5 AS j FROM lv_fold f JOIN lv_in t ON t.symbol = f.symbol AND t.pos = f.pos AND t.rn = f.rn + 1) x""",
+    "lv_all": """SELECT symbol, pos, close, atr, total / n AS price, n AS touches, i0, i1, CASE WHEN total / n > close THEN 'RESISTANCE' ELSE 'SUPPORT' END AS side
+        FROM lv_fold QUALIFY row_number() OVER (PARTITION BY symbol, pos, cluster ORDER BY rn DESC) = 1 AND n >= 2""",
+    "lv": """SELECT *, row_number() OVER (PARTITION BY symbol, pos ORDER BY price) - 1 AS id FROM
+        (SELECT * FROM lv_all QUALIFY row_number() OVER (PARTITION BY symbol, pos, side ORDER BY CASE WHEN side = 'SUPPORT' THEN -price ELSE price END) <= 4)""",
+    "near_lv": """SELECT symbol, pos, max(price) FILTER (WHERE side = 'SUPPORT') AS sup, arg_max(touches, price) FILTER (WHERE side = 'SUPPORT') AS sup_n,
+        min(price) FILTER (WHERE side = 'RESISTANCE') AS res, arg_min(touches, price) FILTER (WHERE side = 'RESISTANCE') AS res_n FROM lv GROUP BY symbol, pos""",
+    "facts": """SELECT s.*, r.trend_regime, r.vol_regime, r.atr_percentile, r.efficiency, sup, sup_n, res, res_n, (s.pos - last_index <= 10) AS fresh
+        FROM h_st s JOIN h_reg r USING (symbol, pos) LEFT JOIN near_lv USING (symbol, pos)""",
+    "tests": """
+        SELECT symbol, pos, k, rule, direction, trig, inval, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (
+        SELECT symbol, pos, 1 AS k, 'TREND_CONTINUATION_LONG' AS rule, 'LONG' AS direction, active_high AS trig, active_low AS inval, [
+            {'c': 'trend is UPTREND', 'ok': trend = 'UPTREND'}, {'c': 'bias is BULLISH', 'ok': bias = 'BULLISH'}, {'c': 'close pulled back to or below the 20 EMA', 'ok': close <= ema_20 + 0.25 * atr},
+            {'c': 'close still above the 50 EMA', 'ok': close > ema_50}, {'c': 'RSI below 65 (not extended)', 'ok': rsi < 65}] AS t FROM facts WHERE atr IS NOT NULL
+        UNION ALL SELECT symbol, pos, 2, 'TREND_CONTINUATION_SHORT', 'SHORT', active_low, active_high, [
+            {'c': 'trend is DOWNTREND', 'ok': trend = 'DOWNTREND'}, {'c': 'bias is BEARISH', 'ok': bias = 'BEARISH'}, {'c': 'close rallied to or above the 20 EMA', 'ok': close >= ema_20 - 0.25 * atr},
+            {'c': 'close still below the 50 EMA', 'ok': close < ema_50}, {'c': 'RSI above 35 (not extended)', 'ok': rsi > 35}] FROM facts WHERE atr IS NOT NULL
+        UNION ALL SELECT symbol, pos, 3, 'RANGE_FADE_LONG', 'LONG', sup, sup - atr, [
+            {'c': 'regime is RANGING', 'ok': trend_regime = 'RANGING'}, {'c': 'structure is RANGE or CONTRACTION', 'ok': trend IN ('RANGE', 'CONTRACTION')}, {'c': 'price is at a support level', 'ok': abs(close - sup) <= 0.5 * atr},
+            {'c': 'support has 2+ touches', 'ok': sup_n >= 2}, {'c': 'RSI below 45', 'ok': rsi < 45}] FROM facts WHERE atr IS NOT NULL
+        UNION ALL SELECT symbol, pos, 4, 'RANGE_FADE_SHORT', 'SHORT', res, res + atr, [
+            {'c': 'regime is RANGING', 'ok': trend_regime = 'RANGING'}, {'c': 'structure is RANGE or CONTRACTION', 'ok': trend IN ('RANGE', 'CONTRACTION')}, {'c': 'price is at a resistance level', 'ok': abs(close - res) <= 0.5 * atr},
+            {'c': 'resistance has 2+ touches', 'ok': res_n >= 2}, {'c': 'RSI above 55', 'ok': rsi > 55}] FROM facts WHERE atr IS NOT NULL
+        UNION ALL SELECT symbol, pos, 5, 'VOLATILITY_BREAKOUT_LONG', 'LONG', last_level, active_low, [
+            {'c': 'volatility was LOW before the break', 'ok': vol_regime = 'LOW'}, {'c': 'structure was coiling (CONTRACTION or RANGE)', 'ok': trend IN ('RANGE', 'CONTRACTION')},
+            {'c': 'a bullish break occurred recently', 'ok': fresh AND last_type IN ('BOS_BULLISH', 'CHOCH_BULLISH')}, {'c': 'close is above the broken level', 'ok': close > last_level}] FROM facts WHERE atr IS NOT NULL
+        UNION ALL SELECT symbol, pos, 6, 'REVERSAL_LONG', 'LONG', last_level, active_low, [
+            {'c': 'a bullish CHoCH occurred recently', 'ok': fresh AND last_type = 'CHOCH_BULLISH'}, {'c': 'close holds above the broken level', 'ok': close > last_level}, {'c': 'RSI has recovered above 45', 'ok': rsi > 45}] FROM facts WHERE atr IS NOT NULL
+        UNION ALL SELECT symbol, pos, 7, 'REVERSAL_SHORT', 'SHORT', last_level, active_high, [
+            {'c': 'a bearish CHoCH occurred recently', 'ok': fresh AND last_type = 'CHOCH_BEARISH'}, {'c': 'close holds below the broken level', 'ok': close < last_level}, {'c': 'RSI has rolled below 55', 'ok': rsi < 55}] FROM facts WHERE atr IS NOT NULL)""",
+    "verdicts": """SELECT symbol, pos, k, rule, direction, trig, inval, count(*) AS total, count(*) FILTER (WHERE coalesce(t.ok, false)) AS met,
+        string_agg(t.c, '; ' ORDER BY i) FILTER (WHERE NOT coalesce(t.ok, false)) AS missing FROM tests GROUP BY ALL""",
+    "htf_at": """SELECT b.symbol, b.pos, max(x.pos) AS hpos FROM bars_1h b LEFT JOIN day x ON x.symbol = b.symbol AND x.period_end <= b.ts GROUP BY b.symbol, b.pos""",
+}
