@@ -37,6 +37,8 @@ from .common import written
 TRAIN_ROWS, MAX_TERMS = 4_000, 5_000
 #: Candidate features that the driver looks at, by the number of toxic texts.
 MAX_FEATURES = 200_000
+#: Features that a task holds before it hands their counts on.
+HELD_FEATURES = 100_000
 #: Lengths of word beginnings that may be terms.
 SHORTEST, LONGEST = 4, 14
 #: A term needs toxic texts: this many, and this share; clean texts have it this much less often; a
@@ -217,15 +219,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
     sample = written(sample, "toxicity-sample")
 
+    def frame(toxic_texts: Counter, clean_texts: Counter) -> pd.DataFrame:
+        every = list(toxic_texts.keys() | clean_texts.keys())
+        return pd.DataFrame({"f": every, "t": [toxic_texts[f] for f in every], "c": [clean_texts[f] for f in every]})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = (Counter(), Counter())
-        n = [0, 0]
         for b in batches:
             for k, t in zip(b["y"], b["text"], strict=True):
                 own[k].update(features(fold(t or "")))
-                n[k] += 1
-        keep = own[1].keys()
-        yield pd.DataFrame([(f, own[1][f], own[0].get(f, 0)) for f in keep] + [(f, 0, c) for f, c in own[0].items() if f not in keep] + [("", n[1], n[0])], columns=["f", "t", "c"])
+                own[k][""] += 1  # the number of texts
+                if len(own[0]) + len(own[1]) > HELD_FEATURES:
+                    yield frame(own[1], own[0])
+                    own = (Counter(), Counter())
+        if own[0] or own[1]:
+            yield frame(own[1], own[0])
 
     counted = sample.mapInPandas(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odd = counted.filter((F.col("f") == "") | (F.col("t") >= MIN_TEXTS) & (F.col("t") > 4 * F.col("c")))
