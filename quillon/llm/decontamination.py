@@ -8,7 +8,7 @@ becomes a candidate, and only candidates leave the row. They are verified by an
 window's words, then counted by document. Everything is built-in expressions.
 
 Defined cases: a null or empty text has no words, no hits and isn't contaminated; null items and
-items without words give no windows; items or rows that repeat count each once or each by itself;
+items without words give no windows; the windows of an item without an id count, the item doesn't; items or rows that repeat count each once or each by itself;
 an empty benchmark leaves all documents clean; other columns are ignored.
 """
 
@@ -118,6 +118,6 @@ dg AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHER
 dk AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dg),
 hit AS (SELECT rid, dk.n, i, item FROM dk JOIN grams USING (n, g)),
 spots AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM hit, range(10) r(k) WHERE k < n GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+items AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)"""
