@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNDETERMINED = "und"
 #: Labelled rows that a model is fitted on, and words of each language that it keeps, by count.
 TRAIN_ROWS, TRAIN_WORDS = 12_000, 60_000
@@ -217,15 +219,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             by: dict[str, Counter] = defaultdict(Counter)
             for language, t in zip(b["lang"], b["text"], strict=True):
                 by[language].update(_WORDS.findall(t.lower()))
-            yield pd.DataFrame([(k, w[:WORD_LETTERS], n) for k, c in by.items() for w, n in c.items()], columns=["lang", "word", "n"])
-
-    from pyspark.sql.window import Window
+            rows = [(k, w[:WORD_LETTERS], n) for k, c in by.items() for w, n in c.items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
     words = labelled.filter(F.col("h") <= last).select("lang", "text").mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= TRAIN_WORDS)
     counts: dict[str, Counter] = defaultdict(Counter)
-    for r in top.select("lang", "word", "n").collect():
-        counts[r["lang"]][r["word"]] = r["n"]
+    words = written(words, "language-words")
+    # One bounded top list for each language: no language's words meet in one task.
+    for (language,) in words.select("lang").distinct().collect():
+        for r in words.filter(F.col("lang") == language).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).select("word", "n").collect():
+            counts[language][r["word"]] = r["n"]
     return Model(dict(counts))
 
 
