@@ -39,33 +39,45 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside complementary footer masthead contentinfo comment comments disqus respond reply replies discussion "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar widget widgets skip".split()
 )
-#: Class words that name the article and outweigh the words above.
+#: Words that mark a page's header, unless the name is about the article or inside it.
+HEADER, ABOUT_ARTICLE = frozenset("header topbar top logo".split()), frozenset("article post entry content story main title".split())
+#: Words that mark even an article element as something else; first words that make a name tell what a page has.
+NO_ARTICLE, MODIFIERS = frozenset("comment comments reply replies related promo sponsored teaser ad ads advert".split()), frozenset("has with without no".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Lines of a window, characters that make a surge, and share of link text above which a line is a menu's.
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_MARKS = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is boilerplate by its attributes."""
     for m in _MARKS.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            if not BOILERPLATE.isdisjoint(_WORD.findall(_CAMEL.sub("-", value).lower())):
-                return True
+        if key in ("class", "id", "role") and tag not in ("html", "body", "main"):
+            for name in value.split():
+                words = _WORD.findall(_CAMEL.sub("-", name).lower())
+                if not words or words[0] in MODIFIERS:
+                    continue
+                if not (NO_ARTICLE if tag == "article" else BOILERPLATE).isdisjoint(words):
+                    return True
+                if tag != "article" and not in_article and not HEADER.isdisjoint(words) and ABOUT_ARTICLE.isdisjoint(words):
+                    return True
     return False
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters in links, inside an article) of each block, blank ones included, and whether the page names an article."""
+def page_lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
+    """(text, characters in links, inside an article) of each block, blank ones included, and whether the page names an article.
+
+    by_name: classes, ids, roles and the like may mark an element as boilerplate.
+    """
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     #: Open elements: tag, and what was in force outside it.
@@ -137,7 +149,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         stack.append((tag, silent, article, link))
         attributes = token[len(tag) + 1 : -1]
-        if tag in SILENT or tag in AROUND or tag == "header" and not article or attributes.strip() and _unwanted(tag, attributes):
+        if tag in SILENT or tag in AROUND or tag == "header" and not article or by_name and attributes.strip() and _unwanted(tag, attributes, article):
             silent = True
         if (tag in ARTICLE_TAGS or "role" in attributes and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I)) and not silent:
             article = named = True
@@ -150,6 +162,9 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
 def main_text(html: str | None) -> str:
     """The blocks between surge and dive, joined by newlines."""
     lines, named = page_lines(html or "")
+    if not any(t for t, _, _ in lines):
+        # Names that mark everything mark nothing.
+        lines, named = page_lines(html or "", by_name=False)
     if named and not any(t and a for t, _, a in lines):
         named = False
     sizes = [0 if named and not a or not named and t and k > LINK_SHARE * len(t) else len(t) for t, k, a in lines]

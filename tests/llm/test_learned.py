@@ -136,6 +136,9 @@ def test_language_edges(spark):
         ("plain words only", "plain words only"),
         ("<nav><a href=x>menu</a></nav><article><h1>Title</h1><p>One <b>bold</b>&nbsp;&amp; two<br>three<p>Four</article><footer>foot</footer>", "Title\nOne bold & two three\nFour"),
         ("<body><header>Site</header><main><p>Body text.</p><aside>side</aside><div class='ad-box'>buy</div><form>name<input></form><script>if (a<b) x('</p>')</script><p>End.</p><section id=comments><p>first!</p></section></main>", "Body text.\nEnd."),
+        ("<body class=has-sidebar><div id=header>Site</div><div class='content with-sidebar'><p>" + "words here " * 12 + "</p><div class='article-header'>kept</div></div><div id=sidebar>side</div>", ("words here " * 12).strip() + "\nkept"),
+        ("<div class=ad>only this</div>", "only this"),
+        ("<main><p>Text.</p><article class=comment><p>mine</p></article></main>", "Text."),
         ("<article><p>unclosed <div class=cookie-notice>we use cookies</div><p>more", "unclosed\nmore"),
         ("<article><!-- <p>no</p> --><p>a &lt;tag&gt; &#233;</p><style>p{}</style></article>", "a <tag> é"),
         ("<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div><div><h2>Head</h2><p>" + "long text " * 20 + "</p><p>short</p></div>", "Head\n" + ("long text " * 20).strip() + "\nshort"),
