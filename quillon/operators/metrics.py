@@ -83,13 +83,19 @@ def split(as_of: Column, val_start: str = "2024-01-01") -> Column:
 MIN_ENTRIES = {"supporting_evidence": 2, "conflicting_evidence": 1, "important_levels": 1, "scenarios": 2}
 VOCABULARY = {
     "higher_timeframe_bias": ("BULLISH", "BEARISH", "NEUTRAL", "UNAVAILABLE"),
-    "market_structure": ("UPTREND", "DOWNTREND", "RANGE", "EXPANSION", "CONTRACTION", "INSUFFICIENT_DATA"),
+    "market_structure": ("UPTREND", "DOWNTREND", "EXPANSION", "CONTRACTION", "RANGE", "INSUFFICIENT_DATA"),
+    "market_state": ("TRENDING_UP", "TRENDING_DOWN", "RANGING", "BREAKOUT", "BREAKDOWN", "REVERSAL", "CHOPPY"),
+    "setup_type": ("TREND_CONTINUATION_LONG", "TREND_CONTINUATION_SHORT", "RANGE_FADE_LONG", "RANGE_FADE_SHORT", "VOLATILITY_BREAKOUT_LONG", "REVERSAL_LONG", "REVERSAL_SHORT", "NONE"),
 }
+ROLES, DIRECTIONS = ("SUPPORT", "RESISTANCE", "TRIGGER", "INVALIDATION"), ("BULLISH", "BEARISH", "NEUTRAL")
 
 
 def shape_errors(a: Column) -> Column:
     """What of an analysis breaks its schema: the first twelve, as dotted places."""
     tests = [(f"{k}: at least {n} entries", F.coalesce(F.size(a[k]), F.lit(0)) < n) for k, n in MIN_ENTRIES.items()]
     tests += [(f"{k}: not an allowed value", ~F.coalesce(a[k].isin(*v), F.lit(False))) for k, v in VOCABULARY.items()]
+    known = lambda x, allowed: F.coalesce(x.isin(*allowed), F.lit(False))
+    tests.append(("important_levels.role: not an allowed value", F.exists(a.important_levels, lambda x: ~known(x.role, ROLES))))
+    tests.append(("scenarios.direction: not an allowed value", F.exists(a.scenarios, lambda x: ~known(x.direction, DIRECTIONS))))
     tests.append(("confidence: not within 0 and 1", ~F.coalesce(a.confidence.between(0, 1), F.lit(False))))
-    return F.slice(F.array_compact(F.array(*[F.when(test, F.lit(text)) for text, test in tests])), 1, 12)
+    return F.slice(F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(text)) for text, test in tests])), 1, 12)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import iso8601
-from ..operators import grounding, metrics, sampler, screen, summary, views
+from ..operators import grounding, metrics, sampler, screen, summary, teacher, views
 from ..operators.context import contexts, described
 from ..operators.indicators import indicators
 from ..params import EngineParams
@@ -333,3 +333,50 @@ def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results(spark, sf_dir).withColumn("t", views.token_estimate(F.col("prompt_tokens") * 7))
     return views.length_stats(rows, "t", "model")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw answer texts (bare, fenced, after loose talk, cut off) and the examples that they are about."""
+    rows = cited(spark, sf_dir).withColumn("example_id", F.concat("symbol", F.lit("_1h#"), "pos"))
+    x = F.col("context")
+    offered = F.transform(x.setups, lambda s: s["name"])
+    full = F.struct(
+        "analysis.*",
+        F.coalesce(x.higher_timeframe.bias, F.lit("UNAVAILABLE")).alias("higher_timeframe_bias"),
+        x.structure.trend.alias("market_structure"),
+        F.lit("RANGING").alias("market_state"),
+        F.coalesce(F.get(offered, F.lit(0)), F.lit("NONE")).alias("setup_type"),
+        F.lit(0.5).alias("confidence"),
+    )
+    body = F.to_json(full)
+    k = F.col("k") % 3
+    text = F.when(F.col("k") % 19 == 0, F.substring(body, 1, 200)).when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("First {a thought}. "), body, F.lit(" Done.")))
+    rows = rows.select("example_id", "symbol", "pos", "context", text.alias("text"))
+    return rows.select("example_id", "text"), rows.select("example_id", "symbol", "pos", "context")
+
+
+@query(sql("""SELECT symbol, pos::BIGINT AS pos, pos % 19 <> 0 AS ok, CASE WHEN pos % 19 = 0 THEN '[CALL_FAILED]' ELSE list_filter([
+    CASE WHEN (rsi IS NOT NULL AND pos % 7 = 0) OR active_high IS NULL OR pos % 11 = 0 THEN 'UNGROUNDED_NUMBER' END,
+    CASE WHEN rsi IS NULL OR cve IS NULL OR pos % 5 = 0 OR (active_high IS NOT NULL AND pos % 6 = 0) THEN 'UNRESOLVABLE_CITATION' END,
+    CASE WHEN pos % 4 = 0 OR pos % 9 = 0 OR pos < 19 THEN 'NUMBER_IN_PROSE' END, CASE WHEN active_high IS NULL OR pos % 11 = 0 THEN 'CONTRADICTION' END], lambda c: c IS NOT NULL)::VARCHAR END AS reasons,
+    CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'val' ELSE 'train' END AS split FROM (SELECT *, (close - ema_20) / nullif(atr, 0) AS cve FROM facts)"""))
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers to gated, split rows: the whole chain."""
+    answers, examples = _answers(spark, sf_dir)
+    rows = teacher.corpus(teacher.score(teacher.parse(answers), examples), val_start="2024-01-20")
+    return bar(rows, "ok", F.concat(F.lit("["), F.array_join("reasons", ", "), F.lit("]")).alias("reasons"), "split")
+
+
+@query(sql("SELECT symbol, pos::BIGINT AS pos, pos % 19 <> 0 AS ok, CASE WHEN pos % 19 <> 0 THEN 0.5 END AS confidence FROM bars_1h"))
+def parse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, _ = _answers(spark, sf_dir)
+    rows = teacher.parse(answers).withColumn("symbol", F.split("example_id", "_1h#")[0]).withColumn("pos", F.split("example_id", "#")[1])
+    return bar(rows, "ok", "analysis.confidence")
+
+
+@query(None)
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat pairs of the accepted rows, in the view without candles."""
+    answers, examples = _answers(spark, sf_dir)
+    rows = teacher.corpus(teacher.score(teacher.parse(answers), examples), metrics.GateSpec(require_grounded=False, forbid_contradictions=False))
+    return teacher.pairs(rows, "compact", "Describe the market.", "Context: {context}")

@@ -25,7 +25,7 @@ def append_checkpoint(rows: DataFrame, path: str) -> None:
 
 def load_prompt(folder: str, version: str) -> dict[str, str]:
     """The system, user and repair templates of a version."""
-    return {part: (Path(folder) / version / f"{part}.txt").read_text(encoding="utf-8") for part in ("system", "user", "repair")}
+    return {part: (Path(folder) / version / f"{part}.md").read_text(encoding="utf-8") for part in ("system", "user", "repair")}
 
 
 def prompt_hash(prompt: dict[str, str]) -> str:

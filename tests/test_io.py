@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import cli
-from quillon.operators import grounding, metrics, summary, views
+from quillon.operators import grounding, metrics, summary, teacher, views
 from quillon.operators.indicators import seeded
 from quillon.sources import csv, records, sinks
 from quillon.streaming.bars import stream_bars, stream_ema
@@ -74,7 +74,7 @@ def test_checkpoints_skip_broken_lines(spark, tmp_path):
 def test_prompts(tmp_path):
     (tmp_path / "v1").mkdir()
     for part in ("system", "user", "repair"):
-        (tmp_path / "v1" / f"{part}.txt").write_text(part)
+        (tmp_path / "v1" / f"{part}.md").write_text(part)
     prompt = records.load_prompt(str(tmp_path), "v1")
     assert prompt["user"] == "user" and len(records.prompt_hash(prompt)) == 16
 
@@ -129,11 +129,34 @@ def test_gate_spec(spark):
     assert reasons(metrics.GateSpec(False, False, True)) == [["NEEDED_REPAIR"], ["CALL_FAILED"], ["NEEDED_REPAIR"]]
 
 
-def test_shape_errors(spark):
-    kind = "struct<supporting_evidence:array<string>,conflicting_evidence:array<string>,important_levels:array<string>,scenarios:array<string>,higher_timeframe_bias:string,market_structure:string,confidence:double>"
-    rows = spark.createDataFrame([((["a", "b"], ["c"], ["d"], ["e", "f"], "BULLISH", "UPTREND", 0.4),), ((["a"], [], None, ["e", "f"], "UP", "UPTREND", 1.4),)], f"a {kind}")
-    good, bad = [r["e"] for r in rows.select(metrics.shape_errors(F.col("a")).alias("e")).collect()]
-    assert good == [] and len(bad) == 5
+def test_parse_and_shape(spark):
+    good = {
+        "higher_timeframe_bias": "NEUTRAL", "market_structure": "RANGE", "market_state": "RANGING", "setup_type": "NONE", "confidence": 0.4,
+        "supporting_evidence": [{"statement": "s", "context_field": "f", "value": "v"}] * 2, "conflicting_evidence": [{"statement": "s", "context_field": "f", "value": "v"}],
+        "important_levels": [{"price": 1.0, "role": "SUPPORT", "context_field": "f", "note": "n"}], "scenarios": [{"direction": "BULLISH"}, {"direction": "BEARISH"}],
+    }
+    bad = good | {"confidence": 1.4, "market_state": "UP", "scenarios": [{"direction": "SIDEWAYS"}], "important_levels": []}
+    texts = [json.dumps(good), f"thinking {{...}} so: {json.dumps(good)} ok", json.dumps(bad), "none", None]
+    got = teacher.parse(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
+    assert [r["ok"] for r in got] == [True, True, False, False, False]
+    assert [e.split(":")[0] for e in got[2]["errors"]] == ["important_levels", "scenarios", "market_state", "scenarios.direction", "confidence"]
+    assert got[0]["analysis"]["confidence"] == 0.4 and got[2]["analysis"] is None
+
+
+def test_json_schemas():
+    from pyspark.sql.types import StructType
+
+    from quillon.functions import jsonschema
+
+    made = jsonschema.of_type(StructType.fromDDL("a string, b array<struct<c:int>>"), {"a": ("X", "Y")})
+    assert made["required"] == ["a", "b"] and made["properties"]["a"]["enum"] == ["X", "Y"] and made["properties"]["b"]["items"]["additionalProperties"] is False
+    loose = {"properties": {"v": {"$ref": "#/$defs/V", "description": "own"}, "pattern": {"type": "string", "pattern": "x"}, "own": {"type": "integer"}}, "$defs": {"V": {"type": "object", "properties": {"n": {"type": "number", "minimum": 0}}, "description": "other"}}}
+    tight = jsonschema.strict(loose, frozenset({"own"}))
+    assert tight["required"] == ["v", "pattern"] and tight["properties"]["pattern"] == {"type": "string"} and "$defs" not in tight
+    assert tight["properties"]["v"] == {"type": "object", "properties": {"n": {"type": "number"}}, "description": "own", "additionalProperties": False, "required": ["n"]}
+    assert jsonschema.outline(tight).splitlines()[:2] == ["- v (object): own", "  - n (number)"]
+    with pytest.raises(ValueError):
+        jsonschema.strict({"properties": {"x": {"$ref": "#/$defs/X"}}, "$defs": {"X": {"properties": {"x": {"$ref": "#/$defs/X"}}}}})
 
 
 def test_stream_bars_and_ema(spark, tmp_path):
