@@ -43,9 +43,10 @@ def swing_columns(bars: DataFrame, params: EngineParams = EngineParams()) -> Dat
 def swings(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
     """One row for each swing: symbol, interval, index, confirmed_index, kind, price, label, ts. bars: with atr."""
     k = params.swing_lookback
+    # explode_outer: for explode the optimizer would test the array's size in a filter of its own, and compute it twice.
     kind = lambda name, price, label: F.struct(F.lit(name).alias("kind"), F.col(price).alias("price"), F.col(label).alias("label"))
     both = F.array_compact(F.array(F.when(F.col("swing_high").isNotNull(), kind("HIGH", "swing_high", "high_label")), F.when(F.col("swing_low").isNotNull(), kind("LOW", "swing_low", "low_label"))))
-    return swing_columns(bars, params).select(*SERIES, (F.col("pos") - k).alias("index"), F.col("pos").alias("confirmed_index"), F.col("swing_ts").alias("ts"), F.explode(both).alias("s")).select(*SERIES, "index", "confirmed_index", "ts", "s.kind", "s.price", "s.label")
+    return swing_columns(bars, params).select(*SERIES, (F.col("pos") - k).alias("index"), F.col("pos").alias("confirmed_index"), F.col("swing_ts").alias("ts"), F.explode_outer(both).alias("s")).filter(F.col("s").isNotNull()).select(*SERIES, "index", "confirmed_index", "ts", "s.kind", "s.price", "s.label")
 
 
 def trend_state(high_label, low_label):

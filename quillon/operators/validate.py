@@ -76,7 +76,7 @@ def row_findings(bars: DataFrame, limits: Thresholds = Thresholds(), checks: tup
     builders = [x for name, f in CHECKS.items() if checks is None or name in checks for x in f()]
     if checks is None or "abnormal_gaps" in checks:
         builders += bar_range(limits)
-    return bars.select(*SERIES, "pos", "ts", F.array_compact(F.array(*builders)).alias("__f")).select(*SERIES, "pos", "ts", F.explode("__f").alias("f")).select(*SERIES, "pos", "ts", "f.*")
+    return bars.select(*SERIES, "pos", "ts", F.array_compact(F.array(*builders)).alias("__f")).select(*SERIES, "pos", "ts", F.explode_outer("__f").alias("f")).filter(F.col("f").isNotNull()).select(*SERIES, "pos", "ts", "f.*")
 
 
 def issues(findings: DataFrame, samples: int = SAMPLES) -> DataFrame:

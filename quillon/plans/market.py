@@ -178,20 +178,20 @@ def htf_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT {BAR}, id::BIGINT AS id, side, touches::BIGINT AS touches, i0::BIGINT AS first_index, i1::BIGINT AS last_index, {r('price')}, round((price - close) / atr, 6) AS distance_atr FROM lv"))
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bar(_described(spark, sf_dir), F.posexplode("levels").alias("id", "v"))
+    df = bar(_described(spark, sf_dir), F.posexplode_outer("levels").alias("id", "v")).filter(F.col("v").isNotNull())
     long = lambda c: F.col(f"v.{c}").cast("long").alias(c)
     return df.select("symbol", "pos", F.col("id").cast("long").alias("id"), "v.side", long("touches"), long("first_index"), long("last_index"), F.round("v.price", 6).alias("price"), F.round("v.distance_atr", 6).alias("distance_atr"))
 
 
 @query(sql(f"SELECT {BAR}, rule AS name, direction, round(trig, 4) AS trigger_level, round(inval, 4) AS invalidation_level FROM verdicts WHERE met = total"))
 def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bar(_described(spark, sf_dir), F.explode("setups").alias("s"))
+    df = bar(_described(spark, sf_dir), F.explode_outer("setups").alias("s")).filter(F.col("s").isNotNull())
     return df.select("symbol", "pos", "s.name", "s.direction", "s.trigger_level", "s.invalidation_level")
 
 
 @query(sql(f"SELECT {BAR}, rule || ': ' || met || '/' || total || ' met, missing ' || missing AS near_miss FROM verdicts WHERE met < total AND met / total >= 0.66"))
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar(_described(spark, sf_dir), F.explode("near_miss_setups").alias("near_miss"))
+    return bar(_described(spark, sf_dir), F.explode_outer("near_miss_setups").alias("near_miss")).filter(F.col("near_miss").isNotNull())
 
 
 @query(sql(f"""SELECT {BAR}, list_aggregate(list_transform(w, lambda x: x.c), 'sum').round(2) AS sum_close, len(w)::BIGINT AS candles, strftime(w[1].t, '%Y-%m-%d %H:%M:%S') AS first_ts
