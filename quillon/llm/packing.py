@@ -37,7 +37,7 @@ END_ID = 0
 #: Special token of the vocabulary file and its id; its string in a text is that token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Words whose ids a task remembers, before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Cells that the pieces of one length are ranked in, side by side.
 SALTS = 64
 #: Classes of the linear program, its pricing rounds at most, the part of a class's demand that a
