@@ -159,16 +159,16 @@ def fingerprint_links(points: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicate_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, fp, component_id (least doc_id that a row reaches, its own included) for every row."""
+    """doc_id, text_hash, fp, root (least fingerprint of the component), component_id (least doc_id of it) for every row."""
     rows = written(fingerprints(docs, text, doc_id), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "points")
     roots = written(connected_components(fingerprint_links(points.select("fp"))).withColumnRenamed("node", "fp"), "roots")
     linked = written(points.join(roots, "fp"), "linked")
     ids = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    of_linked = linked.join(ids, "root").select("fp", "component_id")
-    of_copies = points.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    of_linked = linked.join(ids, "root").select("fp", "root", "component_id")
+    of_copies = points.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     known = written(of_linked.union(of_copies), "components")
-    return rows.join(known, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(known, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -177,9 +177,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs but those that reach a smaller id; all columns as they are. Rows that repeat an id and a text are one."""
+    """One row of docs for each component, all columns as they are.
+
+    It is the one with the least id (null last), and of equal ids the least text hash. Rows that
+    repeat both are told apart by nothing; any one of them stays.
+    """
     found = written(near_duplicate_components(docs, text, doc_id), "components")
-    out = without(docs, written(found.filter("not doc_id <=> component_id").select("doc_id", "text_hash"), "near-copies"), doc_id, text)
-    stay = found.filter("doc_id <=> component_id")
-    repeated = stay.groupBy("component_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates([doc_id]) if repeated else out
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
+    groups = written(found.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "first"), "groups")
+    member = found.join(groups, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    member = written(member.select("root", "doc_id", "text_hash", "stays"), "members")
+    out = without(docs, written(member.filter("not stays").select("doc_id", "text_hash"), "near-copies"), doc_id, text)
+    repeated = member.filter("stays").groupBy("root").count().filter("count > 1").limit(1).count()
+    return out.dropDuplicates([doc_id, text]) if repeated else out
