@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Control strings, escaped inside texts: the template's own and those of common chat templates.
 TURN, ROLE_END, END = "<|turn|>", "<|text|>", "</s>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -121,7 +123,8 @@ def format_conversations(messages: DataFrame, content: str = "text", conv_id: st
             yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "formatted": [text], "loss": [[{"start": a, "end": b} for a, b in loss]], "attachments": [[dict(zip(("turn", "kind", "ref", "tokens"), a, strict=True)) for a in attached]], "expanded_tokens": [sum(a[3] for a in attached)]})
 
     rows = messages.select(F.col(conv_id).cast("bigint").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "content").select("conv_id", "role", "content").mapInPandas(_batched(run), FORMATTED)
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "content").select("conv_id", "role", "content")
+    return in_small_batches(dealt).mapInPandas(_batched(run), FORMATTED)
 
 
 def _batched(run, rows: int = 500):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -51,6 +52,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bytes of the batches that texts go to Python in: a worker holds a few batches, whatever the length of a row.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's batches for Python are bounded by BATCH_BYTES; a smaller bound that is set stays."""
+    spark = df.sparkSession
+    now = int(re.sub(r"\D", "", spark.conf.get(_BATCH_SETTING)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Elements whose text is no text of the page.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas select option datalist textarea button audio video".split())
 #: Elements around the article.
@@ -207,4 +209,4 @@ def extract_pages(pages: DataFrame, html: str = "html", page_id: str = "page_id"
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    return in_small_batches(rows).mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, written
 
 UNDETERMINED = "und"
 #: Labelled rows that a model is fitted on, and words of each language that it keeps, by count.
@@ -244,4 +244,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [[{"lang": k, "words": n} for k, n in x[2]] for x in got]})
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,words:bigint>>")
+    return in_small_batches(rows).mapInPandas(run, "doc_id bigint, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,words:bigint>>")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import in_small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
+    return in_small_batches(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, PIECES)
 
 
 def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:

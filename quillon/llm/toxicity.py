@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, written
 
 #: Rows of each label that are learned from, and the most terms of a lexicon.
 TRAIN_ROWS, MAX_TERMS = 4_000, 5_000
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_i
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": scores, "predicted": (scores >= 0.5).astype("int32")})
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return in_small_batches(rows).mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -281,4 +281,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([lexicon.score(t) for t in texts], dtype=float)
 
-    return docs.filter(score(F.col(text)) < threshold)
+    return in_small_batches(docs).filter(score(F.col(text)) < threshold)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, scratch_path, written
+from .common import BROADCAST_IDS, in_small_batches, scratch_path, written
 
 MIN_DEDUP_BYTES = 1000
 ROLL_BYTES = 1 << 30
@@ -163,7 +163,7 @@ def write_archive(pages: DataFrame, root: str, html: str = "html", url: str = "u
 
     _filesystem(root)[0].create_dir(_filesystem(root)[1], recursive=True)
     dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
-    manifest = written(_exact_ids(dealt).mapInPandas(run, "shard int, file string, records bigint, bytes bigint"), "manifest")
+    manifest = written(in_small_batches(_exact_ids(dealt)).mapInPandas(run, "shard int, file string, records bigint, bytes bigint"), "manifest")
     fs, path = _filesystem(root)
     total = manifest.agg(F.count(F.lit(1)), F.sum("records"), F.sum("bytes")).first()
     _commit(fs, path, "MANIFEST.json", lambda out: out.write(json.dumps({"files": total[0], "records": total[1] or 0, "bytes": total[2] or 0}).encode()))
