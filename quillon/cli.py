@@ -1,4 +1,4 @@
-"""Command line: validate, screen, context, summary, schema, sample."""
+"""Command line: validate, screen, context, summary, schema, sample, report, regate, describe, export."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ import sys
 
 from pyspark.sql import functions as F
 
-from .operators import context, indicators, sampler, screen, structure, validate
+from .operators import context, indicators, metrics, sampler, screen, structure, summary, teacher, validate, views
 from .params import EngineParams, Thresholds, load_yaml
 from .session import session
-from .sources import csv, sinks
+from .sources import csv, records, sinks
 
 
 def _bars(spark, path: str):
     return csv.scan(spark, path).drop("raw_datetime", "file")
 
 
-def _gated(spark, args, params_only: bool = False):
+def _gated(spark, args):
     bars = _bars(spark, args.path)
     judged = validate.verdicts(bars, validate.all_issues(bars))
     if not args.allow_failed and judged.filter("verdict = 'FAIL'").limit(1).count():
@@ -88,10 +88,72 @@ def cmd_sample(spark, args) -> int:
     return 0
 
 
+def _scored(spark, path: str, context_schema: str | None = None):
+    return records.read_checkpoint(spark, path, teacher.SCORED + (f", context {context_schema}" if context_schema else ""))
+
+
+def _context_type(spark, interval: str) -> str:
+    empty = spark.createDataFrame([], "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double")
+    return context.contexts(empty, interval).schema["context"].dataType.simpleString()
+
+
+def _gate(args) -> metrics.GateSpec:
+    return metrics.GateSpec(require_grounded=not args.allow_ungrounded, forbid_contradictions=not args.allow_contradictions, require_first_attempt=args.first_attempt)
+
+
+def _summaries(spark, args):
+    rows = _scored(spark, args.path)
+    return summary.summarise(rows.select("*", *[F.col(f"analysis.{c}") for c in (*summary.CONSISTENCY_FIELDS, "confidence")]))
+
+
+def cmd_report(spark, args) -> int:
+    """Model summaries, and the recommendation for a corpus of --count rows."""
+    summaries = _summaries(spark, args)
+    if args.out:
+        sinks.write_summary(summaries, args.out)
+    ranked = summary.recommend(summary.gates(summary.quality(summaries)), args.count)
+    print(sinks.recommendation_markdown([r.asDict() for r in ranked.orderBy("rank").collect()]))
+    return 0
+
+
+def cmd_regate(spark, args) -> int:
+    """Judges scored rows anew and writes what is accepted and what isn't."""
+    rows = _scored(spark, args.path, _context_type(spark, args.interval))
+    judged = metrics.judge(rows, _gate(args)).withColumn("split", metrics.split(F.col("as_of"), args.val_start))
+    sinks.write_corpus(judged, f"{args.out}/accepted", f"{args.out}/rejected")
+    print(json.dumps(summary.corpus_totals(judged).first().asDict()))
+    return 0
+
+
+def cmd_describe(spark, args) -> int:
+    """Totals, counts and reject reasons of scored rows."""
+    judged = metrics.judge(_scored(spark, args.path), _gate(args)).withColumn("split", metrics.split(F.col("as_of"), args.val_start))
+    totals = summary.corpus_totals(judged).first().asDict()
+    print(json.dumps(totals | {"counts": [r.asDict() for r in summary.corpus_counts(judged).orderBy("dimension", "value").collect()], "rejects": {r["reason"]: r["n"] for r in summary.reject_counts(judged).collect()}}))
+    if totals["prompt_hashes"] > 1:
+        print(f"warning: the corpus mixes {totals['prompt_hashes']} prompts", file=sys.stderr)
+    return 0
+
+
+def cmd_export(spark, args) -> int:
+    """Training pairs of the accepted rows in every view, by view and split."""
+    prompt = records.load_prompt(args.prompts, args.prompt_version)
+    rows = _scored(spark, args.path, _context_type(spark, args.interval))
+    judged = metrics.judge(rows, _gate(args)).withColumn("split", metrics.split(F.col("as_of"), args.val_start))
+    pairs = None
+    for view in views.VIEWS:
+        own = teacher.pairs(judged, view, prompt["system"], prompt["user"])
+        pairs = own if pairs is None else pairs.unionByName(own)
+    sinks.write_pairs(pairs, args.out)
+    for r in views.length_stats(spark.read.json(args.out), "tokens", "view").orderBy("view").collect():
+        print(json.dumps(r.asDict()))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillon")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, run in (("validate", cmd_validate), ("screen", cmd_screen), ("context", cmd_context), ("summary", cmd_summary), ("schema", cmd_schema), ("sample", cmd_sample)):
+    for name, run in (("validate", cmd_validate), ("screen", cmd_screen), ("context", cmd_context), ("summary", cmd_summary), ("schema", cmd_schema), ("sample", cmd_sample), ("report", cmd_report), ("regate", cmd_regate), ("describe", cmd_describe), ("export", cmd_export)):
         p = commands.add_parser(name)
         p.set_defaults(run=run)
         if name != "schema":
@@ -106,6 +168,12 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--min-turnover", type=float, default=100.0)
         p.add_argument("--top", type=int, default=50)
         p.add_argument("--json", action="store_true")
+        p.add_argument("--val-start", default="2024-01-01")
+        p.add_argument("--allow-ungrounded", action="store_true")
+        p.add_argument("--allow-contradictions", action="store_true")
+        p.add_argument("--first-attempt", action="store_true")
+        p.add_argument("--prompts", default="prompts")
+        p.add_argument("--prompt-version", default="v1")
     args = parser.parse_args(argv)
     return args.run(session(), args)
 

@@ -22,6 +22,15 @@ ANALYSIS = (
 )
 
 
+#: A scored row as it is kept between runs, but for its context.
+SCORED = (
+    "model string, example_id string, run int, symbol string, interval string, stratum string, as_of string, ok boolean, error string, attempts int, first_attempt_ok boolean, "
+    "latency_seconds double, prompt_tokens int, completion_tokens int, cost double, prompt_hash string, structure_agrees boolean, htf_bias_agrees boolean, setup_agrees boolean, "
+    "agreement_points int, agreement_comparable int, grounded_claims int, total_claims int, hallucinated_numbers int, unresolvable_fields int, numbers_in_prose int, is_grounded boolean, "
+    f"contradictions array<string>, contradiction_count int, analysis {ANALYSIS}"
+)
+
+
 def parse(answers: DataFrame, text: str = "text") -> DataFrame:
     """Adds analysis (null if the text has none of the right shape), errors and ok."""
     found = answers.withColumn("__object", views.extract_object(F.col(text))).withColumn("analysis", F.from_json("__object", ANALYSIS))

@@ -196,3 +196,48 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["validate", str(tmp_path / "bad")]) == 1
     with pytest.raises(SystemExit):
         cli.main(["context", str(tmp_path / "bad")])
+
+
+def test_corpus_commands(spark, tmp_path, capsys, monkeypatch):
+    """Answers to scored rows, then report, regate, describe and export over the kept rows."""
+    from quillon.operators.context import contexts
+    from tests.test_engine import FAST, frame
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    seen = contexts(frame(spark, clean_daily(100)), "1d", params=FAST).filter("pos >= 60")
+    rows = seen.select(F.concat("symbol", F.lit("#"), "pos").alias("example_id"), "symbol", "interval", "pos", "context")
+    x = F.col("context")
+    evidence = lambda f, v: F.struct(F.lit("as shown").alias("statement"), F.lit(f).alias("context_field"), v.cast("string").alias("value"))
+    answer = F.to_json(F.struct(
+        F.coalesce(x.higher_timeframe.bias, F.lit("UNAVAILABLE")).alias("higher_timeframe_bias"),
+        x.structure.trend.alias("market_structure"),
+        F.lit("RANGING").alias("market_state"),
+        F.coalesce(F.get(F.transform(x.setups, lambda s: s["name"]), F.lit(0)), F.lit("NONE")).alias("setup_type"),
+        F.array(evidence("structure.trend", x.structure.trend), evidence("indicators.rsi", x.indicators.rsi)).alias("supporting_evidence"),
+        F.array(evidence("volatility.regime", x.volatility.regime)).alias("conflicting_evidence"),
+        F.array(F.struct(F.element_at(x.ohlcv_window, -1).c.alias("price"), F.lit("TRIGGER").alias("role"), F.when(F.col("pos") % 2 == 0, "ohlcv_window[-1].c").alias("context_field"))).alias("important_levels"),
+        F.array(F.struct(F.lit("BULLISH").alias("direction")), F.struct(F.lit("BEARISH").alias("direction"))).alias("scenarios"),
+        F.lit(0.5).alias("confidence"),
+    ))
+    answers = rows.select("example_id", F.when(F.col("pos") % 10 == 3, "no answer").otherwise(answer).alias("text"))
+    scored = teacher.score(teacher.parse(answers), rows.select("example_id", "symbol", "interval", "context"))
+    scored = scored.select("*", F.lit("m").alias("model"), F.lit(0).alias("run"), F.lit("s").alias("stratum"), F.col("context.as_of").alias("as_of"), F.lit(1).alias("attempts"), F.col("ok").alias("first_attempt_ok"), F.lit(2.0).alias("latency_seconds"), F.lit(10).alias("prompt_tokens"), F.lit(5).alias("completion_tokens"), F.lit(0.1).alias("cost"), F.lit("h").alias("prompt_hash"))
+    kept = str(tmp_path / "scored")
+    records.append_checkpoint(scored.drop("errors", "text"), kept)
+
+    assert cli.main(["report", kept, "--count", "100", "--out", str(tmp_path / "summary")]) == 0
+    out = capsys.readouterr().out
+    assert "# Recommendation: m" in out and "11.11" in out
+    assert cli.main(["describe", kept, "--val-start", "2024-04-15"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert (told["generated"], told["accepted"], told["rejects"]) == (40, 36, {"CALL_FAILED": 4})
+    assert {c["value"] for c in told["counts"] if c["dimension"] == "split"} == {"train", "val"}
+    assert cli.main(["regate", kept, "--out", str(tmp_path / "corpus"), "--first-attempt"]) == 0
+    assert spark.read.json(str(tmp_path / "corpus" / "rejected")).count() == 4
+    (tmp_path / "prompts" / "v1").mkdir(parents=True)
+    for part in ("system", "user", "repair"):
+        (tmp_path / "prompts" / "v1" / f"{part}.md").write_text("Context: {context}")
+    capsys.readouterr()
+    assert cli.main(["export", kept, "--out", str(tmp_path / "pairs"), "--prompts", str(tmp_path / "prompts")]) == 0
+    pairs = {json.loads(line)["view"]: json.loads(line)["pairs"] for line in capsys.readouterr().out.strip().splitlines()}
+    assert pairs == {"full": 36, "tail": 36, "compact": 16}
