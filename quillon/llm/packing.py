@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -37,7 +38,7 @@ END_ID = 0
 #: Special token of the vocabulary file and its id; its string in a text is that token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Words whose ids a task remembers, before it starts anew.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 #: Cells that the pieces of one length are ranked in, side by side.
 SALTS = 64
 #: Classes of the linear program, its pricing rounds at most, the part of a class's demand that a
@@ -67,6 +68,13 @@ class _Words(dict):
         return out
 
 
+#: The vocabulary's pre-token pattern in the standard library's terms, which is faster; it says the
+#: same of the characters up to U+024F but for those that SLOW finds: there, letters are what is
+#: alphanumeric and no digit, and digits are all numbers.
+FAST = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+SLOW = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+
+
 def encoder(ranks_path: str | None = None):
     """text -> its ids and the end id, as little-endian unsigned 32-bit numbers.
 
@@ -75,7 +83,8 @@ def encoder(ranks_path: str | None = None):
     import public_tokenizers
     import regex
 
-    words, find = _Words(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")), regex.compile(public_tokenizers.PATTERN).findall
+    words, full = _Words(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")), regex.compile(public_tokenizers.PATTERN).findall
+    find = lambda s: full(s) if SLOW.search(s) else FAST.findall(s)
     special, end = array("I", [SPECIAL_ID]).tobytes(), array("I", [END_ID]).tobytes()
     plain = lambda s: b"".join(map(words.__getitem__, find(s)))
     return lambda text: (special.join(map(plain, text.split(SPECIAL))) if SPECIAL in text else plain(text)) + end

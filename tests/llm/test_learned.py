@@ -34,6 +34,18 @@ def test_ids_are_the_tokenizers_own():
         assert np.frombuffer(encode(t), "<u4").tolist() == [*own.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_fast_pattern_says_the_same():
+    import public_tokenizers as p
+    import regex
+
+    full = regex.compile(p.PATTERN)
+    plain = [chr(i) for i in range(0x250) if not packing.SLOW.search(chr(i))]
+    assert len(plain) > 570
+    for c in plain:
+        for t in (c, f"a{c}b", f" {c}", f"1{c}", f"{c}{c} {c}", f"!{c}'s", f"\n{c}\n"):
+            assert full.findall(t) == packing.FAST.findall(t), (c, t)
+
+
 @pytest.mark.parametrize("n", [1, 7, 8, 9, 16, 17, 40])
 def test_cut(n):
     got = packing.cut(n, 8)
