@@ -43,7 +43,7 @@ BLOCKS |= {
         1 + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS n_conf,
         k % 17 <> 0 AS ok, CASE WHEN k % 34 = 0 THEN 'Timeout: no answer after 120 s' WHEN k % 17 = 0 THEN 'SchemaError: missing field' END AS error,
         CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS attempts, k % 17 <> 0 AND k % 4 <> 0 AS first_attempt_ok, round(5 + (k * 37 % 101) / 10.0, 3) AS latency_seconds,
-        1000 + k % 50 AS prompt_tokens, 200 + k % 30 AS completion_tokens, CASE WHEN m < 2 THEN 0.001 * (1 + k % 3 + m) END AS cost,
+        1000 + k % 50 AS prompt_tokens, 200 + k % 30 AS completion_tokens, CASE WHEN m < 2 THEN 0.001::DOUBLE * (1 + k % 3 + m) END AS cost,
         (k % 15 = 0)::INT AS hallucinated_numbers, (k % 20 = 0)::INT AS unresolvable_fields, (k % 18 = 0)::INT AS numbers_in_prose, (k % 15 <> 0 AND k % 20 <> 0 AND k % 18 <> 0) AS is_grounded,
         CASE WHEN m = 2 THEN 'h2' ELSE 'h1' END AS prompt_hash FROM t_k""",
     "t_s": """SELECT *, CASE WHEN trend <> 'INSUFFICIENT_DATA' THEN ms = trend END AS structure_agrees, hb = coalesce(htf_bias, 'UNAVAILABLE') AS htf_bias_agrees,
@@ -367,7 +367,7 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar(rows, "ok", F.concat(F.lit("["), F.array_join("reasons", ", "), F.lit("]")).alias("reasons"), "split")
 
 
-@query(sql("SELECT symbol, pos::BIGINT AS pos, pos % 19 <> 0 AS ok, CASE WHEN pos % 19 <> 0 THEN 0.5 END AS confidence FROM bars_1h"))
+@query(sql("SELECT symbol, pos::BIGINT AS pos, pos % 19 <> 0 AS ok, CASE WHEN pos % 19 <> 0 THEN 0.5::DOUBLE END AS confidence FROM bars_1h"))
 def parse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers, _ = _answers(spark, sf_dir)
     rows = teacher.parse(answers).withColumn("symbol", F.split("example_id", "_1h#")[0]).withColumn("pos", F.split("example_id", "#")[1])
