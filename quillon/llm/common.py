@@ -21,6 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(f"file://{base}")
         base = f"file://{base}"
