@@ -295,6 +295,44 @@ def test_sample_properties(spark):
     assert len(counts) == 5 and max(counts.values()) - min(counts.values()) <= 2
 
 
+def greedy(rows, spec):
+    """The choice by plain lists: (stratum, source, pos) in order."""
+    pool = {}
+    for r in sorted(rows, key=lambda r: (r["key"], r["pos"])):
+        pool.setdefault(r["stratum"], {}).setdefault(r["source"], []).append(r["pos"])
+    order = sorted(pool, key=lambda k: (sum(map(len, pool[k].values())), k))
+    turn, taken, out, progress = dict.fromkeys(order, 0), {}, [], True
+    while progress and len(out) < spec.target_count:
+        progress = False
+        for stratum in order:
+            sources = sorted(pool[stratum])
+            for k in range(len(sources)):
+                source = sources[(turn[stratum] + k) % len(sources)]
+                near = taken.setdefault(source, set())
+                free = next((p for p in pool[stratum][source] if p not in near), None)
+                if free is not None and len(out) < spec.target_count:
+                    out.append((stratum, source, free))
+                    near.update(range(free - spec.separation + 1, free + spec.separation))
+                    turn[stratum], progress = (turn[stratum] + k) % len(sources) + 1, True
+                    break
+    return out
+
+
+@pytest.mark.parametrize(("series", "bars", "separation", "target", "batch"), [(1, 6000, 12, 2000, None), (5, 40, 9, 500, (2, 3))])
+def test_sample_uses_every_candidate(spark, monkeypatch, series, bars, separation, target, batch):
+    """A long series, whose later candidates are needed as well; and small batches of sources and rows."""
+    if batch:
+        monkeypatch.setattr(sampler, "BATCH_SOURCES", batch[0])
+        monkeypatch.setattr(sampler, "BATCH_ROWS", batch[1])
+    rng = random.Random(5)
+    rows = [(f"S{s}", "1m", i, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i), rng.choice(("UPTREND", "RANGE")) if series > 1 else "RANGE", "LOW") for s in range(series) for i in range(bars)]
+    frame_ = spark.createDataFrame(rows, "symbol string, interval string, pos int, ts timestamp, trend string, vol_regime string")
+    spec = sampler.SampleSpec(target_count=target, cutoff="2025-01-01", min_index=0, separation=separation)
+    found = sampler.candidates(frame_, spec)
+    got = [(r["stratum"], r["source"], r["pos"]) for r in sampler.choose(found, spec).orderBy("pick").collect()]
+    assert got == greedy(found.collect(), spec)
+
+
 def test_strided_bars(spark):
     got = strided(frame(spark, clean_daily(120)), 5, warm_up=20).orderBy("pos").collect()
     assert [r["pos"] for r in got] == [20, 40, 60, 80, 100]
