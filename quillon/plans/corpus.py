@@ -14,7 +14,6 @@ from ..functions.scalar import iso8601
 from ..operators import grounding, metrics, sampler, screen, summary, teacher, views
 from ..operators.context import contexts, described
 from ..operators.indicators import indicators
-from ..params import EngineParams
 from ..sources import tables
 from .market import BAR, bar, rounded
 from .sql import BLOCKS, sql
@@ -270,8 +269,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context JSON of every bar with one analysis that cites it, partly falsified by position."""
-    params = EngineParams(window_bars=1)
-    c = contexts(tables.bars_1h(spark, sf_dir), "1h", params=params).withColumn("k", F.col("pos"))
+    c = contexts(tables.bars_1h(spark, sf_dir), "1h").withColumn("k", F.col("pos"))
     x = F.col("context")
     rsi, high = x.indicators.rsi, x.structure.active_swing_high
     none = F.lit(None).cast("string")
@@ -319,7 +317,7 @@ def prose_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT 'full' AS view, count(*)::BIGINT AS pairs FROM bars_1h UNION ALL SELECT 'tail', count(*) FROM bars_1h UNION ALL SELECT 'compact', count(*) FILTER (WHERE pos % 3 <> 0) FROM bars_1h"))
 def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view without candles drops the pairs that cite one."""
-    c = contexts(tables.bars_1h(spark, sf_dir), "1h", params=EngineParams(window_bars=1)).withColumn("k", F.col("pos"))
+    c = contexts(tables.bars_1h(spark, sf_dir), "1h").withColumn("k", F.col("pos"))
     none = F.array().cast("array<struct<context_field:string>>")
     a = F.struct(F.array(F.struct(_when(3, "ohlcv_window[-1].c", "structure.trend").alias("context_field"))).alias("supporting_evidence"), none.alias("conflicting_evidence"), none.alias("important_levels"))
     rows = c.withColumn("analysis", a)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from quillon import cli
 from quillon.operators import grounding, metrics, summary, teacher, views
+from quillon.operators.context import contexts
 from quillon.operators.indicators import seeded
+from quillon.plans import corpus
 from quillon.sources import csv, records, sinks
 from quillon.streaming.bars import stream_bars, stream_ema
+from tests.conftest import TESTDATA
 from tests.test_engine import clean_daily
 
 HEAD = "datetime,open,high,low,close,volume\n"
@@ -241,3 +244,19 @@ def test_corpus_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["export", kept, "--out", str(tmp_path / "pairs"), "--prompts", str(tmp_path / "prompts")]) == 0
     pairs = {json.loads(line)["view"]: json.loads(line)["pairs"] for line in capsys.readouterr().out.strip().splitlines()}
     assert pairs == {"full": 36, "tail": 36, "compact": 16}
+
+
+def test_views_of_full_windows(spark):
+    """Citations of candles within and beyond the last 20, by brute force; and the registered queries see 60 candles."""
+    bars = spark.createDataFrame(clean_daily(90), "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double")
+    back = (1, 20, 21, 60, 61)
+    cite = F.concat(F.lit("ohlcv_window[-"), F.get(F.array(*map(F.lit, back)), F.col("pos") % len(back)).cast("string"), F.lit("].c"))
+    none = F.array().cast("array<struct<context_field:string>>")
+    analysis = F.struct(F.array(F.struct(cite.alias("context_field"))).alias("supporting_evidence"), none.alias("conflicting_evidence"), none.alias("important_levels"))
+    rows = contexts(bars, "1d").withColumn("analysis", analysis).persist()
+    for name, kept in (("full", 60), ("tail", 20), ("compact", 0)):
+        got = {r["pos"] for r in views.view(rows, name).select("pos").collect()}
+        assert got == {p for p in range(90) if back[p % len(back)] <= min(p + 1, kept)}, name
+    rows.unpersist()
+    sizes = corpus.cited(spark, f"{TESTDATA}/sf0.001").agg(F.max(F.size("context.ohlcv_window"))).first()[0]
+    assert sizes == 60
