@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import nearest_rank
+from ..functions.ranks import at_ranks, numbered
 
 #: Weights of the quality score, gates and the tolerance of the pick.
 WEIGHTS = {"schema_compliance_rate": 0.20, "grounded_rate": 0.25, "fact_agreement_rate": 0.20, "no_contradiction": 0.15, "consistency": 0.15, "first_attempt_rate": 0.05}
@@ -39,7 +39,8 @@ def summarise(rows: DataFrame) -> DataFrame:
     """One row for each model, over first runs but for calls, total_cost and consistency."""
     first, ok = F.col("run") == 0, (F.col("run") == 0) & F.col("ok")
     mean = lambda c, where: F.avg(F.when(where, F.col(c)))
-    ranks = F.sort_array(F.collect_list(F.when(first, F.coalesce("latency_seconds", F.lit(0.0)))))
+    nearest = lambda q: lambda n: F.least(n - 1, F.bround(F.lit(q) * (n - 1), 0).cast("long"))
+    latency = at_ranks(rows.filter(first), F.coalesce("latency_seconds", F.lit(0.0)), ("model",), {"p50_latency": nearest(0.5), "p95_latency": nearest(0.95)})
     out = rows.groupBy("model").agg(
         F.count_if(first).alias("examples"),
         F.count(F.lit(1)).alias("calls"),
@@ -59,9 +60,9 @@ def summarise(rows: DataFrame) -> DataFrame:
         mean("completion_tokens", first).alias("mean_completion_tokens"),
         mean("cost", first).alias("mean_cost"),
         F.sum("cost").alias("total_cost"),
-        ranks.alias("__latency"),
     )
-    out = out.withColumn("valid_json_rate", F.col("first_attempt_rate")).withColumn("p50_latency", nearest_rank(F.col("__latency"), 0.5)).withColumn("p95_latency", nearest_rank(F.col("__latency"), 0.95)).drop("__latency")
+    out = out.withColumn("valid_json_rate", F.col("first_attempt_rate"))
+    out = out.join(latency.withColumnRenamed("model", "__model"), F.col("model").eqNullSafe(F.col("__model")), "left").drop("__model")
     return out.join(consistency(rows), "model", "left")
 
 
@@ -154,6 +155,5 @@ def strided(examples: DataFrame, count: int, order: tuple[str, ...] = ("example_
     n = examples.count()
     if n <= count:
         return examples
-    at = F.row_number().over(Window.orderBy(*order)) - 1
     first = F.ceil(F.col("__at") * count / n)
-    return examples.withColumn("__at", at).filter((F.floor(first * n / count) == F.col("__at")) & (first < count)).drop("__at")
+    return numbered(examples, n, order).select(*examples.columns, "__at").filter((F.floor(first * n / count) == F.col("__at")) & (first < count)).drop("__at")

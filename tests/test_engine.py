@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quillon.operators import indicators as ind
 from quillon.operators import levels as lv
 from quillon.operators import resample as rs
-from quillon.operators import sampler, structure, validate
+from quillon.functions import ranks
+from quillon.operators import sampler, structure, summary, validate, views
 from quillon.operators.context import context_json, contexts, described, strided
 from quillon.params import EngineParams, Thresholds, from_mapping
 
@@ -336,3 +337,33 @@ def test_sample_uses_every_candidate(spark, monkeypatch, series, bars, separatio
 def test_strided_bars(spark):
     got = strided(frame(spark, clean_daily(120)), 5, warm_up=20).orderBy("pos").collect()
     assert [r["pos"] for r in got] == [20, 40, 60, 80, 100]
+
+
+# --------------------------------------------------------------- whole tables
+
+
+def test_positions_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 20)
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), k) for k in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "symbol string, pos int")
+    ranges = ranks.numbered(df, 300, ("symbol", "pos"))
+    assert [(r["symbol"], r["pos"]) for r in ranges.orderBy("__at").collect()] == sorted(rows)
+    picked = summary.strided(df, 7, ("symbol", "pos"))
+    assert sorted(map(tuple, picked.collect())) == [sorted(rows)[i * 300 // 7] for i in range(7)]
+    # The one window without partitions is over the counts of the ranges.
+    windows = [line for line in picked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+    assert any("row_number" in line and "[__range" in line for line in windows) and not any("row_number" in line and "[__range" not in line for line in windows)
+
+
+def test_ranks_without_arrays(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(("a", "b", None)), rng.choice((None, rng.randrange(50), rng.randrange(10**6)))) for _ in range(3000)] + [("none", None), ("one", 5)]
+    got = views.length_stats(spark.createDataFrame(rows, "m string, t long"), "t", "m")
+    expected = set()
+    for m in {m for m, _ in rows}:
+        v = sorted(t for k, t in rows if k == m and t is not None)
+        expected.add((m, len(v), *((v[len(v) // 2], v[int(len(v) * 0.95)], v[-1]) if v else (None,) * 3)))
+    assert set(map(tuple, got.collect())) == expected
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
