@@ -1,6 +1,7 @@
 """Language identification: scripts narrow the candidates, Viterbi labels spans of words.
 
-A word's script (by code ranges) leaves the languages that were seen in that script; each of them
+A run of letters is cut where the script changes and into pieces of WORD_LETTERS at most, each a word
+of its own. A word's script (by code ranges) leaves the languages that were seen in that script; each of them
 scores the word by a character model of order two, learned from labelled texts. Viterbi over the
 words, with a penalty for a switch, labels spans; the prediction is the language of most letters.
 
@@ -37,7 +38,7 @@ SWITCH, WORD_LIMIT = 8.0, 3.0
 SCRIPT_SHARE = 0.005
 #: Texts that are labelled side by side.
 BATCH = 2000
-#: Words whose scores a task remembers before it starts anew, and letters of a word that are scored.
+#: Words whose scores a task remembers before it starts anew, and the most letters of a word; longer runs are more words.
 CACHED_WORDS, WORD_LETTERS = 300_000, 40
 
 #: First code of each range, and its script.
@@ -52,8 +53,31 @@ _STARTS = [a for a, _ in SCRIPTS]
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def _one_script() -> re.Pattern:
+    """A piece of a run of letters: of one script, of WORD_LETTERS at most."""
+    ends = [*(a - 1 for a in _STARTS[1:]), 0x10FFFF]
+    ranges: dict[str, list[str]] = defaultdict(list)
+    for (a, name), z in zip(SCRIPTS, ends, strict=True):
+        ranges[name].append(f"\\U{a:08x}-\\U{z:08x}")
+    return re.compile("|".join(f"[{''.join(r)}]{{1,{WORD_LETTERS}}}" for r in ranges.values()))
+
+
+_PIECE = _one_script()
+
+
+def words_of(text: str) -> list[str]:
+    """Every letter of a lower-cased text, in words of one script and bounded length."""
+    out: list[str] = []
+    for run in _WORDS.findall(text):
+        if len(run) <= WORD_LETTERS and (run.isascii() or max(run) < "\u0370"):
+            out.append(run)
+        else:
+            out.extend(_PIECE.findall(run))
+    return out
+
+
 def script(word: str) -> str:
-    """Of a word, by its first letter."""
+    """Of a word, all of whose letters have one."""
     if word[0] < "\u0370":
         return "Latin"
     i = bisect_right(_STARTS, ord(word[0])) - 1
@@ -104,7 +128,7 @@ class Model:
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats of each language below the best one for each word, at most WORD_LIMIT; and whether any is written in its script."""
-        padded, rows = [f"  {w[:WORD_LETTERS]} " for w in words], self.rows
+        padded, rows = [f"  {w} " for w in words], self.rows
         flat = self.table[[rows[w[i : i + 3]] for w in padded for i in range(len(w) - 2)]]
         sizes = np.fromiter(map(len, padded), np.int64, len(padded)) - 2
         out = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
@@ -176,7 +200,7 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int]]]]:
         """(prediction, its share of the letters, spans (language, words)) of each text."""
-        found = [_WORDS.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t.lower()) if t else [] for t in texts]
         if not self.model.languages:
             return [(UNDETERMINED, 0.0, [])] * len(texts)
         known, out = self._known(found), []
@@ -218,8 +242,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         for b in batches:
             by: dict[str, Counter] = defaultdict(Counter)
             for language, t in zip(b["lang"], b["text"], strict=True):
-                by[language].update(_WORDS.findall(t.lower()))
-            rows = [(k, w[:WORD_LETTERS], n) for k, c in by.items() for w, n in c.items()]
+                by[language].update(words_of(t.lower()))
+            rows = [(k, w, n) for k, c in by.items() for w, n in c.items()]
             if rows:
                 yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 

@@ -311,3 +311,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.drop_toxic(docs, lexicon).count() == docs.count()
     odd = spark.createDataFrame([(1, 1, None), (None, 0, 1), (2, 0, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
     assert toxicity.train(docs, odd) == toxicity.DEFAULT
+
+
+def test_every_letter_of_a_run_is_read():
+    """Runs without spaces: cut where the script changes and every 40 letters, so a later language is found."""
+    from collections import Counter
+
+    from quillon.llm import language_id
+
+    assert language_id.words_of("a" * 95 + " \u00e9t\u00e9") == ["a" * 40, "a" * 40, "a" * 15, "\u00e9t\u00e9"]
+    assert language_id.words_of("okпривет日本語のx") == ["ok", "привет", "日本語", "の", "x"]
+    long = "".join(random.Random(1).choices("aбé日のx", k=5000))
+    assert "".join(language_id.words_of(long)) == long and {language_id.script(w) for w in language_id.words_of(long)} == {"Latin", "Cyrillic", "Han", "Kana"}
+    model = language_id.Model({"en": Counter({"hello": 9, "there": 5}), "ru": Counter({"привет": 9}), "xx": Counter({"zuqzuq": 9})})
+    (mixed, late) = language_id.Labeller(model).label(["hello" + "привет" * 60, "hello" * 8 + "zuq" * 400])
+    assert mixed[0] == "ru" and [k for k, _ in mixed[2]] in (["en", "ru"], ["ru"])
+    assert late[0] == "xx" and late[2][-1][0] == "xx" and sum(n for _, n in late[2]) == 31
