@@ -45,6 +45,14 @@ BOILERPLATE = frozenset(
 HEADER, ABOUT_ARTICLE = frozenset("header topbar top logo".split()), frozenset("article post entry content story main title".split())
 #: Words that mark even an article element as something else; first words that make a name tell what a page has.
 NO_ARTICLE, MODIFIERS = frozenset("comment comments reply replies related promo sponsored teaser ad ads advert".split()), frozenset("has with without no".split())
+#: First words of a wrapper's name, and the parts of a layout that such a name may tell of.
+WRAPPERS, LAYOUT = frozenset("content article main".split()), frozenset("sidebar side aside".split())
+#: Elements that an id, made from a heading's text, tells nothing about; names of a section that may be a heading's.
+BY_HEADING, SECTION_IDS = frozenset("p h1 h2 h3 h4 h5 h6".split()), frozenset("discussion notice notices related side".split())
+#: Words that say what kind of box a name is of.
+BOXES = frozenset("box slot unit wrap wrapper container block area list section link links button buttons bar item items".split())
+#: Names mark too much if they silence this many times the text that is left, and nothing that is left surges.
+TOO_MUCH = 10
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Lines of a window, characters that make a surge, and share of link text above which a line is a menu's.
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
@@ -64,11 +72,20 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
         if key in ("class", "id", "role") and tag not in ("html", "body", "main"):
+            if key == "id" and tag in BY_HEADING:
+                continue
             for name in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", name).lower())
-                if not words or words[0] in MODIFIERS:
+                # What a name has, or is without, doesn't name it.
+                words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+                if not words:
                     continue
-                if not (NO_ARTICLE if tag == "article" else BOILERPLATE).isdisjoint(words):
+                marks = (NO_ARTICLE if tag == "article" else BOILERPLATE).intersection(words)
+                if tag != "article" and in_article and not marks | BOXES >= set(words) or words[0] in WRAPPERS and marks <= LAYOUT:
+                    marks = frozenset()  # a part of a name tells nothing inside an article
+                if key == "id" and (in_article or tag == "section") and (len(words) > 1 or words[0] in SECTION_IDS):
+                    marks = frozenset()
+                if marks:
                     return True
                 if tag != "article" and not in_article and not HEADER.isdisjoint(words) and ABOUT_ARTICLE.isdisjoint(words):
                     return True
@@ -164,9 +181,12 @@ def page_lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int, bo
 def main_text(html: str | None) -> str:
     """The blocks between surge and dive, joined by newlines."""
     lines, named = page_lines(html or "")
-    if not any(t for t, _, _ in lines):
-        # Names that mark everything mark nothing.
-        lines, named = page_lines(html or "", by_name=False)
+    left = sum(len(t) for t, _, _ in lines)
+    if left < SURGE and not any(t and a for t, _, a in lines):
+        # Names that mark everything, or all but a stray line, mark nothing.
+        plain = page_lines(html or "", by_name=False)
+        if not left or sum(len(t) for t, _, _ in plain[0]) - left > max(TOO_MUCH * left, SURGE):
+            lines, named = plain
     if named and not any(t and a for t, _, a in lines):
         named = False
     sizes = [0 if named and not a or not named and t and k > LINK_SHARE * len(t) else len(t) for t, k, a in lines]

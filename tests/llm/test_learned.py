@@ -327,3 +327,16 @@ def test_every_letter_of_a_run_is_read():
     (mixed, late) = language_id.Labeller(model).label(["hello" + "привет" * 60, "hello" * 8 + "zuq" * 400])
     assert mixed[0] == "ru" and [k for k, _ in mixed[2]] in (["en", "ru"], ["ru"])
     assert late[0] == "xx" and late[2][-1][0] == "xx" and sum(n for _, n in late[2]) == 31
+
+
+def test_names_that_tell_of_headings_or_wrappers():
+    body = "A sentence of the article that is long enough to count as text of the page. " * 3
+    text = body.strip()
+    for inner in ('<h2 id="related-work">Title words</h2>', '<section id="discussion">Title words</section>', '<p id="side-effects">Title words</p>', '<div id="search-methods">Title words</div>', '<div class="share-holders">Title words</div>'):
+        assert "Title words" in main_text(f"<article><p>{body}</p>{inner}<p>{body}</p></article>"), inner
+    assert "Title words" in main_text(f'<body><p>{body}</p><h2 id="related-work">Title words</h2><p>{body}</p></body>')
+    for name in ("comments", "ad", "share"):
+        assert "Title words" not in main_text(f'<article><p>{body}</p><div class="{name}">Title words</div><p>{body}</p></article>')
+    assert main_text(f'<div class="content-with-sidebar"><p>{body}</p></div><p>stray</p>') == text + "\nstray"
+    assert text in main_text(f'<div class="widget-area"><p>{body * 4}</p></div><p>stray</p>')
+    assert "Buy" not in main_text(f'<p>{body}</p><div class="sidebar"><p>{"Buy this now. " * 300}</p></div>')
