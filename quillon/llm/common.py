@@ -6,9 +6,12 @@ import re
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: White space of the word rules: space and U+0009 to U+000D.
@@ -68,6 +71,20 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_frames(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """rows.mapInPandas(run, schema) in bounded batches. Columns of longs go in as text, and come out as longs again.
+
+    pandas holds a column of longs with a null among them as doubles, which have no room for an id
+    above 2^53; text, or None, passes through unchanged.
+    """
+    longs = [f.name for f in rows.schema if isinstance(f.dataType, LongType)]
+    wanted = StructType.fromDDL(schema)
+    outside = [f.name for f in wanted if isinstance(f.dataType, LongType) and f.name in longs]
+    inside = StructType([StructField(f.name, StringType()) if f.name in outside else f for f in wanted])
+    out = in_small_batches(rows.withColumns({c: F.col(c).cast("string") for c in longs})).mapInPandas(run, inside)
+    return out.select(*[F.col(f.name).cast("bigint").alias(f.name) if f.name in outside else f.name for f in wanted])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

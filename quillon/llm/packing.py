@@ -1,14 +1,16 @@
 """Best-fit packing by the configuration linear program.
 
 Documents become token pieces in one pass over the texts. All that the driver sees is the histogram
-of piece lengths (2048 numbers). Lengths are grouped into classes of like counts, rounded up to the
-class's longest; the configuration program over the classes (one variable for each way to fill a
-sequence) is solved by multiplicative weights: an unbounded-knapsack dynamic program prices the best
-pattern, the classes it covers get cheaper, and so on until all are covered. Rounding down leaves
-whole patterns; real lengths are dealt to them, the last room of each sequence best-fit, and what is left over (short
-pieces, and the remainder of the rounding) goes best-fit decreasing into the room that is left. The outcome is a
-table of rank intervals for each length, of a size that doesn't depend on the number of documents;
-pieces are ranked within (length, salt) cells and find their sequence by a broadcast range join.
+of piece lengths (2048 numbers). Lengths, short ones included, are grouped into classes of like
+volume, each as large as its longest; the configuration program over the classes (one variable for
+each way to fill a sequence) is solved by multiplicative weights: an unbounded-knapsack dynamic
+program prices the best pattern, the classes it covers get cheaper, and so on until all are covered.
+Real lengths are dealt to the patterns, rounded down, the last slot of each making up for what the
+others fall short; what is left over goes best-fit decreasing into the room that is left. Several
+parts of the amounts are tried, down to none, and the fewest sequences win, so that the result never
+has more than best-fit decreasing. The outcome is a table of rank intervals for each length, of a
+size that doesn't depend on the number of documents; pieces are ranked within (length, salt) cells
+and find their sequence by a broadcast range join.
 
 Defined cases: a null or empty text is one piece with the end id alone; equal rows are packed each;
 a null id is an id; an empty table gives no rows; other columns are ignored.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_small_batches, written
+from .common import map_frames, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,13 +41,13 @@ END_ID = 0
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Words whose ids a task remembers, before it starts anew.
 CACHED_WORDS = 300_000
-#: Cells that the pieces of one length are ranked in, side by side.
-SALTS = 64
+#: Pieces of one length that a task ranks.
+CELL_ROWS = 250_000
 #: Classes of the linear program, its pricing rounds at most, the part of a class's demand that a
 #: round covers at most, and the exponent of the weights.
-CLASSES, ROUNDS, STEP, ETA = 64, 1500, 0.05, 12.0
-#: Pieces up to this length only fill gaps.
-FILLER = 256
+CLASSES, ROUNDS, STEP, ETA = 64, 1500, 0.1, 24.0
+#: Parts of a pattern's amount that are dealt, rounded down; the rest closes gaps. They are tried in turn.
+PARTS = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -107,11 +109,9 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
                 blob = ids(t or "")
                 view = memoryview(blob)
                 rows += [(doc, i, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(blob) // 4, capacity))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return in_small_batches(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, PIECES)
+    return map_frames(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, PIECES)
 
 
 def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
@@ -211,74 +211,100 @@ class _Plan:
         return out
 
 
+    def sequences(self) -> int:
+        return sum(count for runs in self.by_room.values() for count, _ in runs)
+
+
 def _deal(left: dict[int, int], classes: list[list[int]], slots: list[int], capacity: int) -> tuple[int, list[tuple[int, int]]]:
-    """One sequence of a pattern in real lengths, and how often what is left allows it.
+    """One sequence of a pattern in real lengths, and how often what is left allows it; (0, []) if a class is used up.
 
-    Each slot but the last gets the longest that is left of its class; the room from there on goes
-    best-fit to the longest pieces of any class that it takes.
+    Each slot gets the longest that is left of its class. The last slot of several gets the longest
+    that fits into the room the others leave, which is of its class or longer: real lengths are
+    shorter than their class's size, and this slot makes up for that.
     """
     need: dict[int, int] = defaultdict(int)
-    room = capacity
-    for j in slots[:-1]:
-        n = next(n for n in classes[j] if left[n] > need.get(n, 0))
+    room, free = capacity, lambda n: left[n] - need.get(n, 0)
+    for j in slots:
+        n = next((n for n in classes[j] if free(n)), None)
+        if n is None:
+            return 0, []
         need[n] += 1
         room -= n
-    lengths = sorted(n for n, c in left.items() if c)
-    i = bisect_left(lengths, room + 1) - 1
-    while i >= 0:
-        n = lengths[i]
-        if take := min(room // n, left[n] - need.get(n, 0)):
-            need[n] += take
-            room -= take * n
-        i = min(i, bisect_left(lengths, room + 1)) - 1
-    return min(left[n] // a for n, a in need.items()), list(need.items())
+    if len(slots) > 1:
+        last = n
+        n = next(n for n in range(last + room, last - 1, -1) if n == last or n in left and free(n))
+        need[last] -= 1
+        need[n] += 1
+    pieces = sorted(((n, a) for n, a in need.items() if a), reverse=True)
+    return min(left[n] // a for n, a in pieces), pieces
+
+
+def _classes(lengths: dict[int, int], most: int) -> list[list[int]]:
+    """The lengths, from the longest down, in classes of like volume; each length its own where that is few enough."""
+    longest_first = sorted(lengths, reverse=True)
+    if len(longest_first) <= most:
+        return [[n] for n in longest_first]
+    each, out, total = sum(n * c for n, c in lengths.items()) / most, [[]], 0
+    for n in longest_first:
+        if out[-1] and total + n * lengths[n] > each:
+            out.append([])
+            total = 0
+        out[-1].append(n)
+        total += n * lengths[n]
+    return out
+
+
+def _rounded(lengths: dict[int, int], patterns: list[tuple[list[int], float]], classes: list[list[int]], part: float, capacity: int) -> _Plan:
+    """``part`` of every pattern's amount, rounded down and dealt; what is left goes best-fit decreasing."""
+    out, left = _Plan(capacity), dict(lengths)
+    for slots, amount in patterns:
+        count = math.floor(amount * part + 1e-9)
+        while count:
+            run, pieces = _deal(left, classes, slots, capacity)
+            if not (run := min(run, count)):
+                break
+            for n, a in pieces:
+                left[n] -= run * a
+            out.put(run, pieces)
+            count -= run
+    for n in sorted(left, reverse=True):
+        out.fit(n, left[n])
+    return out
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rank intervals that pack a histogram of lengths; every (length, rank) has exactly one place."""
-    out, left = _Plan(capacity), {n: c for n, c in histogram.items() if 0 < n < capacity and c}
+    """Rank intervals that pack a histogram of lengths; every (length, rank) has exactly one place.
+
+    The program is rounded at each of PARTS, and the rounding with the fewest sequences is taken, of
+    equals the one that deals most. The last part is 0: never more sequences than best-fit decreasing.
+    """
+    lengths = {n: c for n, c in histogram.items() if 0 < n < capacity and c}
+    best = _Plan(capacity)
+    if lengths:
+        classes = _classes(lengths, CLASSES)
+        sizes, demand = np.array([c[0] for c in classes]), np.array([float(sum(lengths[n] for n in c)) for c in classes])
+        solved = sorted(solve(sizes, demand, capacity), key=lambda x: (-x[1], sorted(x[0].items())))
+        patterns = [(sorted(j for j, a in pattern.items() for _ in range(a)), amount) for pattern, amount in solved]
+        best = min((_rounded(lengths, patterns, classes, part, capacity) for part in PARTS), key=_Plan.sequences)
     if full := histogram.get(capacity):
-        out.put(full, [(capacity, 1)])
-    large = sorted((n for n in left if n > FILLER), reverse=True)
-    if large:
-        each, classes, total = sum(left[n] for n in large) / CLASSES, [[]], 0
-        for n in large:
-            if classes[-1] and total + left[n] > each:
-                classes.append([])
-                total = 0
-            classes[-1].append(n)
-            total += left[n]
-        sizes, demand = np.array([c[0] for c in classes]), np.array([float(sum(left[n] for n in c)) for c in classes])
-        for pattern, amount in sorted(solve(sizes, demand, capacity), key=lambda x: -x[1]):
-            count = min(math.floor(amount + 1e-9), *(sum(left[n] for n in classes[j]) // a for j, a in pattern.items()))
-            slots = sorted(j for j, a in pattern.items() for _ in range(a))
-            while count:
-                run, pieces = _deal(left, classes, slots, capacity)
-                run = min(run, count)
-                for n, a in pieces:
-                    left[n] -= run * a
-                out.put(run, pieces)
-                count -= run
-                if any(sum(left[n] for n in classes[j]) < slots.count(j) for j in set(slots)):
-                    break
-    for n in sorted(left, reverse=True):
-        out.fit(n, left[n])
-    return out.intervals()
+        best.put(full, [(capacity, 1)])
+    return best.intervals()
 
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, text, doc_id, capacity, ranks_path).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    cells = pieces.groupBy("length", "salt").count()
-    histogram = {r["length"]: r["count"] for r in cells.groupBy("length").agg(F.sum("count").alias("count")).collect()}
-    places = spark.createDataFrame(plan(histogram, capacity), "length bigint, first bigint, end bigint, sequence bigint, offset bigint")
+    pieces = written(token_pieces(docs, text, doc_id, capacity, ranks_path), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    places = spark.createDataFrame(plan(histogram, capacity), "of bigint, first bigint, end bigint, sequence bigint, offset bigint")
+    # A length of many pieces is ranked in many cells, side by side; capacity rows at most.
+    salts = spark.createDataFrame([(n, 1 + c // CELL_ROWS) for n, c in histogram.items()], "of bigint, salts bigint")
+    salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("of", "salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    # Both tables are bounded: lengths x SALTS rows, and a few intervals for each length.
-    ranked = pieces.withColumn("n", F.row_number().over(within)).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("n") - 1)
-    p = F.broadcast(places.withColumnRenamed("length", "of"))
-    return ranked.join(p, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select(
+    # Both tables are bounded: one row for CELL_ROWS pieces, and at most one for each length; a few intervals for each length.
+    ranked = salted.withColumn("n", F.row_number().over(within)).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("n") - 1)
+    return ranked.join(F.broadcast(places), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset"
     )

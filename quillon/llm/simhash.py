@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, in_small_batches, without, written
+from .common import BROADCAST_IDS, map_frames, without, written
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -72,10 +72,10 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": np.fromiter(map(fingerprint, batch["text"]), np.int64, len(batch))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": np.fromiter(map(fingerprint, batch["text"]), np.int64, len(batch))})
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return in_small_batches(rows).mapInPandas(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return map_frames(rows, run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _linked(f: np.ndarray, th: np.ndarray, other_f, other_th) -> np.ndarray:
