@@ -6,7 +6,8 @@ scores the word by a character model of order two, learned from labelled texts.
 words, with a penalty for a switch, labels spans; the prediction is the language of most letters.
 
 The model is fitted on at most TRAIN_ROWS labelled rows, chosen by the hash of their id; every text
-is predicted, whole. Nothing is shuffled but the model's counts.
+is predicted, whole. Nothing is shuffled but the model's counts; words become counts of grams where
+they are, and the driver gets the grams.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; words of a script that no
 language was learned in don't vote, and a text of such words alone gets the most common language
@@ -27,11 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, written
+from .common import in_small_batches, map_frames
 
 UNDETERMINED = "und"
-#: Labelled rows that a model is fitted on, and words of each language that it keeps, by count.
-TRAIN_ROWS, TRAIN_WORDS = 12_000, 60_000
+#: Labelled rows that a model is fitted on.
+TRAIN_ROWS = 12_000
+#: A word that is found n times counts 1 + ln n times, in parts of this; sums of whole numbers don't depend on their order.
+PARTS = 1_000_000
 #: Cost of a change of language between two words, and the most that one word can speak for a language, in nats.
 SWITCH, WORD_LIMIT = 8.0, 3.0
 #: A script is a language's if this share of its words are in it.
@@ -69,7 +72,9 @@ def words_of(text: str) -> list[str]:
     """Every letter of a lower-cased text, in words of one script and bounded length."""
     out: list[str] = []
     for run in _WORDS.findall(text):
-        if len(run) <= WORD_LETTERS and (run.isascii() or max(run) < "\u0370"):
+        if not run.isalpha():  # numbers such as ½ and ², which are no letters
+            out.extend(p for letters in "".join(c if c.isalpha() else " " for c in run).split() for p in _PIECE.findall(letters))
+        elif len(run) <= WORD_LETTERS and (run.isascii() or max(run) < "\u0370"):
             out.append(run)
         else:
             out.extend(_PIECE.findall(run))
@@ -92,31 +97,47 @@ class _Grams(dict):
         return row
 
 
+def gram_counts(words: dict[str, int]) -> Counter:
+    """(kind, text) -> weight of a language's words: its scripts by words, and grams of one to three characters by parts."""
+    out: Counter = Counter()
+    for word, n in words.items():
+        out["script", script(word)] += n
+        w, n = f"  {word} ", round(PARTS * (1 + math.log(n)))
+        for i in range(2, len(w)):
+            out["3", w[i - 2 : i + 1]] += n
+            out["2", w[i - 1 : i + 1]] += n
+            out["1", w[i - 1]] += n
+    return out
+
+
 class Model:
     """Character model of each language and the scripts it is written in."""
 
-    def __init__(self, counts: dict[str, Counter]):
-        self.languages = sorted(counts, key=lambda k: (-sum(counts[k].values()), k))
+    def __init__(self, words: dict[str, Counter]):
+        self._fit({language: gram_counts(own) for language, own in words.items()})
+
+    @classmethod
+    def of_grams(cls, grams: dict[str, Counter]) -> Model:
+        model = cls.__new__(cls)
+        model._fit(grams)
+        return model
+
+    def _fit(self, grams: dict[str, Counter]) -> None:
+        of = lambda k, kind: Counter({g: n / PARTS for (x, g), n in grams[k].items() if x == kind})
+        scripts = {k: Counter({g: n for (x, g), n in own.items() if x == "script"}) for k, own in grams.items()}
+        self.languages = sorted(grams, key=lambda k: (-sum(scripts[k].values()), k))
         self.scripts: dict[str, list[int]] = defaultdict(list)
-        tri, two, one = ([Counter() for _ in self.languages] for _ in range(3))
         for k, language in enumerate(self.languages):
-            by_script = Counter()
-            for word, n in counts[language].items():
-                by_script[script(word)] += n
-                w, n = f"  {word} ", 1 + math.log(n)
-                for i in range(2, len(w)):
-                    tri[k][w[i - 2 : i + 1]] += n
-                    two[k][w[i - 1 : i + 1]] += n
-                    one[k][w[i - 1]] += n
-            for s, n in by_script.items():
-                if n >= SCRIPT_SHARE * sum(by_script.values()):
+            for s, n in scripts[language].items():
+                if n >= SCRIPT_SHARE * sum(scripts[language].values()):
                     self.scripts[s].append(k)
+        tri, two, one = ([of(k, kind) for k in self.languages] for kind in "321")
         alphabet = max(2, len({c for x in one for c in x}))
         self.rows, table = _Grams(), [[0.0] * len(self.languages)]
         pair = lambda k, g: (two[k].get(g, 0) + 0.5) / (one[k].get(g[0], 0) + 0.5 * alphabet)
         context = [Counter() for _ in self.languages]
-        for k, grams in enumerate(tri):
-            for g, n in grams.items():
+        for k, own in enumerate(tri):
+            for g, n in own.items():
                 context[k][g[:2]] += n
         for g in sorted({g for x in two for g in x}):
             self.rows[g] = len(table)
@@ -247,14 +268,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             if rows:
                 yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
-    words = labelled.filter(F.col("h") <= last).select("lang", "text").mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = defaultdict(Counter)
-    words = written(words, "language-words")
-    # One bounded top list for each language: no language's words meet in one task.
-    for (language,) in words.select("lang").distinct().collect():
-        for r in words.filter(F.col("lang") == language).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).select("word", "n").collect():
-            counts[language][r["word"]] = r["n"]
-    return Model(dict(counts))
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for language, own in b.groupby("lang"):
+                got = gram_counts(dict(zip(own["word"], own["n"].astype(int), strict=True)))
+                yield pd.DataFrame([(language, kind, g, n) for (kind, g), n in got.items()], columns=["lang", "kind", "gram", "n"])
+
+    words = in_small_batches(labelled.filter(F.col("h") <= last).select("lang", "text")).mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = words.mapInPandas(grams, "lang string, kind string, gram string, n bigint").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    by_language: dict[str, Counter] = defaultdict(Counter)
+    # Grams of three characters at most, of a bounded number of rows.
+    for r in found.collect():
+        by_language[r["lang"]][r["kind"], r["gram"]] = r["n"]
+    return Model.of_grams(dict(by_language))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -265,7 +291,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
         labeller = Labeller(shared.value)
         for b in (frame.iloc[i : i + BATCH] for frame in batches for i in range(0, len(frame), BATCH)):
             got = labeller.label([t if isinstance(t, str) else None for t in b["text"]])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [[{"lang": k, "words": n} for k, n in x[2]] for x in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [[{"lang": k, "words": n} for k, n in x[2]] for x in got]})
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return in_small_batches(rows).mapInPandas(run, "doc_id bigint, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,words:bigint>>")
+    return map_frames(rows, run, "doc_id bigint, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,words:bigint>>")
