@@ -9,7 +9,7 @@ function of the two gives the score.
 The lexicon is learned: words and word beginnings that labelled toxic texts have and clean ones
 don't, weighted by their log-odds. A term is as long as it can be without losing toxic texts. The
 fit uses at most TRAIN_ROWS rows of each label, chosen by the hash of their id, and counts them where
-they are; every text is scored, whole, without a shuffle.
+they are; every term they give is used. Every text is scored, whole, without a shuffle.
 
 Defined cases: a null or empty text has no hits and gets the score of no hits; a null label is no
 label; without toxic or clean labels a short fixed lexicon is used; a document that is labelled more
@@ -21,25 +21,24 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, written
+from .common import in_small_batches, map_frames, written
 
-#: Rows of each label that are learned from, and the most terms of a lexicon.
-TRAIN_ROWS, MAX_TERMS = 4_000, 5_000
-#: Candidate features that the driver looks at, by the number of toxic texts.
-MAX_FEATURES = 200_000
+#: Rows of each label that are learned from.
+TRAIN_ROWS = 4_000
 #: Features that a task holds before it hands their counts on.
 HELD_FEATURES = 100_000
-#: Lengths of word beginnings that may be terms.
+#: Lengths of the word beginnings that are features; whole words are features of any length.
 SHORTEST, LONGEST = 4, 14
 #: A term needs toxic texts: this many, and this share; clean texts have it this much less often; a
 #: longer term replaces a shorter one if it keeps this share of its toxic texts.
@@ -61,7 +60,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "rodeo
 DEFAULT_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting")
 
 _SIGNS = str.maketrans({k: v for k, v in SUBSTITUTES.items()})
-_FOLD = str.maketrans(LOOKALIKES)
+#: Look-alikes, and full-width forms, which lie in the order of ASCII from U+FF01 on.
+_FOLD = str.maketrans(LOOKALIKES | {chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)})
 _MIXED = re.compile(r"[\w@$!|]*[0-9@$!|][\w@$!|]*")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -70,8 +70,6 @@ def fold(text: str) -> str:
     """The words of a text, folded, each with a space before it and one at the end."""
     text = text.lower()
     if not text.isascii():
-        if any(c in text for c in "ａｅｉｏｕｓｔｎ"):
-            text = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" else c for c in text)
         text = text.translate(_FOLD)
     if re.search(r"[0-9@$!|]", text):
         text = _MIXED.sub(_unmask, text)
@@ -128,9 +126,12 @@ class Lexicon:
         if self.weights or self.exceptions:
             for end, (term, w) in self.automaton().iter(folded):
                 (safe if w is None else found).append((end - len(term) + 1, end, term))
+        safe.sort()
+        starts, reach = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
         best: dict[int, str] = {}
         for start, end, term in found:
-            if not any(a <= start and end <= b for a, b, _ in safe):
+            i = bisect_right(starts, start)
+            if not i or reach[i - 1] < end:  # no phrase from there or before reaches its end
                 if start not in best or self.weights[term] > self.weights[best[start]]:
                     best[start] = term
         return list(best.values()), max(1, folded.count(" ") - 1)
@@ -150,6 +151,11 @@ class Lexicon:
 DEFAULT = Lexicon({f" {w}": 4.0 for w in DEFAULT_TERMS}, (-3.0, 2.5, 0.2))
 
 
+def least_texts(toxic: int) -> float:
+    """Toxic texts that a term needs."""
+    return max(MIN_TEXTS, MIN_SHARE * toxic)
+
+
 def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Terms and weights from (toxic texts, clean texts) of each feature.
 
@@ -157,8 +163,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     term; it grows while some longer one keeps nearly all of its toxic texts.
     """
     odds = lambda f: math.log((counts[f][0] + 0.5) / (toxic + 1)) - math.log((counts[f][1] + 0.5) / (clean + 1))
-    least = max(MIN_TEXTS, MIN_SHARE * toxic)
-    good = {f for f, (t, _) in counts.items() if t >= least and odds(f) >= MIN_LOG_ODDS}
+    good = {f for f, (t, _) in counts.items() if t >= least_texts(toxic) and odds(f) >= MIN_LOG_ODDS}
     longer: dict[str, list[str]] = defaultdict(list)
     for f in good:
         longer[f[:-1]].append(f)
@@ -172,17 +177,16 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
                 break
             f = following
         out[f] = odds(f)
-    best = sorted(out, key=lambda f: (-counts[f][0], f))[:MAX_TERMS]
-    return {f: out[f] for f in best}
+    return out
 
 
 def needed_terms(candidates: dict[str, float], texts: list[dict[str, int]]) -> dict[str, float]:
-    """The candidates that explain the toxic texts, given each text's hits by candidate."""
+    """The candidates that explain the toxic texts, given each text's hits by candidate, counted up to ENOUGH."""
     having: dict[str, list[int]] = defaultdict(list)
     for i, hits in enumerate(texts):
         for f in hits:
             having[f].append(i)
-    least = max(MIN_TEXTS, MIN_SHARE * len(texts))
+    least = least_texts(len(texts))
     got, out = [0] * len(texts), {}
     for f in sorted(having, key=lambda f: (-len(having[f]), f)):
         if len(having[f]) >= COMMON_SHARE * len(texts) or sum(got[i] < ENOUGH for i in having[f]) >= least:
@@ -213,6 +217,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
     """The lexicon of the labelled rows that aren't held out."""
     y = labels.filter(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
+    y = y.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi")  # labels of no document take no place
     ranked = [y.filter(F.col("y") == k).select("id", "y").orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
     chosen = ranked[0].union(ranked[1])
     # At most 2 x rows ids: a broadcast of known size.
@@ -228,27 +233,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         for b in batches:
             for k, t in zip(b["y"], b["text"], strict=True):
                 own[k].update(features(fold(t or "")))
-                own[k][""] += 1  # the number of texts
                 if len(own[0]) + len(own[1]) > HELD_FEATURES:
                     yield frame(own[1], own[0])
                     own = (Counter(), Counter())
         if own[0] or own[1]:
             yield frame(own[1], own[0])
 
-    counted = sample.mapInPandas(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    odd = counted.filter((F.col("f") == "") | (F.col("t") >= MIN_TEXTS) & (F.col("t") > 4 * F.col("c")))
-    counts = {r["f"]: (r["t"], r["c"]) for r in odd.orderBy(F.col("f") != "", F.desc("t"), "f").limit(MAX_FEATURES).collect()}
-    n_toxic, n_clean = counts.pop("", (0, 0))
+    counted = in_small_batches(sample).mapInPandas(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    texts_of = sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    n_toxic, n_clean = (n or 0 for n in texts_of)
     if not n_toxic or not n_clean:
         return DEFAULT
+    # What choose_terms can use, no more: as many as the toxic texts' features over the texts that each needs.
+    log_odds = F.ln((F.col("t") + 0.5) / (n_toxic + 1)) - F.ln((F.col("c") + 0.5) / (n_clean + 1))
+    odd = counted.filter((F.col("t") >= least_texts(n_toxic)) & (log_odds >= MIN_LOG_ODDS - 1e-9))
+    counts = {r["f"]: (r["t"], r["c"]) for r in odd.collect()}
     candidates = Lexicon(choose_terms(counts, n_toxic, n_clean))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"terms": [candidates.hits(t)[0] for t in b["text"]]})
+            hits = [Counter(candidates.hits(t)[0]) for t in b["text"]]
+            yield pd.DataFrame({"terms": [[{"f": f, "n": min(n, ENOUGH)} for f, n in own.items()] for own in hits]})
 
-    texts = sample.filter("y = 1").mapInPandas(explain, "terms array<string>").collect()
-    lexicon = Lexicon(needed_terms(candidates.weights, [Counter(r["terms"]) for r in texts]))
+    texts = in_small_batches(sample.filter("y = 1")).mapInPandas(explain, "terms array<struct<f:string,n:int>>").collect()
+    lexicon = Lexicon(needed_terms(candidates.weights, [dict(r["terms"]) for r in texts]))
     if not lexicon.weights:
         return DEFAULT
 
@@ -257,21 +265,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             got = [lexicon.measure(t) for t in b["text"]]
             yield pd.DataFrame({"y": b["y"], "total": [g[0] for g in got], "rate": [g[1] for g in got]})
 
-    seen = sample.mapInPandas(measure, "y int, total double, rate double").toPandas()
+    seen = in_small_batches(sample).mapInPandas(measure, "y int, total double, rate double").toPandas()
     lexicon.logistic = fit_logistic(seen[["total", "rate"]].to_numpy(), seen["y"].to_numpy())
     return lexicon
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, score, predicted, hits for every row; no shuffle."""
+    """doc_id, held_out, score, predicted for every row; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             scores = np.array([lexicon.score(t) for t in b["text"]], float)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": scores, "predicted": (scores >= 0.5).astype("int32")})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores, "predicted": (scores >= 0.5).astype("int32")})
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return in_small_batches(rows).mapInPandas(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_frames(rows, run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
