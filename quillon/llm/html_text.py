@@ -2,18 +2,25 @@
 
 Markup is stripped into lines, one for each block element, in page order; elements that never are
 main text (menus, forms, scripts, adverts, comments and the like, by tag, role, class or id) leave
-blank lines. Text lengths are summed over a sliding window of lines: the text surges where the sum
-passes a threshold and dives where it falls to nothing, and what stands between is kept. Where the
-page names its article or main element, lines outside it are blank as well and any text there surges.
+blank lines. A line's weight is the length of its text; menu lines, nearly all links, weigh nothing.
+Where the page names its article or main element, each line inside weighs INSIDE more and each line
+outside OUTSIDE less. Weights are summed over a sliding window of lines: the text surges where the sum
+passes a threshold and dives where it falls to nothing, and every stretch between is kept, but for
+lines without weight. Where nothing surges, the threshold is half of the largest sum.
 
-Defined cases: null, empty or tag-less html gives what text it has or an empty string; equal rows are
-extracted each; null ids and urls are passed on; an empty table gives no rows; other columns are
-ignored. A page is held in memory while it is read, in proportion to its length.
+Names (classes, ids, roles) are judged on boxes, not on headings, list items or what is inside
+running text; inside an article only whole names count, and ids only where they tell of comments.
+
+Defined cases: null, empty or tag-less html gives what text it has or an empty string; a tag without
+its end goes up to the next tag; a comment or script without its end goes up to the page's end; equal
+rows are extracted each; null ids and urls are passed on; an empty table gives no rows; other columns
+are ignored. A page is read once, in time and memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import map_frames
 
 #: Elements whose text is no text of the page.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas select option datalist textarea button audio video".split())
+SILENT = frozenset("script style noscript template head title iframe select option datalist textarea button audio video annotation annotation-xml desc metadata defs".split())
 #: Elements around the article.
 AROUND = frozenset("nav footer aside form dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -35,6 +42,9 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end never reaches beyond.
 WALLS = frozenset("ul ol dl table tbody thead tfoot div article section main aside nav header footer body html form".split())
+#: Elements that names may mark: boxes; paragraphs outside an article; spans and links outside running text.
+BOXES_TAGS = frozenset("div section article aside header footer nav ul ol dl table form figure details center fieldset blockquote span a ins".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th figcaption caption summary blockquote pre".split())
 #: Words of a class, id or role that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsored sponsor promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
@@ -47,74 +57,88 @@ HEADER, ABOUT_ARTICLE = frozenset("header topbar top logo".split()), frozenset("
 NO_ARTICLE, MODIFIERS = frozenset("comment comments reply replies related promo sponsored teaser ad ads advert".split()), frozenset("has with without no".split())
 #: First words of a wrapper's name, and the parts of a layout that such a name may tell of.
 WRAPPERS, LAYOUT = frozenset("content article main".split()), frozenset("sidebar side aside".split())
-#: Elements that an id, made from a heading's text, tells nothing about; names of a section that may be a heading's.
-BY_HEADING, SECTION_IDS = frozenset("p h1 h2 h3 h4 h5 h6".split()), frozenset("discussion notice notices related side".split())
+#: Names of a section that may be a heading's; ids that count inside an article.
+SECTION_IDS, READERS = frozenset("discussion notice notices related side".split()), frozenset("comment comments disqus thread respond replies".split())
 #: Words that say what kind of box a name is of.
 BOXES = frozenset("box slot unit wrap wrapper container block area list section link links button buttons bar item items".split())
 #: Names mark too much if they silence this many times the text that is left, and nothing that is left surges.
 TOO_MUCH = 10
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Lines of a window, characters that make a surge, and share of link text above which a line is a menu's.
+#: Lines of a window, weight that makes a surge, and share of link text above which a line is a menu's.
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
+#: What a line inside the named article weighs more, and one outside it less, in characters.
+INSIDE, OUTSIDE = 80, 400
+#: Open elements that are told apart; deeper ones are part of the last of these.
+DEPTH = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKS = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: A tag ends at > outside of quoted values, or before the next <. Quotes count where a value begins. Nothing is tried twice.
+_TOKEN = re.compile(
+    r"""<(?:!--|!\[CDATA\[|[!?]|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<marks>(?>[^<>=]++|=\s*+(?>"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+)?+)*+)>?)"""
+)
+_MARKS = re.compile(r"""(?<![^\s/"'])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_ROLE = re.compile(r"(?<![\w-])role\s*=\s*[\"']?(?:main|article)\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its attributes."""
+def _marked(tag: str, key: str, name: str, in_article: bool) -> bool:
+    """Whether one name of an element marks it as boilerplate."""
+    words = _WORD.findall(_CAMEL.sub("-", name).lower())
+    # What a name has, or is without, doesn't name it.
+    words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+    if not words:
+        return False
+    if tag == "article":
+        return not NO_ARTICLE.isdisjoint(words)
+    marks = BOILERPLATE.intersection(words)
+    if in_article:
+        # A part of a name tells nothing inside an article, and an id may be made from a heading's text.
+        return bool(marks) and (marks | BOXES >= set(words) if key != "id" else READERS | BOXES >= set(words))
+    if words[0] in WRAPPERS and marks <= LAYOUT or key == "id" and tag == "section" and (len(words) > 1 or words[0] in SECTION_IDS):
+        marks = frozenset()
+    return bool(marks) or not HEADER.isdisjoint(words) and ABOUT_ARTICLE.isdisjoint(words)
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool, running: bool) -> bool:
+    """Whether an element is hidden, or boilerplate by its names."""
+    judged = tag in BOXES_TAGS and not running or tag == "p" and not in_article
     for m in _MARKS.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return True
+        if judged and key in ("class", "id", "role") and not (tag == "p" and key == "id") and any(_marked(tag, key, name, in_article) for name in value.split()):
             return True
-        if key in ("class", "id", "role") and tag not in ("html", "body", "main"):
-            if key == "id" and tag in BY_HEADING:
-                continue
-            for name in value.split():
-                words = _WORD.findall(_CAMEL.sub("-", name).lower())
-                # What a name has, or is without, doesn't name it.
-                words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
-                if not words:
-                    continue
-                marks = (NO_ARTICLE if tag == "article" else BOILERPLATE).intersection(words)
-                if tag != "article" and in_article and not marks | BOXES >= set(words) or words[0] in WRAPPERS and marks <= LAYOUT:
-                    marks = frozenset()  # a part of a name tells nothing inside an article
-                if key == "id" and (in_article or tag == "section") and (len(words) > 1 or words[0] in SECTION_IDS):
-                    marks = frozenset()
-                if marks:
-                    return True
-                if tag != "article" and not in_article and not HEADER.isdisjoint(words) and ABOUT_ARTICLE.isdisjoint(words):
-                    return True
     return False
 
 
-def page_lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
+def page_lines(html: str, by_name: bool = True, forms: bool = False) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, characters in links, inside an article) of each block, blank ones included, and whether the page names an article.
 
-    by_name: classes, ids, roles and the like may mark an element as boilerplate.
+    by_name: classes, ids, roles and the like may mark an element as boilerplate. forms: their text is text.
     """
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    #: Open elements: tag, and what was in force outside it.
-    stack: list[tuple[str, bool, bool, bool]] = []
-    silent = article = link = named = False
+    #: Open elements: tag, and what was in force outside it; how many of each tag there are.
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    opened: dict[str, int] = defaultdict(int)
+    silent = article = link = running = named = False
     links = 0
 
     def end_line() -> None:
         nonlocal links
-        line = " ".join(unescape("".join(text)).split())
+        line = " ".join(unescape("".join(text)).split()) if text else ""
         if line or not lines or lines[-1][0]:  # several boundaries in a row leave one blank line
             lines.append((line, links, article))
         text.clear()
         links = 0
 
     def close(depth: int) -> None:
-        nonlocal silent, article, link
-        _, silent, article, link = stack[depth]
+        nonlocal silent, article, link, running
+        _, silent, article, link, running = stack[depth]
+        for tag, *_ in stack[depth:]:
+            opened[tag] -= 1
         del stack[depth:]
 
     at, n = 0, len(html)
@@ -127,79 +151,83 @@ def page_lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int, bo
                 links += len(piece.strip())
         if not m:
             break
-        at, token = m.end(), m[0]
-        if token[1] in "!?":
-            if token.startswith("<![CDATA[") and not silent:
-                text.append(token[9:-3].replace("&", "&amp;"))
+        at, tag = m.end(), m["tag"]
+        if tag is None:
+            start = m[0]
+            if start == "<!--":
+                end, skip = html.find("-->", at - 2), 3
+            elif start == "<![CDATA[":
+                end, skip = html.find("]]>", at), 3
+                if not silent:
+                    text.append(html[at : end if end >= 0 else n].replace("&", "&amp;"))
+            else:
+                end, skip = html.find(">", at), 1
+            at = end + skip if end >= 0 else n
             continue
-        tag = _NAME.match(token)[1].lower()
+        tag = tag.lower()
         if tag in BLOCK:
             end_line()
-        if token[1] == "/":
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCK and stack[depth][0] in BLOCK:
-                    break  # a stray end of an inline element
+        if m["end"]:
+            if opened[tag] > 0:
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] == tag:
+                        close(depth)
+                        break
+                    if tag not in BLOCK and stack[depth][0] in BLOCK:
+                        break  # a stray end of an inline element
             continue
         if tag == "br":
             text.append("\n")
         if tag in VOID:
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"] > 0:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p":
                     close(depth)  # a block ends an open paragraph
                     break
                 if stack[depth][0] in WALLS:
                     break
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in CLOSES.get(tag, ()):
-                close(depth)
-                break
-            if stack[depth][0] in WALLS:
-                break
+        if tag in CLOSES and any(opened[t] > 0 for t in CLOSES[tag]):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in CLOSES[tag]:
+                    close(depth)
+                    break
+                if stack[depth][0] in WALLS:
+                    break
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else n
             continue
-        if token.endswith("/>") and tag not in BLOCK:
+        attributes = m["marks"]
+        if attributes.endswith("/") and tag not in BLOCK or len(stack) >= DEPTH:
             continue
-        stack.append((tag, silent, article, link))
-        attributes = token[len(tag) + 1 : -1]
-        if tag in SILENT or tag in AROUND or tag == "header" and not article or by_name and attributes.strip() and _unwanted(tag, attributes, article):
+        stack.append((tag, silent, article, link, running))
+        opened[tag] += 1
+        around = tag in AROUND and not (forms and tag == "form") or tag == "header" and not article
+        if tag in SILENT or around or attributes and not attributes.isspace() and tag not in ("html", "body", "main") and by_name and _unwanted(tag, attributes, article, running):
             silent = True
-        if (tag in ARTICLE_TAGS or "role" in attributes and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I)) and not silent:
+        if (tag in ARTICLE_TAGS or "role" in attributes and _ROLE.search(attributes)) and not silent:
             article = named = True
         if tag == "a":
             link = True
+        if tag in BLOCK:
+            running = tag in RUNNING
     end_line()
     return lines, named
 
 
-def main_text(html: str | None) -> str:
-    """The blocks between surge and dive, joined by newlines."""
-    lines, named = page_lines(html or "")
-    left = sum(len(t) for t, _, _ in lines)
-    if left < SURGE and not any(t and a for t, _, a in lines):
-        # Names that mark everything, or all but a stray line, mark nothing.
-        plain = page_lines(html or "", by_name=False)
-        if not left or sum(len(t) for t, _, _ in plain[0]) - left > max(TOO_MUCH * left, SURGE):
-            lines, named = plain
-    if named and not any(t and a for t, _, a in lines):
-        named = False
-    sizes = [0 if named and not a or not named and t and k > LINK_SHARE * len(t) else len(t) for t, k, a in lines]
-    surge = 1 if named else SURGE
-    kept: list[tuple[int, int]] = []
-    i, n = 0, len(sizes)
-    blank = [not s for s in sizes]
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[first, end) of each stretch of lines from a surge to the dive after it."""
+    n = len(weights)
     block, total = [0] * n, 0
     for j in range(n - 1, -1, -1):
-        total += sizes[j] - (sizes[j + WINDOW] if j + WINDOW < n else 0)
+        total += weights[j] - (weights[j + window] if j + window < n else 0)
         block[j] = total
+    least = surge if max(block, default=0) >= surge else max(block, default=0) / 2
+    kept: list[tuple[int, int]] = []
+    i = 0
     while i < n:
-        if sizes[i] and block[i] >= surge:
+        if weights[i] and block[i] >= least:
             end = i
             while end < n and block[end]:
                 end += 1
@@ -207,17 +235,31 @@ def main_text(html: str | None) -> str:
             i = end
         else:
             i += 1
-    if not kept and any(sizes):
-        # Nothing surges: the stretch of lines with the most text.
-        best, start = 0, None
-        for j in range(n + 1):
-            if j < n and block[j]:
-                start = j if start is None else start
-            elif start is not None:
-                if sum(sizes[start:j]) > best:
-                    best, kept = sum(sizes[start:j]), [(start, j)]
-                start = None
-    return "\n".join(lines[j][0] for a, b in kept for j in range(a, b) if not blank[j])
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    """The lines between surges and dives, joined by newlines."""
+    lines, named = page_lines(html or "")
+    left = sum(len(t) for t, _, _ in lines)
+    if left < SURGE and not any(t and a for t, _, a in lines):
+        # Names that mark everything, or all but a stray line, mark nothing; so does a form around all.
+        for forms in (False, True):
+            plain = page_lines(html or "", by_name=False, forms=forms)
+            if sum(len(t) for t, _, _ in plain[0]) - left > (max(TOO_MUCH * left, SURGE) if left else 0):
+                lines, named = plain
+                break
+    named = named and any(t and a for t, _, a in lines)
+
+    def weight(t: str, linked: int, inside: bool) -> int:
+        if not t:
+            return 0
+        if named and inside:
+            return len(t) + INSIDE
+        return 0 if linked > LINK_SHARE * len(t) else max(0, len(t) - OUTSIDE * named)
+
+    weights = [weight(*line) for line in lines]
+    return "\n".join(lines[j][0] for a, b in stretches(weights) for j in range(a, b) if weights[j])
 
 
 def extract_pages(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -226,7 +268,7 @@ def extract_pages(pages: DataFrame, html: str = "html", page_id: str = "page_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [main_text(h) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    return in_small_batches(rows).mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+    return map_frames(rows, run, "page_id bigint, url string, text string, n_chars bigint")
