@@ -1,10 +1,12 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Rows are dealt to shards by ranges of the page id, sorted in them, and streamed into gzip members,
-one for each record; a file is closed when it reaches the roll size in compressed bytes. Record ids,
-dates, lengths and digests are made anew from the row alone, so the same rows and parameters give
-the same bytes. A file is written under a temporary name and renamed when whole; so is each shard's
-manifest, and last the archive's. A task that is lost and runs again replaces its files by equal ones.
+Rows are dealt to shards by ranges of the page id, one shard a task, sorted in them, and streamed into
+gzip members, one for each record; a file is closed when it reaches the roll size in compressed bytes.
+The number of shards and the roll size follow from the payloads alone, as record ids, dates, lengths
+and digests do from the row, so the same rows and parameters give the same bytes in any session. A
+file is written under a temporary name and renamed when whole; so is each shard's manifest, and last
+the archive's. A task that is lost and runs again replaces its files by equal ones; what lost tasks
+leave under temporary names is removed before the archive's manifest is written.
 
 Of equal payloads (SHA-1) of at least 1000 bytes the one with the largest page id is a response, the
 others are revisits of it without payload; smaller payloads are always responses.
@@ -19,23 +21,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, in_small_batches, scratch_path, written
+from .common import BROADCAST_IDS, map_frames, scratch_path, written
 
 MIN_DEDUP_BYTES = 1000
-ROLL_BYTES = 1 << 30
-#: Payload bytes of a shard that are aimed at, and the most shards of an archive.
-SHARD_BYTES, MAX_SHARDS = 256 << 20, 4096
-#: Rows that the shard bounds are taken from, by hash; every row is written whatever the bounds.
-BOUND_SAMPLE = 20_000
+#: Payload bytes of a shard that are aimed at, the most shards of an archive, and files of a shard if nothing compresses.
+SHARD_BYTES, MAX_SHARDS, SHARD_FILES = 4 << 20, 4096, 8
+#: Compressed bytes that a file is closed at: a SHARD_FILES-th of a shard's payload, within these limits.
+ROLL_BYTES = (256 << 10, 1 << 30)
+#: Rows for each shard that the shard bounds are taken from, by hash; every row is written whatever the bounds.
+BOUND_SAMPLE = 500
+#: What a record costs besides its payload.
+RECORD_BYTES = 200
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 6
@@ -76,12 +82,21 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _rename(fs, old: str, new: str) -> None:
+    """A name that exists is replaced; its file has the same bytes."""
+    try:
+        fs.move(old, new)
+    except OSError:  # some file systems don't replace
+        fs.delete_file(new)
+        fs.move(old, new)
+
+
 def _commit(fs, root: str, name: str, write) -> None:
     """write(stream) under a temporary name, then the name itself."""
     temporary = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary, compression=None) as out:
         write(out)
-    fs.move(temporary, f"{root}/{name}")
+    _rename(fs, temporary, f"{root}/{name}")
 
 
 class _Shard:
@@ -104,7 +119,7 @@ class _Shard:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.root}/{self.name}")
+            _rename(self.fs, self.temporary, f"{self.root}/{self.name}")
             self.files.append({"file": self.name, "records": self.records, "bytes": self.bytes})
             self.out = None
 
@@ -123,56 +138,72 @@ def _filesystem(uri: str):
 
 def shard_bounds(rows: DataFrame, n_shards: int) -> list[int]:
     """Page ids that part the bytes into n_shards ranges, judged by a sample that the ids' hashes choose."""
-    total = rows.count()
-    every = max(1, total // BOUND_SAMPLE)
-    sample = sorted((r[0], r[1]) for r in rows.filter("page_id is not null").filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("page_id", "payload_bytes").limit(4 * BOUND_SAMPLE).collect())
-    weight, at, bounds = sum(b + 200 for _, b in sample), 0, []
-    for page, b in sample:
+    total, wanted = rows.count(), BOUND_SAMPLE * n_shards
+    part = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(1, total)))
+    # About BOUND_SAMPLE rows a shard; an id that many rows repeat is one.
+    sample = rows.filter(F.col("page_id").isNotNull() & part).groupBy("page_id").agg(F.sum(F.col("payload_bytes") + RECORD_BYTES).alias("b")).collect()
+    weight, at, bounds = sum(r["b"] for r in sample), 0, []
+    for r in sorted(sample, key=lambda r: r["page_id"]):
         if at >= (len(bounds) + 1) * weight / n_shards:
-            bounds.append(page)
-        at += b + 200
-    return sorted(set(bounds))
+            bounds.append(r["page_id"])
+        at += r["b"]
+    return bounds
+
+
+def shard_of(page_id: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or below an id, found in two steps; a null id is in shard 0."""
+    ids = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= page_id))
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    firsts = upto(ids(bounds[::step]))
+    inner = F.get(F.array(*[ids(bounds[i : i + step]) for i in range(0, len(bounds), step)]), firsts - 1)
+    return F.when(page_id.isNull() | (firsts == 0), F.lit(0)).otherwise((firsts - 1) * step + upto(inner)).cast("int")
 
 
-def write_archive(pages: DataFrame, root: str, html: str = "html", url: str = "url", page_id: str = "page_id", n_shards: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_archive(pages: DataFrame, root: str, html: str = "html", url: str = "url", page_id: str = "page_id", n_shards: int | None = None, roll_bytes: int | None = None) -> DataFrame:
     """Writes the archive under root (a URI that all executors share) and returns its manifest: shard, file, records, bytes."""
-    spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("bigint").alias("payload_bytes"))
     narrow = written(rows.select("page_id", "sha1", "payload_bytes"), "payloads")
     groups = narrow.filter(F.col("payload_bytes") >= MIN_DEDUP_BYTES).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "response")
     groups = written(groups, "responses")
-    if n_shards is None:
-        size = narrow.agg(F.sum("payload_bytes")).first()[0] or 0
-        n_shards = min(MAX_SHARDS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES))
-    bounds = shard_bounds(narrow, n_shards)
-    shard = F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
+    size = narrow.agg(F.sum(F.col("payload_bytes") + RECORD_BYTES)).first()[0] or 0
+    n_shards = n_shards or min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
+    roll = roll_bytes or min(ROLL_BYTES[1], max(ROLL_BYTES[0], size // n_shards // SHARD_FILES))
+    shard = shard_of(F.col("page_id"), shard_bounds(narrow, n_shards))
     rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups, "sha1", "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    rows = rows.select(F.coalesce(shard, F.lit(0)).alias("shard"), "page_id", "url", "payload", "sha1", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.select(shard.alias("shard"), "page_id", "url", "payload", "sha1", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = _filesystem(root)
         every = (x for b in batches for x in zip(b["shard"], b["page_id"], b["url"], b["payload"], b["sha1"], b["refers_to"], b["revisit"], strict=True))
-        number = lambda x: None if pd.isna(x) else int(x)
+        number = lambda x: None if x is None else int(x)
         for k, own in groupby(every, key=lambda x: x[0]):
-            out = _Shard(fs, path, int(k), roll_bytes)
+            out = _Shard(fs, path, int(k), roll)
             for _, page, address, body, sha, refers, again in own:
                 out.add(_member(record(number(page), address, body, sha, number(refers), bool(again))))
             yield pd.DataFrame(out.commit()).assign(shard=int(k))[["shard", "file", "records", "bytes"]]
 
-    _filesystem(root)[0].create_dir(_filesystem(root)[1], recursive=True)
-    dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
-    manifest = written(in_small_batches(_exact_ids(dealt)).mapInPandas(run, "shard int, file string, records bigint, bytes bigint"), "manifest")
     fs, path = _filesystem(root)
+    fs.create_dir(path, recursive=True)
+    dealt = rows.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "url")
+    manifest = written(map_frames(dealt, run, "shard int, file string, records bigint, bytes bigint"), "manifest")
+    remove_leftovers(fs, path)
     total = manifest.agg(F.count(F.lit(1)), F.sum("records"), F.sum("bytes")).first()
     _commit(fs, path, "MANIFEST.json", lambda out: out.write(json.dumps({"files": total[0], "records": total[1] or 0, "bytes": total[2] or 0}).encode()))
     return manifest
 
 
-def _exact_ids(rows: DataFrame) -> DataFrame:
-    """Ids as text: pandas would turn a column with nulls into doubles."""
-    return rows.withColumn("page_id", F.col("page_id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
+def remove_leftovers(fs, path: str) -> None:
+    """Removes the temporary files of tasks that were lost."""
+    from pyarrow.fs import FileSelector
+
+    for info in fs.get_file_info(FileSelector(path)):
+        if info.base_name.startswith(".") and info.base_name.endswith(".tmp"):
+            fs.delete_file(info.path)
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -204,12 +235,8 @@ def read_archive(manifest: DataFrame, root: str, payloads: bool = False) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = _filesystem(root)
-        number = lambda x: None if x is None else int(x)
         columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
-
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=columns)
-            return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        frame = lambda rows: pd.DataFrame(rows, columns=columns)
 
         for b in batches:
             for name in b["file"]:
@@ -219,7 +246,7 @@ def read_archive(manifest: DataFrame, root: str, payloads: bool = False) -> Data
                         body, digest = block.partition(b"\r\n\r\n")[2], base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
                         if fields["WARC-Type"] == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(fields["X-Payload-Length"])):
                             raise ValueError(f"broken payload {fields['WARC-Record-ID']}")
-                        rows.append((number(fields.get("X-Page-Id")), json.loads(fields["X-Target-URI"]), int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], number(fields.get("X-Refers-To-Page")), *[body] * payloads))
+                        rows.append((fields.get("X-Page-Id"), json.loads(fields["X-Target-URI"]), int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], fields.get("X-Refers-To-Page"), *[body] * payloads))
                         if len(rows) >= 2000:
                             yield frame(rows)
                             rows = []
@@ -227,8 +254,10 @@ def read_archive(manifest: DataFrame, root: str, payloads: bool = False) -> Data
                     yield frame(rows)
 
     n = max(1, manifest.count())
-    schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    return manifest.select("file").repartition(min(n, MAX_SHARDS)).mapInPandas(run, schema)
+    # Ids as text: pandas would turn a column of longs with nulls into doubles.
+    schema = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
+    got = manifest.select("file").repartition(min(n, MAX_SHARDS)).mapInPandas(run, schema)
+    return got.withColumns({c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")})
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
