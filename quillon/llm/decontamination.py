@@ -1,9 +1,9 @@
 """Benchmark decontamination: which words of a document lie inside a passage of a benchmark.
 
 A benchmark item gives windows of 10 consecutive words (an item of fewer words is one window). The
-windows' hashes go into a table of bits of fixed size, which every task has as a constant; it is
-filled by an aggregation, so what the driver sees is BITS / 64 numbers whatever the benchmark's
-size. Documents are scanned in place: a position whose first words and whose whole window hit bits
+windows' hashes go into a table of bits, some BITS_PER_KEY for each, which every task has as a
+constant; it is filled by an aggregation, and ends at MOST_BITS whatever the benchmark's size (beyond
+that more positions become candidates, and are verified). Documents are scanned in place: a position whose first words and whose whole window hit bits
 becomes a candidate, and only candidates leave the row. They are verified by an equi-join on the
 window's words, then counted by document. Everything is built-in expressions.
 
@@ -22,8 +22,8 @@ from .common import ascii_lower, let, without, written
 WINDOW = 10
 #: What is not a word: everything in ASCII but digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the prefilter: 128 KB in all.
-BITS = 1 << 20
+#: Bits of the prefilter: 128 KB for up to 65,536 keys, 2 MB at most.
+LEAST_BITS, MOST_BITS, BITS_PER_KEY = 1 << 20, 1 << 24, 16
 #: Windows up to this many are broadcast for the verification; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -40,18 +40,23 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "t
     return grams.groupBy("words", "n").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("gram", F.array_join("words", " "))
 
 
-def _bits(hashes: DataFrame) -> Column:
-    """A constant array of BITS / 64 numbers with the bit of every value of column h set."""
-    at = F.col("h").bitwiseAND(F.lit(BITS - 1))
+def table_bits(keys: int) -> int:
+    """Bits of a table for a number of keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * keys - 1).bit_length()))
+
+
+def _bits(hashes: DataFrame, bits: int) -> Column:
+    """A constant array of bits / 64 numbers with the bit of every value of column h set."""
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
     got = hashes.select(F.shiftright(at, 6).cast("int").alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).collect()
-    table = [0] * (BITS // 64)
+    table = [0] * (bits // 64)
     for r in got:
         table[r["k"]] = r["b"]
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
-def _set(bits: Column, h: Column) -> Column:
-    word = F.get(bits, F.shiftright(h.bitwiseAND(F.lit(BITS - 1)), 6).cast("int"))
+def _set(table: Column, h: Column, bits: int) -> Column:
+    word = F.get(table, F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
     return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
@@ -59,19 +64,22 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text", doc_i
     """doc_id, text_hash, n_words, n_hit, items (sorted ids): a row for each row of docs. windows: a written table."""
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
     keys = windows.select(F.xxhash64("words").alias("h")).union(windows.filter("n > 1").select(F.expr("xxhash64(words[0], words[1])").alias("h"))).union(windows.filter("n = 1").select(F.expr("xxhash64(words[0])").alias("h")))
-    table = _bits(keys)  # one constant of the plan, bound once
+    n_windows = windows.count()
+    size = table_bits(2 * n_windows)
+    table = _bits(keys, size)  # one constant of the plan, bound once
 
     def candidates(w: Column, bits: Column) -> Column:
         n = F.size(w)
+        known = lambda h: _set(bits, h, size)
 
         def starts(i: Column) -> Column:
-            first = _set(bits, F.xxhash64(F.get(w, i), F.get(w, i + 1))) if lengths != [1] else F.lit(False)
-            return first | _set(bits, F.xxhash64(F.get(w, i))) if lengths[0] == 1 else first
+            first = known(F.xxhash64(F.get(w, i), F.get(w, i + 1))) if lengths != [1] else F.lit(False)
+            return first | known(F.xxhash64(F.get(w, i))) if lengths[0] == 1 else first
 
         def hits(at: Column) -> Column:
             def of(k: int) -> Column:
                 gram = lambda i: F.slice(w, i + 1, k)
-                there = F.filter(at, lambda i: (i + k <= n) & _set(bits, F.xxhash64(gram(i))))
+                there = F.filter(at, lambda i: (i + k <= n) & known(F.xxhash64(gram(i))))
                 return F.transform(there, lambda i: F.struct(i.alias("i"), F.lit(k).alias("k"), F.array_join(gram(i), " ").alias("g")))
 
             per = [of(k) for k in lengths]
@@ -85,7 +93,7 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text", doc_i
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), (let(table, lambda bits: let(words, lambda w: candidates(w, bits))) if lengths else none).alias("c"))
     spread = rows.select("rid", "doc_id", "text_hash", "c.n_words", F.explode_outer("c.hits").alias("hit"))
     known = windows.select(F.col("gram"), F.col("items"))
-    if windows.count() <= BROADCAST_WINDOWS:
+    if n_windows <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     found = spread.join(known, F.col("hit.g") == F.col("gram"), "left")
     mark = F.when(F.col("gram").isNotNull(), F.struct(F.col("hit.i").alias("i"), F.col("hit.k").alias("k")))
