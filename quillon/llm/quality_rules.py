@@ -20,8 +20,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host whose shrunk failure rate is above this is rejected whole.
-HOST_REJECT_RATE = 0.9
+#: A host whose shrunk failure rate is above this is rejected whole: more of it fails than passes.
+HOST_REJECT_RATE = 0.5
 #: Limits of the prior's weight, in documents.
 PRIOR_STRENGTH = (2.0, 1000.0)
 #: Rejected hosts up to this many are broadcast; more are joined by a shuffle, whose hot keys AQE splits.
