@@ -35,7 +35,7 @@ from .common import BROADCAST_IDS, map_frames, scratch_path, written
 
 MIN_DEDUP_BYTES = 1000
 #: Payload bytes of a shard that are aimed at, the most shards of an archive, and files of a shard if nothing compresses.
-SHARD_BYTES, MAX_SHARDS, SHARD_FILES = 4 << 20, 4096, 8
+SHARD_BYTES, MAX_SHARDS, SHARD_FILES = 16 << 20, 4096, 4
 #: Compressed bytes that a file is closed at: a SHARD_FILES-th of a shard's payload, within these limits.
 ROLL_BYTES = (256 << 10, 1 << 30)
 #: Rows for each shard that the shard bounds are taken from, by hash; every row is written whatever the bounds.
