@@ -78,7 +78,7 @@ def windowed(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFram
         out = out.withColumn(f"return_{n}", ratio(F.col("close"), F.lag("close", n).over(w)) - 1)
     growth = ratio(F.col("close"), F.lag("close").over(w))
     out = out.withColumn("log_return", F.when(growth > 0, F.ln(growth))).withColumn("move", F.abs(F.col("close") - F.lag("close").over(w)))
-    v, m, k = params.volatility_window, params.volume_window, params.efficiency_window
+    v, m, k = params.realized_vol_window, params.volume_sma_window, params.efficiency_window
     mean, spread = F.avg("volume").over(trailing(m)), F.stddev_samp("volume").over(trailing(m))
     path = full(F.col("move"), k, F.sum("move").over(trailing(k)))
     return out.select(
@@ -98,7 +98,7 @@ def atr_percentile(bars: DataFrame, params: EngineParams = EngineParams()) -> Da
     below = F.size(F.filter("__seen", lambda v: v < F.col("atr_pct")))
     same = F.size(F.filter("__seen", lambda v: v == F.col("atr_pct")))
     ranked = (below + (same + 1) / 2) / F.size("__seen")
-    return bars.withColumn("__seen", seen).withColumn("atr_percentile", F.when(F.col("atr_pct").isNotNull() & (F.size("__seen") >= params.atr_percentile_min), ranked)).drop("__seen")
+    return bars.withColumn("__seen", seen).withColumn("atr_percentile", F.when(F.col("atr_pct").isNotNull() & (F.size("__seen") >= params.atr_percentile_min_periods), ranked)).drop("__seen")
 
 
 def classify_volatility(p) -> Column:
@@ -106,7 +106,7 @@ def classify_volatility(p) -> Column:
 
 
 def classify_trend_regime(er, params: EngineParams = EngineParams()) -> Column:
-    return F.when(er.isNull(), "UNKNOWN").when(er >= params.trend_efficiency, "TRENDING").when(er <= params.range_efficiency, "RANGING").otherwise("MIXED")
+    return F.when(er.isNull(), "UNKNOWN").when(er >= params.trend_er_min, "TRENDING").when(er <= params.range_er_max, "RANGING").otherwise("MIXED")
 
 
 def indicators(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:

@@ -31,7 +31,7 @@ def swing_columns(bars: DataFrame, params: EngineParams = EngineParams()) -> Dat
         F.lag("atr", k).over(w).alias("swing_atr"),
         F.lag("ts", k).over(w).alias("swing_ts"),
     )
-    tolerance = F.coalesce(F.col("swing_atr"), F.lit(0.0)) * params.equal_swing_atr
+    tolerance = F.coalesce(F.col("swing_atr"), F.lit(0.0)) * params.equal_level_atr
 
     def label(price: str, equal: str, up: str, down: str):
         now, previous = F.col(price), F.last(price, ignorenulls=True).over(before())

@@ -256,14 +256,14 @@ def screen_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT stratum, count(*)::BIGINT AS size, row_number() OVER (ORDER BY count(*), stratum)::BIGINT AS rank FROM cand GROUP BY stratum"))
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = sampler.SampleSpec(cutoff=CUTOFF, min_index=EARLY)
+    spec = sampler.SampleSpec(cutoff=CUTOFF, min_bar_index=EARLY)
     return sampler.strata(sampler.candidates(_facts(spark, sf_dir), spec)).select("stratum", "size", F.col("rank").cast("long").alias("rank"))
 
 
 @query(None)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greedy selection; its target count is the operator's own limit. Tests check its properties."""
-    spec = sampler.SampleSpec(cutoff=CUTOFF, min_index=EARLY)
+    spec = sampler.SampleSpec(cutoff=CUTOFF, min_bar_index=EARLY)
     return sampler.choose(sampler.candidates(_facts(spark, sf_dir), spec), spec)
 
 

@@ -20,7 +20,7 @@ from quillon.operators.context import context_json, contexts, described, strided
 from quillon.params import EngineParams, Thresholds, from_mapping
 
 SCHEMA = "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double"
-FAST = EngineParams(ema_periods=(5, 10), rsi_period=5, atr_period=5, return_periods=(1, 5), volatility_window=5, volume_window=5, swing_lookback=2, atr_percentile_window=30, atr_percentile_min=10, efficiency_window=5, setup_fast_ema=5, setup_slow_ema=10)
+FAST = EngineParams(ema_periods=(5, 10), rsi_period=5, atr_period=5, return_periods=(1, 5), realized_vol_window=5, volume_sma_window=5, swing_lookback=2, atr_percentile_window=30, atr_percentile_min_periods=10, efficiency_window=5, setup_fast_ema=5, setup_slow_ema=10)
 
 
 def business_days(n, start=dt.datetime(2024, 1, 1)):
@@ -284,7 +284,7 @@ def test_sample_properties(spark):
     states = [("UPTREND", "LOW"), ("DOWNTREND", "HIGH"), ("RANGE", "NORMAL"), ("CONTRACTION", "LOW"), ("EXPANSION", "HIGH")]
     rows = [(s, "1d", i, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), *states[(i // 7 + k) % 5]) for k, s in enumerate(("A", "B")) for i in range(2500)]
     bars = spark.createDataFrame(rows, "symbol string, interval string, pos int, ts timestamp, trend string, vol_regime string")
-    spec = sampler.SampleSpec(target_count=40, cutoff="2025-01-01", separation=40)
+    spec = sampler.SampleSpec(target_count=40, cutoff="2025-01-01", min_separation=40)
     picked = sampler.choose(sampler.candidates(bars, spec), spec)
     got = picked.orderBy("pick").collect()
     assert got == sampler.choose(sampler.candidates(bars, spec), spec).orderBy("pick").collect()
@@ -328,7 +328,7 @@ def test_sample_uses_every_candidate(spark, monkeypatch, series, bars, separatio
     rng = random.Random(5)
     rows = [(f"S{s}", "1m", i, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i), rng.choice(("UPTREND", "RANGE")) if series > 1 else "RANGE", "LOW") for s in range(series) for i in range(bars)]
     frame_ = spark.createDataFrame(rows, "symbol string, interval string, pos int, ts timestamp, trend string, vol_regime string")
-    spec = sampler.SampleSpec(target_count=target, cutoff="2025-01-01", min_index=0, separation=separation)
+    spec = sampler.SampleSpec(target_count=target, cutoff="2025-01-01", min_bar_index=0, min_separation=separation)
     found = sampler.candidates(frame_, spec)
     got = [(r["stratum"], r["source"], r["pos"]) for r in sampler.choose(found, spec).orderBy("pick").collect()]
     assert got == greedy(found.collect(), spec)
