@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -15,30 +16,30 @@ from .sources import csv, records, sinks
 
 
 def _bars(spark, path: str):
-    return csv.scan(spark, path).drop("raw_datetime", "file")
+    return csv.scan(spark, path).drop("file", *csv.FILE_FACTS)
 
 
 def _gated(spark, args):
-    bars = _bars(spark, args.path)
+    bars = csv.scan(spark, args.path)
     judged = validate.verdicts(bars, validate.all_issues(bars))
     if not args.allow_failed and judged.filter("verdict = 'FAIL'").limit(1).count():
         sys.exit("a series fails validation; see validate, or pass --allow-failed")
-    return bars
+    return bars.drop("file", *csv.FILE_FACTS)
 
 
 def cmd_validate(spark, args) -> int:
     limits = load_yaml(args.config, Thresholds, "thresholds") if args.config else Thresholds()
-    bars = _bars(spark, args.path)
-    found = validate.all_issues(bars, limits).unionByName(
-        validate.timezone_findings(csv.timezones(csv.scan(spark, args.path))).select("symbol", "interval", F.lit("timezone_consistency").alias("check"), "code", "severity", F.lit(None).cast("string").alias("field"), F.lit(1).cast("long").alias("count"))
-    )
+    bars = csv.scan(spark, args.path)
+    found = validate.all_issues(bars, limits, samples=validate.SAMPLES)
     judged = validate.verdicts(bars, found)
     if args.out:
         sinks.write_records(sinks.report_json(judged, found), args.out)
-    failed = 0
-    for r in judged.orderBy("symbol").collect():
-        own = [x.asDict() for x in found.filter((F.col("symbol") == r["symbol"]) & (F.col("interval") == r["interval"])).collect()]
-        print(sinks.report_markdown(r.asDict(), own))
+    failed, issues = 0, defaultdict(list)
+    # A few rows a series, gathered once.
+    for r in found.collect():
+        issues[r["symbol"], r["interval"]].append(r.asDict())
+    for r in judged.orderBy("symbol", "interval").collect():
+        print(sinks.report_markdown(r.asDict(), issues[r["symbol"], r["interval"]]))
         failed += r["verdict"] == "FAIL"
     return 1 if failed else 0
 
@@ -79,8 +80,9 @@ def cmd_schema(spark, args) -> int:
 
 
 def cmd_sample(spark, args) -> int:
-    spec = sampler.SampleSpec(target_count=args.count, cutoff=args.cutoff)
-    bars = structure.structure(indicators.indicators(_gated(spark, args)))
+    params = load_yaml(args.config, EngineParams) if args.config else EngineParams()
+    spec = sampler.SampleSpec(target_count=args.count, cutoff=args.cutoff, min_separation=params.ohlcv_window_bars)
+    bars = structure.structure(indicators.indicators(_gated(spark, args), params), params)
     chosen = sampler.choose(sampler.candidates(bars, spec), spec)
     if args.out:
         sinks.write_records(chosen, args.out)

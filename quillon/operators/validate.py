@@ -22,7 +22,8 @@ ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
 #: Scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
 
-_FINDING = "struct<check:string,code:string,severity:string,field:string>"
+#: The offset at the end of a time's text.
+OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
 def _found(check: str, code: str, severity: str, mask: Column, field: str | None = None) -> Column:
@@ -33,6 +34,11 @@ def missing_values() -> list[Column]:
     return [_found("missing_values", "NULL_VALUE", WARNING if c == "volume" else ERROR, F.col(c).isNull(), c) for c in REQUIRED]
 
 
+def _has(column: str) -> Column:
+    """Whether the row's file has a column."""
+    return F.array_contains("columns", "datetime" if column == "ts" else column)
+
+
 def chronological_order() -> list[Column]:
     return [_found("chronological_order", "OUT_OF_ORDER", ERROR, F.col("ts") < F.lag("ts").over(series_window()))]
 
@@ -74,6 +80,9 @@ CHECKS: dict[str, Callable[[], list[Column]]] = {f.__name__: f for f in (missing
 def row_findings(bars: DataFrame, limits: Thresholds = Thresholds(), checks: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each finding at a bar: series, pos, ts, check, code, severity, field."""
     builders = [x for name, f in CHECKS.items() if checks is None or name in checks for x in f()]
+    if "columns" in bars.columns:  # a column that a file lacks has one finding, not one a row
+        absent = F.transform(F.filter(F.array(*[F.struct(F.lit(c).alias("c"), _has(c).alias("there")) for c in REQUIRED]), lambda x: ~x.there), lambda x: x.c)
+        builders = [F.when(~((b["code"] == "NULL_VALUE") & F.array_contains(absent, b["field"])), b) for b in builders]
     if checks is None or "abnormal_gaps" in checks:
         builders += bar_range(limits)
     return bars.select(*SERIES, "pos", "ts", F.array_compact(F.array(*builders)).alias("__f")).select(*SERIES, "pos", "ts", F.explode_outer("__f").alias("f")).filter(F.col("f").isNotNull()).select(*SERIES, "pos", "ts", "f.*")
@@ -143,7 +152,7 @@ def abnormal_gaps(bars: DataFrame, limits: Thresholds = Thresholds()) -> DataFra
     seen = rows.filter(F.col("gap").isNotNull())
     centre = seen.groupBy(*SERIES).agg(F.median("gap").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n >= 10")
     spread = seen.join(centre, list(SERIES)).groupBy(*SERIES).agg(F.first("centre").alias("centre"), F.median(F.abs(F.col("gap") - F.col("centre"))).alias("mad"))
-    cutoff = F.greatest(F.lit(limits.min_gap_pct), F.col("centre") + limits.gap_mad_multiple * MAD_SCALE * F.col("mad"))
+    cutoff = F.greatest(F.lit(limits.min_gap_pct), F.col("centre") + limits.gap_mad_multiplier * MAD_SCALE * F.col("mad"))
     return seen.join(spread, list(SERIES)).filter(F.col("gap") > cutoff).select(*SERIES, "pos", "ts", "gap")
 
 
@@ -173,20 +182,58 @@ def type_findings(bars: DataFrame) -> list[tuple[str, str, str]]:
     return out + [("NON_NUMERIC_COLUMN", ERROR, c) for c in REQUIRED[1:] if c in kinds and kinds[c] not in numeric and not kinds[c].startswith("decimal")]
 
 
-def all_issues(bars: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """Every issue of every series: check, code, severity, field, count."""
+def contracted(bars: DataFrame) -> DataFrame:
+    """Bars with every required column and with ``columns`` and ``unparsed``, as a scan has them.
+
+    A frame that isn't scanned has the columns of its schema; one of a wrong type is unparsed throughout.
+    """
+    if "columns" in bars.columns:
+        return bars
+    known = {*SERIES, "pos", "raw_datetime", "file"}
+    wrong = {c for _, _, c in type_findings(bars)}
+    names = ["datetime" if c == "ts" else c for c in bars.columns if c not in known]
+    kind = lambda c: "timestamp" if c == "ts" else "double"
+    fixed = {c: F.lit(None).cast(kind(c)) if c not in bars.columns else F.col(c).cast("string").try_cast(kind(c)) for c in REQUIRED if c not in bars.columns or c in wrong}
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    return bars.withColumns({**fixed, "columns": strings(names), "unparsed": strings(["datetime" if c == "ts" else c for c in wrong])})
+
+
+def schema_issues(bars: DataFrame) -> DataFrame:
+    """Issues of whole series: required columns that are absent, others that aren't known, columns without a value that parses, time zones."""
+    required = ["datetime", *REQUIRED[1:]]
+    strings = F.array(*map(F.lit, required))
+    #: For each column: rows that have it unparsed, and rows that have a value of it.
+    counts = [x for c, v in zip(required, REQUIRED, strict=True) for x in (F.count_if(F.array_contains("unparsed", c)).alias(f"u_{c}"), F.count(v).alias(f"v_{c}"))]
+    zone = F.nullif(F.regexp_extract("raw_datetime", OFFSET, 1), F.lit("")) if "raw_datetime" in bars.columns else F.lit(None).cast("string")
+    known = F.col("raw_datetime").isNotNull() if "raw_datetime" in bars.columns else F.lit(False)
+    per = bars.groupBy(*SERIES).agg(F.array_distinct(F.flatten(F.collect_set("columns"))).alias("names"), F.min(F.size(F.array_intersect("columns", strings))).alias("fewest"), F.collect_set(F.array_except(strings, "columns")).alias("absent"), F.count_if(known).alias("dated"), F.count(F.when(known, zone)).alias("zoned"), F.count_distinct(F.when(known, zone)).alias("zones"), *counts)
+    one = lambda check, code, severity, field, n: F.when(n > 0, F.struct(F.lit(check).alias("check"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), field.cast("string").alias("field"), n.cast("long").alias("count")))
+    absent, extra, none = F.sort_array(F.array_distinct(F.flatten("absent"))), F.array_sort(F.array_except("names", strings)), F.lit(None).cast("string")
+    each = lambda names, code, severity: F.transform(names, lambda c: one("required_columns", code, severity, c, F.lit(1)))
+    unread = lambda c, code: one("dtypes", code, ERROR, F.lit(c), F.when((F.col(f"u_{c}") > 0) & (F.col(f"v_{c}") == 0), 1).otherwise(0))
+    mixed = (F.col("zones") > 1) | ((F.col("zones") == 1) & (F.col("zoned") < F.col("dated")))
+    zoned = [one("timezone_consistency", "MIXED_TIMEZONE", ERROR, none, mixed.cast("int")), one("timezone_consistency", "NAIVE_TIMEZONE", WARNING, none, ((F.col("dated") > 0) & (F.col("zoned") == 0)).cast("int"))]
+    found = F.concat(each(absent, "MISSING_COLUMN", ERROR), each(extra, "EXTRA_COLUMN", INFO), F.array_compact(F.array(unread("datetime", "DATETIME_UNPARSEABLE"), *[unread(c, "NON_NUMERIC_COLUMN") for c in REQUIRED[1:]], *zoned)))
+    return per.select(*SERIES, F.explode(found).alias("f")).select(*SERIES, "f.*")
+
+
+def all_issues(bars: DataFrame, limits: Thresholds = Thresholds(), samples: int = 0) -> DataFrame:
+    """Every issue of every series by all ten checks: check, code, severity, field, count; with samples, the first positions of each.
+
+    bars: of a scan, or any frame of candles; what it lacks of the required columns is an issue.
+    """
+    bars = contracted(bars)
     keys = [*SERIES, "check", "code", "severity", "field", "count"]
     none = F.lit(None).cast("string").alias("field")
-    rows = row_findings(bars, limits).groupBy(*keys[:-1]).agg(F.count(F.lit(1)).alias("count"))
     named = lambda df, check, code, severity, count: df.select(*SERIES, F.lit(check).alias("check"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), none, count.cast("long").alias("count"))
-    counted = lambda df, check, code, severity: named(df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("c")), check, code, severity, F.col("c"))
-    candles = missing_candles(bars, limits).groupBy(*SERIES, "code", "severity").agg(F.count(F.lit(1)).alias("count")).select(*SERIES, F.lit("missing_candles").alias("check"), "code", "severity", none, "count")
-    return (
-        rows.unionByName(named(zero_volume_runs(bars, limits), "value_domains", "ZERO_VOLUME_RUN", WARNING, F.col("longest")))
-        .unionByName(named(interval_mismatch(bars), "missing_candles", "INTERVAL_MISMATCH", WARNING, F.lit(1)))
-        .unionByName(candles)
-        .unionByName(counted(abnormal_gaps(bars, limits), "abnormal_gaps", "ABNORMAL_GAP", WARNING))
-    )
+    at_bars = row_findings(bars, limits).unionByName(missing_candles(bars, limits).select(*SERIES, "pos", "ts", F.lit("missing_candles").alias("check"), "code", "severity", none))
+    at_bars = at_bars.unionByName(abnormal_gaps(bars, limits).select(*SERIES, "pos", "ts", F.lit("abnormal_gaps").alias("check"), F.lit("ABNORMAL_GAP").alias("code"), F.lit(WARNING).alias("severity"), none))
+    runs = zero_volume_runs(bars, limits)
+    whole = named(runs, "value_domains", "ZERO_VOLUME_RUN", WARNING, F.col("longest")).unionByName(named(interval_mismatch(bars), "missing_candles", "INTERVAL_MISMATCH", WARNING, F.lit(1))).unionByName(schema_issues(bars))
+    if not samples:
+        return at_bars.groupBy(*keys[:-1]).agg(F.count(F.lit(1)).alias("count")).unionByName(whole)
+    counted = issues(at_bars, samples)
+    return counted.unionByName(whole.withColumn("samples", F.lit(None).cast(counted.schema["samples"].dataType)))
 
 
 def verdicts(bars: DataFrame, found: DataFrame) -> DataFrame:

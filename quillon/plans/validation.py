@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,22 @@ BLOCKS |= {
 }
 
 
+#: The scanned series of v_columns, v_timezone and v_full_verdict, and the same checks over them.
+BLOCKS |= {name.replace("v_", "w_", 1): re.sub(r"\bv_", "w_", BLOCKS[name]).replace("allbars", "scanbars") for name in [*BLOCKS] if name.startswith("v_")}
+BLOCKS |= {
+    "scanbars": """SELECT symbol, "interval", pos, ts, CASE WHEN symbol <> 'click' THEN open END AS open, high, low, close, CASE WHEN symbol <> 'signup' THEN volume END AS volume,
+        strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE symbol WHEN 'view' THEN '' WHEN 'error' THEN CASE WHEN pos % 2 = 1 THEN '+05:30' ELSE 'Z' END ELSE '+00:00' END AS raw FROM bars_1h""",
+    "w_row": f"""SELECT * FROM ({BLOCKS["w_row"]}) WHERE NOT (code = 'NULL_VALUE' AND field = 'volume' AND symbol = 'signup')""",
+    "w_zones": r"""SELECT symbol, count(*) AS dated, count(z) AS zoned, count(DISTINCT z) AS zones FROM (SELECT symbol, nullif(regexp_extract(raw, '(Z|[+-]\d{2}:?\d{2})$', 1), '') AS z FROM scanbars) GROUP BY symbol""",
+    "w_schema": """SELECT DISTINCT symbol, 'required_columns' AS chk, 'MISSING_COLUMN' AS code, 'ERROR' AS severity, 'volume' AS field, 1 AS n FROM scanbars WHERE symbol = 'signup'
+        UNION ALL SELECT DISTINCT symbol, 'required_columns', 'EXTRA_COLUMN', 'INFO', 'adj close', 1 FROM scanbars WHERE symbol = 'signup'
+        UNION ALL SELECT symbol, 'dtypes', 'NON_NUMERIC_COLUMN', 'ERROR', 'open', 1 FROM scanbars GROUP BY symbol HAVING count(open) = 0
+        UNION ALL SELECT symbol, 'timezone_consistency', CASE WHEN zoned = 0 THEN 'NAIVE_TIMEZONE' ELSE 'MIXED_TIMEZONE' END, CASE WHEN zoned = 0 THEN 'WARNING' ELSE 'ERROR' END, NULL, 1 FROM w_zones
+        WHERE zoned = 0 OR zones > 1 OR zoned < dated""",
+    "w_issues": BLOCKS["w_issues"] + " UNION ALL SELECT symbol, chk, code, severity, field, n FROM w_schema",
+}
+
+
 def query(statement: str | None):
     def register(f):
         REGISTRY[f.__name__] = (f, statement)
@@ -133,3 +151,35 @@ def gated_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT symbol, count(*)::BIGINT AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, any_value(inferred)::BIGINT AS inferred FROM allbars LEFT JOIN v_mode USING (symbol) GROUP BY symbol"))
 def v_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.facts(both(spark, sf_dir)).select("symbol", "rows", stamp(F.col("first_ts")).alias("first_ts"), stamp(F.col("last_ts")).alias("last_ts"), "inferred")
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles as a scan of files gives them: one file without volume but with a column of its own, one whose opens don't parse, times with and without offsets."""
+    bars, of = tables.bars_1h(spark, sf_dir), F.col("symbol")
+    names = lambda *xs: F.array(*map(F.lit, xs))
+    offset = F.when(of == "view", "").when(of == "error", F.when(F.col("pos") % 2 == 1, "+05:30").otherwise("Z")).otherwise("+00:00")
+    prices = ("datetime", "open", "high", "low", "close")
+    return bars.withColumns({
+        "open": F.when(of != "click", F.col("open")),
+        "volume": F.when(of != "signup", F.col("volume")),
+        "columns": F.when(of == "signup", names(*prices, "adj close")).otherwise(names(*prices, "volume")),
+        "unparsed": F.when(of == "click", names("open")).otherwise(F.array().cast("array<string>")),
+        "raw_datetime": F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset),
+    })
+
+
+def _schema(*checks: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return v.schema_issues(scanned(spark, sf_dir)).filter(F.col("check").isin(*checks)).select("symbol", "check", "code", "severity", "field", "count")
+
+    return run
+
+
+REGISTRY["v_columns"] = (_schema("required_columns", "dtypes"), sql("""SELECT symbol, chk AS "check", code, severity, field, n::BIGINT AS count FROM w_schema WHERE chk IN ('required_columns', 'dtypes')"""))
+REGISTRY["v_timezone"] = (_schema("timezone_consistency"), sql("""SELECT symbol, chk AS "check", code, severity, field, n::BIGINT AS count FROM w_schema WHERE chk = 'timezone_consistency'"""))
+
+
+@query(sql("SELECT symbol, errors::BIGINT AS errors, warnings::BIGINT AS warnings, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict FROM w_judged"))
+def v_full_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = scanned(spark, sf_dir)
+    return v.verdicts(bars, v.all_issues(bars)).select("symbol", "errors", "warnings", "verdict")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scalar import finite
+from ..operators.validate import OFFSET
 
 COLUMNS = ("datetime", "open", "high", "low", "close", "volume")
-_RAW = StructType([StructField(c, StringType()) for c in COLUMNS])
-_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
+#: What a scan tells of a row's file and texts, besides the candle: the gate reads it.
+FILE_FACTS = ("columns", "unparsed", "raw_datetime")
+#: A comma and the field after it, which may be quoted.
+_FIELD = r',(?:"[^"]*(?:""[^"]*)*"|[^,]*)'
 
 
 def stem(path: Column) -> Column:
@@ -34,32 +36,44 @@ def safe_stem(symbol: Column, interval: Column) -> Column:
     return F.concat(F.translate(F.replace(symbol, F.lit("^"), F.lit("IDX_")), "=/.&", "____"), F.lit("_"), interval)
 
 
+def fields(line: Column) -> Column:
+    """The fields of a line, unquoted."""
+
+    def plain(x: Column) -> Column:
+        x = F.substring(x, 2, 1 << 30)
+        return F.when(x.startswith('"'), F.replace(F.regexp_replace(x, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(0)), plain)
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, interval, pos (file row), ts, prices, volume, raw datetime and file of every row of every CSV under path.
+    """symbol, interval, pos (file row), ts, prices, volume and FILE_FACTS of every row of every CSV under path.
 
-    All columns are read as text; what doesn't parse becomes null, for the gate to find. The order of
-    rows in a file is kept as pos: blocks of a file in order, rows of a block in reading order.
+    Columns are found by the names in each file's own header, in any order: those that a file lacks
+    are null, others are left out, and ``columns`` has all names for the gate to judge. What doesn't
+    parse becomes null, and ``unparsed`` names its column. The order of rows in a file is kept as
+    pos: blocks of a file in order, rows of a block in reading order. Blank lines are skipped.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(_RAW).csv(path)
-    number = lambda c: finite(F.col(c).try_cast("double")).alias(c)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
     name = stem(F.col("_metadata.file_path"))
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("file"),
-        symbol_of(name).alias("symbol"),
-        interval_of(name).alias("interval"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__row"),
-        F.try_to_timestamp(F.col("datetime")).alias("ts"),
-        *[number(c) for c in COLUMNS[1:]],
-        F.col("datetime").alias("raw_datetime"),
-    )
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), symbol_of(name).alias("symbol"), interval_of(name).alias("interval"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
     order = Window.partitionBy("file").orderBy("__block", "__row")
-    return rows.withColumn("pos", F.row_number().over(order) - 1).drop("__block", "__row")
+    rows = lines.withColumn("pos", F.row_number().over(order) - 2).withColumn("__header", F.first("value").over(order)).filter("pos >= 0")
+    header = F.transform(fields(F.replace(F.col("__header"), F.lit("\ufeff"), F.lit(""))), lambda x: F.lower(F.trim(x)))
+    rows = rows.select("file", "symbol", "interval", "pos", header.alias("columns"), fields(F.col("value")).alias("__fields"))
+    at = lambda c: F.array_position("columns", c).cast("int")
+    text = lambda c: F.when(at(c) > 0, F.nullif(F.trim(F.try_element_at("__fields", F.nullif(at(c), F.lit(0)))), F.lit("")))
+    rows = rows.select("file", "symbol", "interval", "pos", "columns", *[text(c).alias(f"__{c}") for c in COLUMNS])
+    number = lambda c: finite(F.col(f"__{c}").try_cast("double")).alias(c)
+    rows = rows.select("*", F.try_to_timestamp(F.col("__datetime")).alias("ts"), *[number(c) for c in COLUMNS[1:]])
+    value = lambda c: F.col("ts" if c == "datetime" else c)
+    unparsed = F.array_compact(F.array(*[F.when(F.col(f"__{c}").isNotNull() & value(c).isNull(), F.lit(c)) for c in COLUMNS]))
+    return rows.select("file", "symbol", "interval", "ts", *COLUMNS[1:], F.col("__datetime").alias("raw_datetime"), "pos", "columns", unparsed.alias("unparsed"))
 
 
 def timezones(rows: DataFrame) -> DataFrame:
     """original_tz and mixed of every file: the offset all its times have, MIXED for several, null for none."""
-    offset = F.nullif(F.regexp_extract("raw_datetime", _OFFSET, 1), F.lit(""))
+    offset = F.nullif(F.regexp_extract("raw_datetime", OFFSET, 1), F.lit(""))
     per = rows.filter(F.col("raw_datetime").isNotNull()).groupBy("file", "symbol", "interval").agg(F.countDistinct(offset).alias("n"), F.max(offset).alias("tz"), F.bool_or(offset.isNull()).alias("some_naive"))
     mixed = (F.col("n") > 1) | ((F.col("n") == 1) & F.col("some_naive"))
     return per.select("file", "symbol", "interval", F.when(mixed, "MIXED").otherwise(F.col("tz")).alias("original_tz"), mixed.alias("mixed"))

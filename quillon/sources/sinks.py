@@ -43,7 +43,8 @@ def write_summary(summaries: DataFrame, path: str) -> None:
 def report_json(verdicts: DataFrame, issues: DataFrame) -> DataFrame:
     """One JSON report for each series: its verdict and its issues."""
     keys = ["symbol", "interval"]
-    listed = issues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("check", "code", "severity", "field", "count"))).alias("issues"))
+    told = [c for c in ("check", "code", "severity", "field", "count", "samples") if c in issues.columns]
+    listed = issues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*told))).alias("issues"))
     return verdicts.join(listed, keys, "left").select(*keys, F.to_json(F.struct(*verdicts.columns, "issues")).alias("report"))
 
 
@@ -51,8 +52,9 @@ def report_markdown(verdict: dict, issues: list[dict]) -> str:
     """A report for people, of one series."""
     lines = [f"# {verdict['symbol']} {verdict['interval']}: {verdict['verdict']}", "", f"{verdict['errors']} errors, {verdict['warnings']} warnings", ""]
     if issues:
-        lines += ["| check | code | severity | count |", "|-|-|-|-|"]
-        lines += [f"| {i['check']} | {i['code']} | {i['severity']} | {i['count']} |" for i in sorted(issues, key=lambda i: (i["severity"], i["check"], i["code"]))]
+        lines += ["| check | code | field | severity | count | first rows |", "|-|-|-|-|-|-|"]
+        shown = lambda i: ", ".join(str(x["pos"]) for x in i.get("samples") or ())
+        lines += [f"| {i['check']} | {i['code']} | {i['field'] or ''} | {i['severity']} | {i['count']} | {shown(i)} |" for i in sorted(issues, key=lambda i: (i["severity"], i["check"], i["code"], i["field"] or ""))]
     return "\n".join(lines) + "\n"
 
 
