@@ -32,11 +32,18 @@ SCORED = (
 
 
 def parse(answers: DataFrame, text: str = "text") -> DataFrame:
-    """Adds analysis (null if the text has none of the right shape), errors and ok."""
-    found = answers.withColumn("__object", views.extract_object(F.col(text))).withColumn("analysis", F.from_json("__object", ANALYSIS))
-    shape = F.when(F.col("analysis").isNull(), F.array(F.lit("no JSON object in the answer"))).otherwise(metrics.shape_errors(F.col("analysis")))
-    out = found.withColumn("errors", shape).withColumn("ok", F.size("errors") == 0).withColumn("error", F.when(~F.col("ok"), F.concat(F.lit("SchemaError: "), F.array_join("errors", "\n"))))
-    return out.withColumn("analysis", F.when(F.col("ok"), F.col("analysis"))).drop("__object")
+    """Adds analysis (null if the text has none of the right shape), errors and ok.
+
+    Of several objects the last of the right shape is the answer; without one, the errors are those of the last.
+    """
+    found = answers.withColumn("__read", F.transform(views.objects(F.col(text)), lambda o: F.from_json(o, ANALYSIS)))
+    judged = F.transform("__read", lambda a: F.struct(a.alias("a"), F.when(a.isNull(), F.array(F.lit("no JSON object in the answer"))).otherwise(metrics.shape_errors(a)).alias("e")))
+    found = found.withColumn("__judged", judged)
+    last = lambda xs: F.try_element_at(xs, F.lit(-1))
+    found = found.withColumn("__best", F.coalesce(last(F.filter("__judged", lambda x: F.size(x.e) == 0)), last(F.col("__judged"))))
+    errors = F.coalesce(F.col("__best.e"), F.array(F.lit("no JSON object in the answer")))
+    out = found.withColumn("errors", errors).withColumn("ok", F.size("errors") == 0).withColumn("error", F.when(~F.col("ok"), F.concat(F.lit("SchemaError: "), F.array_join("errors", "\n"))))
+    return out.withColumn("analysis", F.when(F.col("ok"), F.col("__best.a"))).drop("__read", "__judged", "__best")
 
 
 def score(parsed: DataFrame, examples: DataFrame) -> DataFrame:
