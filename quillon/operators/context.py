@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import SERIES, iso8601, so_far, trailing
 from ..params import CONTEXT_SCHEMA_VERSION, ENGINE_VERSION, EngineParams
 from .indicators import indicators
-from .levels import known_swings, levels
+from .levels import known_swings, levels, swing_rows
 from .resample import closed_period, higher_timeframe
 from .setups import setups
 from .structure import structure
@@ -19,8 +19,11 @@ DISCLAIMER = "Descriptive output for education and research; not trading advice.
 
 def described(bars: DataFrame, interval: str, params: EngineParams = EngineParams()) -> DataFrame:
     """Every bar with indicators, structure, the closed higher period, known swings, levels and setups."""
-    base = closed_period(structure(indicators(bars, params), params), higher_timeframe(bars, interval, params), params)
-    return setups(levels(known_swings(base, params), params), params)
+    return setups(levels(known_swings(_measured(bars, interval, params), params), params), params)
+
+
+def _measured(bars: DataFrame, interval: str, params: EngineParams) -> DataFrame:
+    return closed_period(structure(indicators(bars, params), params), higher_timeframe(bars, interval, params), params)
 
 
 def strided(bars: DataFrame, count: int, warm_up: int = 200) -> DataFrame:
@@ -39,19 +42,30 @@ def _present(pairs: list[tuple[str, Column]]) -> Column:
 def contexts(bars: DataFrame, interval: str, chosen: DataFrame | None = None, params: EngineParams = EngineParams()) -> DataFrame:
     """symbol, interval, pos, context (a struct) for the chosen bars, or all.
 
-    The candle window, the last events and the nested parts are built only for chosen bars where a
-    window over all bars isn't needed; those that are stay narrow arrays.
+    With chosen bars, what grows with a series (known swings, and levels and setups upon them) and the
+    candle windows are built for these alone, from equi-joins by series and by bar.
     """
     p, r = params.price_decimals, params.ratio_decimals
-    rows = described(bars, interval, params)
+    rows = _measured(bars, interval, params)
     candle = F.struct(iso8601(F.col("ts")).alias("t"), *[F.round(c, p).alias(k) for k, c in zip("ohlc", ("open", "high", "low", "close"), strict=True)], F.when(F.col("has_volume"), F.round("volume", 2)).alias("v"))
-    rows = rows.withColumn("window", F.collect_list(candle).over(trailing(params.window_bars))).withColumn("__k", F.count("event").over(so_far()))
+    rows = rows.withColumn("__k", F.count("event").over(so_far()))
     last_three = Window.partitionBy(*SERIES).orderBy("__k").rangeBetween(-2, 0)
     rows = rows.withColumn("events", F.collect_list("event").over(last_three))
-    if chosen is not None:
-        rows = rows.join(chosen, [*SERIES, "pos"], "left_semi")
+    if chosen is None:
+        rows = known_swings(rows, params).withColumn("window", F.collect_list(candle).over(trailing(params.ohlcv_window_bars)))
+    else:
+        wanted = chosen.select(*SERIES, "pos").distinct()
+        swings = swing_rows(rows, params).join(wanted.withColumnRenamed("pos", "__at"), list(SERIES)).filter(F.col("s.confirmed_index") <= F.col("__at"))
+        known = swings.groupBy(*SERIES, F.col("__at").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("s.confirmed_index", "s.kind", "s"))).alias("__s"))
+        known = known.select(*SERIES, "pos", F.transform("__s", lambda x: x.s).alias("known"))
+        near = wanted.select(*SERIES, F.col("pos").alias("__at"), F.explode(F.sequence(F.col("pos") - params.ohlcv_window_bars + 1, F.col("pos"))).alias("pos"))
+        windows = rows.select(*SERIES, "pos", candle.alias("c")).join(near, [*SERIES, "pos"]).groupBy(*SERIES, "__at").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("__c"))
+        windows = windows.select(*SERIES, F.col("__at").alias("pos"), F.transform("__c", lambda x: x.c).alias("window"))
+        rows = rows.join(wanted, [*SERIES, "pos"], "left_semi").join(known, [*SERIES, "pos"], "left").join(windows, [*SERIES, "pos"], "left")
+        rows = rows.withColumn("known", F.coalesce("known", F.array().cast(known.schema["known"].dataType)))
+    rows = setups(levels(rows, params), params)
     reference = lambda e: F.when(e.isNotNull(), F.struct(e["type"].alias("type"), iso8601(e.ts).alias("timestamp"), F.round(e.level, p).alias("level"), F.round(e.close, p).alias("close"), (F.col("pos") - e["index"]).alias("bars_ago")))
-    recent = F.slice("known", F.greatest(F.size("known") - params.swings_in_context + 1, F.lit(1)), F.lit(params.swings_in_context))
+    recent = F.slice("known", F.greatest(F.size("known") - params.max_swings_in_context + 1, F.lit(1)), F.lit(params.max_swings_in_context))
     by_index = F.array_sort(recent, lambda a, b: F.when(a["index"] != b["index"], a["index"] - b["index"]).when(a.kind < b.kind, -1).when(a.kind > b.kind, 1).otherwise(0))
     swing = lambda s, i: F.struct(F.concat(F.lit("S"), i.cast("string")).alias("id"), s["index"].alias("index"), iso8601(s.timestamp).alias("timestamp"), F.round(s.price, p).alias("price"), s.kind.alias("kind"), s.label.alias("label"), s.confirmed_index.alias("confirmed_index"), (F.col("pos") - s["index"]).alias("bars_ago"))
     level = lambda v, i: F.struct(F.concat(F.lit("L"), i.cast("string")).alias("id"), F.round(v.price, p).alias("price"), v.side.alias("side"), v.touches.alias("touches"), F.round(v.distance_atr, r).alias("distance_atr"), v.last_index.alias("last_index"))

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import so_far
+from ..functions.scalar import SERIES, so_far
 from ..params import EngineParams
 
 _CLUSTER = "struct<price:double,touches:int,first_index:int,last_index:int>"
 
 
+def _swings_at(params: EngineParams) -> Column:
+    """The swings confirmed at a bar, none to two."""
+    k = params.swing_lookback
+    one = lambda kind, price, label: F.when(F.col(price).isNotNull(), F.struct((F.col("pos") - k).cast("int").alias("index"), F.lit(kind).alias("kind"), F.col(price).alias("price"), F.col(label).alias("label"), F.col("pos").cast("int").alias("confirmed_index"), F.col("swing_ts").alias("timestamp")))
+    return F.array_compact(F.array(one("HIGH", "swing_high", "high_label"), one("LOW", "swing_low", "low_label")))
+
+
+def swing_rows(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
+    """A row for each swing: series and s. bars: with swing columns."""
+    return bars.filter(F.col("swing_high").isNotNull() | F.col("swing_low").isNotNull()).select(*SERIES, F.explode(_swings_at(params)).alias("s"))
+
+
 def known_swings(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
     """Adds known: the swings confirmed so far, in print order. bars: with swing columns.
 
     The array grows with the series, so narrow to the bars to be described before nesting more.
     """
-    k = params.swing_lookback
-    one = lambda kind, price, label: F.when(F.col(price).isNotNull(), F.struct((F.col("pos") - k).cast("int").alias("index"), F.lit(kind).alias("kind"), F.col(price).alias("price"), F.col(label).alias("label"), F.col("pos").cast("int").alias("confirmed_index"), F.col("swing_ts").alias("timestamp")))
-    here = F.array_compact(F.array(one("HIGH", "swing_high", "high_label"), one("LOW", "swing_low", "low_label")))
+    here = _swings_at(params)
     return bars.withColumn("known", F.flatten(F.collect_list(F.when(F.size(here) > 0, here)).over(so_far())))
 
 

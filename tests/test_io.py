@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import cli
-from quillon.operators import grounding, metrics, summary, teacher, views
+from quillon.operators import grounding, metrics, summary, teacher, validate, views
 from quillon.operators.context import contexts
 from quillon.operators.indicators import seeded
 from quillon.plans import corpus
@@ -260,3 +260,77 @@ def test_views_of_full_windows(spark):
     rows.unpersist()
     sizes = corpus.cited(spark, f"{TESTDATA}/sf0.001").agg(F.max(F.size("context.ohlcv_window"))).first()[0]
     assert sizes == 60
+
+
+def test_files_lack_and_add_columns(spark, tmp_path, capsys, monkeypatch):
+    """Columns go by each file's own header; what is absent, added or unreadable is reported, with the first rows of row findings."""
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "NOVOL_1d.csv").write_text("\ufeffClose,datetime,Open,High,Low\n" + "".join(f'"{c}",2024-01-{d:02d}T00:00:00Z,{c},{c + 1},{c - 1}\n' for d, c in enumerate(range(10, 22), 1)))
+    (folder / "EXTRA_1d.csv").write_text("datetime,open,high,low,close,volume,note\n\n2024-01-01T00:00:00Z,1,2,0.5,1.5,10,\"a, \"\"b\"\"\"\n2024-01-02T00:00:00Z,1,2,0.5,,10\n")
+    (folder / "TEXT_1d.csv").write_text("datetime,open,high,low,close,volume\nsoon,one,2,0.5,1.5,10\nlater,two,2,0.5,1.5,10\n")
+    (folder / "MIXED_1d.csv").write_text(HEAD + "2024-01-01T00:00:00Z,1,2,0.5,1.5,10\n2024-01-02T00:00:00+05:30,1,2,0.5,1.5,10\n")
+    rows = csv.scan(spark, str(folder))
+    a = rows.filter("symbol = 'NOVOL'").orderBy("pos").first()
+    assert (a["open"], a["high"], a["low"], a["close"], a["volume"], a["pos"]) == (10.0, 11.0, 9.0, 10.0, None, 0)
+    assert rows.filter("symbol = 'EXTRA'").count() == 2
+    found = {(r["symbol"], r["code"], r["field"]): r for r in validate.all_issues(rows, samples=10).collect()}
+    assert found["NOVOL", "MISSING_COLUMN", "volume"]["severity"] == "ERROR" and ("NOVOL", "NULL_VALUE", "volume") not in found
+    assert found["EXTRA", "EXTRA_COLUMN", "note"]["severity"] == "INFO" and [s["pos"] for s in found["EXTRA", "NULL_VALUE", "close"]["samples"]] == [1]
+    assert {("TEXT", "DATETIME_UNPARSEABLE", "datetime"), ("TEXT", "NON_NUMERIC_COLUMN", "open"), ("MIXED", "MIXED_TIMEZONE", None)} <= set(found)
+    verdict = {r["symbol"]: r["verdict"] for r in validate.verdicts(rows, validate.all_issues(rows)).collect()}
+    assert verdict == {"NOVOL": "FAIL", "EXTRA": "FAIL", "TEXT": "FAIL", "MIXED": "FAIL"}
+    assert cli.main(["validate", str(folder)]) == 1
+    out = capsys.readouterr().out
+    assert "| required_columns | MISSING_COLUMN | volume | ERROR | 1 |" in out and "| missing_values | NULL_VALUE | close | ERROR | 1 | 1 |" in out
+    with pytest.raises(SystemExit):
+        cli.main(["context", str(folder)])
+
+
+def test_frames_of_wrong_columns(spark):
+    bars = spark.createDataFrame([("A", "1d", i, dt.datetime(2024, 1, 1 + i), "1.0", 2.0, 0.5, 1.0, "x") for i in range(12)], "symbol string, interval string, pos int, ts timestamp, open string, high double, low double, close double, note string")
+    found = {(r["code"], r["field"]) for r in validate.all_issues(bars).collect()}
+    assert {("MISSING_COLUMN", "volume"), ("EXTRA_COLUMN", "note")} <= found
+
+
+def test_the_last_answer_of_the_right_shape(spark):
+    good = {
+        "higher_timeframe_bias": "NEUTRAL", "market_structure": "RANGE", "market_state": "RANGING", "setup_type": "NONE", "confidence": 0.4,
+        "supporting_evidence": [{"statement": "s", "context_field": "f", "value": "v"}] * 2, "conflicting_evidence": [{"statement": "s", "context_field": "f", "value": "v"}],
+        "important_levels": [{"price": 1.0, "role": "SUPPORT", "context_field": "f", "note": "n"}], "scenarios": [{"direction": "BULLISH"}, {"direction": "BEARISH"}],
+    }
+    one, two = json.dumps(good | {"confidence": 0.1}), json.dumps(good | {"confidence": 0.2})
+    texts = [f'{one} and a note {{"x": 1}}', f"draft {one} final {two} {{", f'{{"broken": {one}', f'{{"x": 1}} {{"confidence": 3}}', one[:-20]]
+    got = teacher.parse(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
+    assert [r["ok"] for r in got] == [True, True, False, False, False]
+    assert [r["analysis"]["confidence"] for r in got[:2]] == [0.1, 0.2]
+    assert any(e.startswith("confidence") for e in got[3]["errors"]) and got[4]["errors"] == ["no JSON object in the answer"]
+
+
+def test_published_configuration(tmp_path):
+    """Every published key is read by its name; fixed values."""
+    from quillon.operators.sampler import SampleSpec
+    from quillon.params import EngineParams, Thresholds, load_yaml
+
+    (tmp_path / "engine.yaml").write_text(
+        "ema_periods: [5, 20, 50, 100, 200]\nrsi_period: 14\natr_period: 14\nreturn_periods: [1, 5, 20]\nrealized_vol_window: 21\nvolume_sma_window: 22\nswing_lookback: 3\nequal_level_atr: 0.15\n"
+        "level_cluster_atr: 0.5\nlevel_min_touches: 2\nmax_levels_per_side: 4\natr_percentile_window: 252\natr_percentile_min_periods: 60\nefficiency_window: 20\ntrend_er_min: 0.35\nrange_er_max: 0.20\n"
+        "event_recency_bars: 10\nlevel_proximity_atr: 0.5\nsetup_fast_ema: 20\nsetup_slow_ema: 50\nohlcv_window_bars: 100\nmax_swings_in_context: 8\nprice_decimals: 4\nratio_decimals: 4\n"
+    )
+    (tmp_path / "data.yaml").write_text("thresholds:\n  min_gap_pct: 0.02\n  gap_mad_multiplier: 7.0\n  max_bar_range_pct: 0.25\n  max_zero_volume_run: 5\n  max_holiday_business_days: 4\n")
+    params, limits = load_yaml(str(tmp_path / "engine.yaml"), EngineParams), load_yaml(str(tmp_path / "data.yaml"), Thresholds, "thresholds")
+    assert (params.realized_vol_window, params.volume_sma_window, params.ohlcv_window_bars, params.ema_periods[-1]) == (21, 22, 100, 200)
+    assert (limits.gap_mad_multiplier, limits.max_holiday_business_days) == (7.0, 4)
+    assert SampleSpec().separation == EngineParams().ohlcv_window_bars and SampleSpec(min_separation=100).separation == 100
+
+
+def test_contexts_of_chosen_bars_are_those_of_all(spark):
+    from quillon.operators.context import context_json
+    from tests.test_engine import FAST
+
+    bars = spark.createDataFrame(clean_daily(90), "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double")
+    chosen = bars.filter("pos % 13 = 5").select("symbol", "interval", "pos")
+    every = {r["pos"]: r["context"] for r in context_json(contexts(bars, "1d", params=FAST)).collect()}
+    got = {r["pos"]: r["context"] for r in context_json(contexts(bars, "1d", chosen, FAST)).collect()}
+    assert got == {p: c for p, c in every.items() if p % 13 == 5} and len(got) == 7
