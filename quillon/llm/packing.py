@@ -41,8 +41,8 @@ END_ID = 0
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Words whose ids a task remembers, before it starts anew.
 CACHED_WORDS = 300_000
-#: Pieces of one length that a task ranks.
-CELL_ROWS = 250_000
+#: Pieces of one length that a task ranks: a CELLS-th of all, within these limits.
+CELLS, CELL_ROWS = 1024, (1_000, 250_000)
 #: Classes of the linear program, its pricing rounds at most, the part of a class's demand that a
 #: round covers at most, and the exponent of the weights.
 CLASSES, ROUNDS, STEP, ETA = 64, 1500, 0.1, 24.0
@@ -298,12 +298,13 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = spark.createDataFrame(plan(histogram, capacity), "of bigint, first bigint, end bigint, sequence bigint, offset bigint")
     # A length of many pieces is ranked in many cells, side by side; capacity rows at most.
-    salts = spark.createDataFrame([(n, 1 + c // CELL_ROWS) for n, c in histogram.items()], "of bigint, salts bigint")
+    cell = min(CELL_ROWS[1], max(CELL_ROWS[0], sum(histogram.values()) // CELLS))
+    salts = spark.createDataFrame([(n, 1 + c // cell) for n, c in histogram.items()], "of bigint, salts bigint")
     salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("of", "salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    # Both tables are bounded: one row for CELL_ROWS pieces, and at most one for each length; a few intervals for each length.
+    # Both tables are bounded: CELLS rows, or one for 250,000 pieces, and one for each length; a few intervals for each length.
     ranked = salted.withColumn("n", F.row_number().over(within)).join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("n") - 1)
     return ranked.join(F.broadcast(places), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset"

@@ -211,7 +211,7 @@ def test_ids_of_a_driver_table_are_the_tokenizers_own(spark):
 
 
 def test_hot_lengths_are_ranked_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CELL_ROWS", 5)
+    monkeypatch.setattr(packing, "CELL_ROWS", (5, 5))
     docs = spark.createDataFrame([(i, "word " * (20 + i % 3)) for i in range(60)], "doc_id bigint, text string")
     got = packing.pack_documents(docs, capacity=64).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 60 == len(got)
