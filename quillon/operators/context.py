@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import SERIES, iso8601, so_far, trailing
 from ..params import CONTEXT_SCHEMA_VERSION, ENGINE_VERSION, EngineParams
 from .indicators import indicators
-from .levels import known_swings, levels, swing_rows
+from .levels import levels, recent_swings, series_levels, swing_rows
 from .resample import closed_period, higher_timeframe
 from .setups import setups
 from .structure import structure
@@ -18,8 +18,13 @@ DISCLAIMER = "Descriptive output for education and research; not trading advice.
 
 
 def described(bars: DataFrame, interval: str, params: EngineParams = EngineParams()) -> DataFrame:
-    """Every bar with indicators, structure, the closed higher period, known swings, levels and setups."""
-    return setups(levels(known_swings(_measured(bars, interval, params), params), params), params)
+    """Every bar with indicators, structure, the closed higher period, levels and setups."""
+    return closed_period(assessed(bars, params), higher_timeframe(bars, interval, params), params)
+
+
+def assessed(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
+    """Every bar with indicators, structure, levels and setups: what its own interval tells."""
+    return setups(series_levels(structure(indicators(bars, params), params), params), params)
 
 
 def _measured(bars: DataFrame, interval: str, params: EngineParams) -> DataFrame:
@@ -42,8 +47,8 @@ def _present(pairs: list[tuple[str, Column]]) -> Column:
 def contexts(bars: DataFrame, interval: str, chosen: DataFrame | None = None, params: EngineParams = EngineParams()) -> DataFrame:
     """symbol, interval, pos, context (a struct) for the chosen bars, or all.
 
-    With chosen bars, what grows with a series (known swings, and levels and setups upon them) and the
-    candle windows are built for these alone, from equi-joins by series and by bar.
+    With chosen bars, known swings, levels and setups upon them and the candle windows are built for
+    these alone, from equi-joins by series and by bar.
     """
     p, r = params.price_decimals, params.ratio_decimals
     rows = _measured(bars, interval, params)
@@ -52,7 +57,7 @@ def contexts(bars: DataFrame, interval: str, chosen: DataFrame | None = None, pa
     last_three = Window.partitionBy(*SERIES).orderBy("__k").rangeBetween(-2, 0)
     rows = rows.withColumn("events", F.collect_list("event").over(last_three))
     if chosen is None:
-        rows = known_swings(rows, params).withColumn("window", F.collect_list(candle).over(trailing(params.ohlcv_window_bars)))
+        rows = series_levels(recent_swings(rows, params).withColumn("window", F.collect_list(candle).over(trailing(params.ohlcv_window_bars))), params)
     else:
         wanted = chosen.select(*SERIES, "pos").distinct()
         swings = swing_rows(rows, params).join(wanted.withColumnRenamed("pos", "__at"), list(SERIES)).filter(F.col("s.confirmed_index") <= F.col("__at"))
@@ -63,7 +68,8 @@ def contexts(bars: DataFrame, interval: str, chosen: DataFrame | None = None, pa
         windows = windows.select(*SERIES, F.col("__at").alias("pos"), F.transform("__c", lambda x: x.c).alias("window"))
         rows = rows.join(wanted, [*SERIES, "pos"], "left_semi").join(known, [*SERIES, "pos"], "left").join(windows, [*SERIES, "pos"], "left")
         rows = rows.withColumn("known", F.coalesce("known", F.array().cast(known.schema["known"].dataType)))
-    rows = setups(levels(rows, params), params)
+        rows = levels(rows, params)
+    rows = setups(rows, params)
     reference = lambda e: F.when(e.isNotNull(), F.struct(e["type"].alias("type"), iso8601(e.ts).alias("timestamp"), F.round(e.level, p).alias("level"), F.round(e.close, p).alias("close"), (F.col("pos") - e["index"]).alias("bars_ago")))
     recent = F.slice("known", F.greatest(F.size("known") - params.max_swings_in_context + 1, F.lit(1)), F.lit(params.max_swings_in_context))
     by_index = F.array_sort(recent, lambda a, b: F.when(a["index"] != b["index"], a["index"] - b["index"]).when(a.kind < b.kind, -1).when(a.kind > b.kind, 1).otherwise(0))

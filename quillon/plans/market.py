@@ -142,10 +142,10 @@ def last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar(_structure(spark, sf_dir), F.col("last_event.type").alias("type"), F.round("last_event.level", 6).alias("last_level"), (F.col("pos") - F.col("last_event.index")).cast("long").alias("bars_ago"))
 
 
-def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.context import described
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.context import assessed
 
-    return described(tables.bars_1h(spark, sf_dir), "1h")
+    return assessed(tables.bars_1h(spark, sf_dir))
 
 
 def _higher(name: str, base, rule: str) -> None:
@@ -178,20 +178,23 @@ def htf_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT {BAR}, id::BIGINT AS id, side, touches::BIGINT AS touches, i0::BIGINT AS first_index, i1::BIGINT AS last_index, {r('price')}, round((price - close) / atr, 6) AS distance_atr FROM lv"))
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bar(_described(spark, sf_dir), F.posexplode_outer("levels").alias("id", "v")).filter(F.col("v").isNotNull())
+    from ..operators.levels import series_levels
+
+    bars = st.swing_columns(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))))
+    df = bar(series_levels(bars), F.posexplode_outer("levels").alias("id", "v")).filter(F.col("v").isNotNull())
     long = lambda c: F.col(f"v.{c}").cast("long").alias(c)
     return df.select("symbol", "pos", F.col("id").cast("long").alias("id"), "v.side", long("touches"), long("first_index"), long("last_index"), F.round("v.price", 6).alias("price"), F.round("v.distance_atr", 6).alias("distance_atr"))
 
 
 @query(sql(f"SELECT {BAR}, rule AS name, direction, round(trig, 4) AS trigger_level, round(inval, 4) AS invalidation_level FROM verdicts WHERE met = total"))
 def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bar(_described(spark, sf_dir), F.explode_outer("setups").alias("s")).filter(F.col("s").isNotNull())
+    df = bar(_assessed(spark, sf_dir), F.explode_outer("setups").alias("s")).filter(F.col("s").isNotNull())
     return df.select("symbol", "pos", "s.name", "s.direction", "s.trigger_level", "s.invalidation_level")
 
 
 @query(sql(f"SELECT {BAR}, rule || ': ' || met || '/' || total || ' met, missing ' || missing AS near_miss FROM verdicts WHERE met < total AND met / total >= 0.66"))
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar(_described(spark, sf_dir), F.explode_outer("near_miss_setups").alias("near_miss")).filter(F.col("near_miss").isNotNull())
+    return bar(_assessed(spark, sf_dir), F.explode_outer("near_miss_setups").alias("near_miss")).filter(F.col("near_miss").isNotNull())
 
 
 @query(sql(f"""SELECT {BAR}, list_aggregate(list_transform(w, lambda x: x.c), 'sum').round(2) AS sum_close, len(w)::BIGINT AS candles, strftime(w[1].t, '%Y-%m-%d %H:%M:%S') AS first_ts
@@ -209,9 +212,10 @@ def candle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT b.symbol, b.pos, s.kind, s.label, s."index" AS i FROM bars_1h b JOIN h_swings s ON s.symbol = b.symbol AND s.confirmed_index <= b.pos
      QUALIFY row_number() OVER (PARTITION BY b.symbol, b.pos ORDER BY s.confirmed_index DESC, s.kind DESC) <= 8) GROUP BY symbol, pos"""))
 def recent_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.levels import known_swings
+    from ..operators import levels as lv
 
-    df = bar(known_swings(_structure(spark, sf_dir)), F.expr("slice(known, greatest(size(known) - 7, 1), 8)").alias("s")).filter(F.size("s") > 0)
+    bars = st.swing_columns(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))))
+    df = bar(lv.recent_swings(bars), F.expr("slice(known, greatest(size(known) - 7, 1), 8)").alias("s")).filter(F.size("s") > 0)
     keyed = F.sort_array(F.transform("s", lambda x: F.struct(x["index"].alias("i"), x.kind.alias("k"), x.label.alias("l"))))
     return df.select("symbol", "pos", F.array_join(F.transform(keyed, lambda x: F.concat(x.k, F.lit(":"), x.l, F.lit("@"), x.i.cast("string"))), ",").alias("swings"))
 
@@ -220,7 +224,7 @@ def recent_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(efficiency, 4) AS efficiency_ratio, coalesce(n_setups, 0)::BIGINT AS n_setups, coalesce(n_levels, 0)::BIGINT AS n_levels
     FROM facts s LEFT JOIN (SELECT symbol, pos, count(*) AS n_setups FROM verdicts WHERE met = total GROUP BY ALL) USING (symbol, pos) LEFT JOIN (SELECT symbol, pos, count(*) AS n_levels FROM lv GROUP BY ALL) USING (symbol, pos)"""))
 def context_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _described(spark, sf_dir)
+    df = _assessed(spark, sf_dir)
     size = lambda c: F.size(c).cast("long")
     return bar(df, "trend", "bias", "vol_regime", "trend_regime", *rounded("close", digits=4), *rounded("rsi", digits=2), *rounded("atr", "atr_percentile", digits=4), F.round("efficiency", 4).alias("efficiency_ratio"), size("setups").alias("n_setups"), size("levels").alias("n_levels"))
 

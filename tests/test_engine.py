@@ -161,6 +161,45 @@ def test_level_clusters(spark):
     assert lv.levels(spark.range(1).select(known.alias("known"), F.lit(90.0).alias("close"), F.lit(None).cast("double").alias("atr"))).first()["levels"] == []
 
 
+def test_levels_of_a_series_are_those_of_each_bar(spark):
+    """One walk over a series' swings against a fold of the swings known at each bar; steps of a half make equal prices and equal gaps."""
+    rng, closes = random.Random(4), [100.0]
+    for _ in range(399):
+        closes.append(closes[-1] + rng.choice((-2, -1, -0.5, 0.5, 1, 2)))
+    bars = structure.swing_columns(ind.recursions(ind.true_range(frame(spark, from_closes(closes))), FAST), FAST)
+    got = lv.series_levels(bars, FAST)
+    assert [c for c in got.columns if c not in bars.columns] == ["levels"]
+    folded, sides = 0, set()
+    rows = got.orderBy("pos").collect()
+    prices = [(r[side], r["pos"] - FAST.swing_lookback, r["pos"]) for r in rows for side in ("swing_high", "swing_low") if r[side] is not None]
+    for r in rows:
+        clusters, made = [], []
+        for price, index, at in sorted(prices):
+            if at > r["pos"] or r["atr"] is None:
+                continue
+            if made and abs(price - sum(p for p, _ in made) / len(made)) <= r["atr"] * FAST.level_cluster_atr:
+                made.append((price, index))
+            else:
+                made = [(price, index)]
+                clusters.append(made)
+        kept = [(sum(p for p, _ in c) / len(c), len(c), min(i for _, i in c), max(i for _, i in c)) for c in clusters if len(c) >= FAST.level_min_touches]
+        most = FAST.max_levels_per_side
+        want = [c for c in kept if c[0] <= r["close"]][-most:] + [c for c in kept if c[0] > r["close"]][:most]
+        assert [(v["price"], v["touches"], v["first_index"], v["last_index"]) for v in r["levels"]] == [pytest.approx(c) for c in want]
+        folded += len(want)
+        sides |= {v["side"] for v in r["levels"]}
+    assert folded > 400 and sides == {"SUPPORT", "RESISTANCE"}
+
+
+def test_levels_of_no_rows_nulls_and_clashing_names(spark):
+    rows = from_closes([100.0, 101.0, 102.0])
+    rows[1][7] = None
+    bars = structure.swing_columns(ind.recursions(ind.true_range(frame(spark, rows)), FAST), FAST)
+    assert lv.series_levels(bars.filter("false"), FAST).collect() == []
+    got = lv.series_levels(bars.withColumn("total", F.lit("x")).withColumn("price", F.lit(None).cast("double")), FAST).orderBy("pos").collect()
+    assert [(r["levels"], r["total"], r["price"]) for r in got] == [([], "x", None)] * 3
+
+
 def test_truncation_invariance(spark):
     """What is known at a bar doesn't change when later bars arrive."""
     rng, closes = random.Random(9), [100.0]
