@@ -17,6 +17,21 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     return builder.getOrCreate()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder the session names in spark.checkpoint.dir; in a temporary one, for tests, only where it is unset."""
+    import tempfile
+    import uuid
+
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[str] = set()
 
 

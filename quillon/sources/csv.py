@@ -36,6 +36,12 @@ def safe_stem(symbol: Column, interval: Column) -> Column:
     return F.concat(F.translate(F.replace(symbol, F.lit("^"), F.lit("IDX_")), "=/.&", "____"), F.lit("_"), interval)
 
 
+def _folder(path: Column, key: str) -> Column:
+    """The value of a folder key=value of a path, null without one; a path is escaped twice, by the writer and as an URI."""
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    return plain(plain(F.nullif(F.regexp_extract(path, f"/{key}=([^/]*)/", 1), F.lit(""))))
+
+
 def fields(line: Column) -> Column:
     """The fields of a line, unquoted."""
 
@@ -51,12 +57,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
     Columns are found by the names in each file's own header, in any order: those that a file lacks
     are null, others are left out, and ``columns`` has all names for the gate to judge. What doesn't
-    parse becomes null, and ``unparsed`` names its column. The order of rows in a file is kept as
+    parse becomes null, and ``unparsed`` names its column. Symbol and interval come from folders
+    symbol=... and interval=..., where there are such, else from the file's name. The order of rows in a file is kept as
     pos: blocks of a file in order, rows of a block in reading order. Blank lines are skipped.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    name = stem(F.col("_metadata.file_path"))
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), symbol_of(name).alias("symbol"), interval_of(name).alias("interval"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
+    file = F.col("_metadata.file_path")
+    symbol, interval = F.coalesce(_folder(file, "symbol"), symbol_of(stem(file))), F.coalesce(_folder(file, "interval"), interval_of(stem(file)))
+    lines = lines.select(file.alias("file"), symbol.alias("symbol"), interval.alias("interval"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
     order = Window.partitionBy("file").orderBy("__block", "__row")
     rows = lines.withColumn("pos", F.row_number().over(order) - 2).withColumn("__header", F.first("value").over(order)).filter("pos >= 0")
     header = F.transform(fields(F.replace(F.col("__header"), F.lit("\ufeff"), F.lit(""))), lambda x: F.lower(F.trim(x)))

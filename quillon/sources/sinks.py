@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from ..functions.scalar import SERIES
+
 #: The benchmark table's columns, in order.
 SUMMARY_COLUMNS = (
     "model", "examples", "calls", "valid_json_rate", "schema_compliance_rate", "first_attempt_rate", "mean_attempts", "fact_agreement_rate", "structure_agreement_rate", "htf_agreement_rate", "setup_agreement_rate",
@@ -19,14 +21,23 @@ def write_raw(bars: DataFrame, path: str) -> None:
     bars.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_series(bars: DataFrame, path: str) -> None:
+    """Raw candles as CSV, one file for each series, in folders by symbol and interval and in the order of pos."""
+    bars.repartition(*SERIES).sortWithinPartitions(*SERIES, "pos").drop("pos").write.mode("errorifexists").partitionBy(*SERIES).option("header", True).csv(path)
+
+
 def write_records(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
 
 def write_corpus(judged: DataFrame, accepted: str, rejected: str) -> None:
-    """Accepted and rejected rows apart."""
-    judged.filter("accepted").write.json(accepted)
-    judged.filter("not accepted").write.json(rejected)
+    """Accepted and rejected rows apart; what judged them runs once."""
+    rows = judged.persist()
+    try:
+        rows.filter("accepted").write.json(accepted)
+        rows.filter("not accepted").write.json(rejected)
+    finally:
+        rows.unpersist()
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:

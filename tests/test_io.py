@@ -89,6 +89,21 @@ def test_raw_files_are_immutable(spark, tmp_path):
         sinks.write_raw(df, str(tmp_path / "raw"))
 
 
+def test_series_files_keep_names_and_order(spark, tmp_path):
+    """Any symbol comes back from its folder, digits as text; rows keep the order of pos, which needn't be that of time."""
+    symbols = ["A=B/C+D 5%", "007", "^N\u00e4me_x", "null"]
+    rows = [(s, "1h", i, f"2024-01-01T{9 - i:02d}:00:00", 1.5 + i, None if i == 1 else 2.0, 1.0, 1e-9, 3.0) for s in symbols for i in range(5)]
+    bars = spark.createDataFrame(rows, "symbol string, interval string, pos int, datetime string, open double, high double, low double, close double, volume double")
+    path = str(tmp_path / "series")
+    sinks.write_series(bars.repartition(7), path)
+    got = csv.scan(spark, path)
+    shown = got.select("symbol", "interval", F.col("pos").cast("int"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "open", "high", "low", "close", "volume")
+    assert sorted(map(tuple, shown.collect()), key=lambda r: (r[0], r[2])) == sorted(rows, key=lambda r: (r[0], r[2]))
+    assert got.select("file").distinct().count() == len(symbols)
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_series(bars, path)
+
+
 def test_data_dictionary():
     from pyspark.sql.types import StructType
 

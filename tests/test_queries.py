@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from quillon.plans import corpus, market, validation
+from quillon.plans import corpus, files, market, validation
 from tests.conftest import TESTDATA, assert_same
 
-ALL = {name: x for registry in (market.REGISTRY, validation.REGISTRY, corpus.REGISTRY) for name, x in registry.items()}
+ALL = {name: x for registry in (market.REGISTRY, validation.REGISTRY, corpus.REGISTRY, files.REGISTRY) for name, x in registry.items()}
 
 
 @pytest.mark.parametrize("name", sorted(n for n, (_, statement) in ALL.items() if statement))
