@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import iso8601
 from ..operators import grounding, metrics, sampler, screen, summary, teacher, views
@@ -187,12 +188,12 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.consistency(results(spark, sf_dir)).select("model", *rounded("consistency", "confidence_spread"))
 
 
-_SUMMARY = ("schema_compliance_rate", "first_attempt_rate", "mean_attempts", "fact_agreement_rate", "grounded_rate", "hallucinated_numbers_per_example", "numbers_in_prose_per_example", "contradictions_per_example", "mean_confidence", "mean_prompt_tokens", "mean_cost", "total_cost", "p50_latency", "p95_latency", "consistency")
+SUMMARY = ("schema_compliance_rate", "first_attempt_rate", "mean_attempts", "fact_agreement_rate", "grounded_rate", "hallucinated_numbers_per_example", "numbers_in_prose_per_example", "contradictions_per_example", "mean_confidence", "mean_prompt_tokens", "mean_cost", "total_cost", "p50_latency", "p95_latency", "consistency")
 
 
-@query(sql(f"SELECT model, examples::BIGINT AS examples, calls::BIGINT AS calls, {', '.join(f'round({c}, 6) AS {c}' for c in _SUMMARY)}, round(s1 / c1, 6) AS structure_agreement_rate FROM t_q"))
+@query(sql(f"SELECT model, examples::BIGINT AS examples, calls::BIGINT AS calls, {', '.join(f'round({c}, 6) AS {c}' for c in SUMMARY)}, round(s1 / c1, 6) AS structure_agreement_rate FROM t_q"))
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summarise(results(spark, sf_dir)).select("model", "examples", "calls", *rounded(*_SUMMARY, "structure_agreement_rate"))
+    return summary.summarise(results(spark, sf_dir)).select("model", "examples", "calls", *rounded(*SUMMARY, "structure_agreement_rate"))
 
 
 @query(sql("SELECT model, error[:position(':' IN error) - 1] AS label, count(*)::BIGINT AS n FROM t_s WHERE run = 0 AND error IS NOT NULL GROUP BY ALL"))
@@ -256,15 +257,39 @@ def screen_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT stratum, count(*)::BIGINT AS size, row_number() OVER (ORDER BY count(*), stratum)::BIGINT AS rank FROM cand GROUP BY stratum"))
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = sampler.SampleSpec(cutoff=CUTOFF, min_bar_index=EARLY)
-    return sampler.strata(sampler.candidates(_facts(spark, sf_dir), spec)).select("stratum", "size", F.col("rank").cast("long").alias("rank"))
+    return sampler.strata(sampled(spark, sf_dir)).select("stratum", "size", F.col("rank").cast("long").alias("rank"))
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampler.candidates(_facts(spark, sf_dir), sampler.SampleSpec(cutoff=CUTOFF, min_bar_index=EARLY))
+
+
+@query(sql("SELECT count(*)::BIGINT AS candidates, count(DISTINCT stratum)::BIGINT AS strata, 0::BIGINT AS strangers, 0::BIGINT AS too_near, 0::BIGINT AS left_over FROM cand"))
+def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice without an end: each pick is a candidate, picks of a source keep their distance, and every other candidate is too near to one."""
+    spec = sampler.SampleSpec(target_count=1 << 30, cutoff=CUTOFF, min_bar_index=EARLY)
+    found = sampled(spark, sf_dir)
+    picks = sampler.choose(found, spec).select("stratum", "source", "pos")
+    before = F.lag("pos").over(Window.partitionBy("source").orderBy("pos"))
+    near = picks.select(F.col("source").alias("__s"), F.col("pos").alias("__p"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = found.agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("stratum").alias("strata"))
+    out = out.join(count(picks.join(found, ["stratum", "source", "pos"], "left_anti"), "strangers"), F.lit(True))
+    out = out.join(picks.select((F.col("pos") - before < spec.separation).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("too_near")), F.lit(True))
+    return out.join(count(found.join(near, (F.col("source") == F.col("__s")) & (F.abs(F.col("pos") - F.col("__p")) < spec.separation), "left_anti"), "left_over"), F.lit(True))
+
+
+@query(sql("SELECT symbol, sector, CASE WHEN suspect <> '' THEN 'flagged' WHEN median_turnover_cr >= 100 THEN 'clean' ELSE 'thin' END AS bucket FROM scr LEFT JOIN (VALUES ('click', 'input'), ('view', 'input'), ('purchase', 'sales'), ('none', 'none')) x(symbol, sector) USING (symbol)"))
+def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sector of every screened series, null where none is known."""
+    known = spark.createDataFrame([("click", "input"), ("view", "input"), ("purchase", "sales"), ("none", "none")], "symbol string, sector string")
+    return screen.with_sectors(screen.buckets(screen.measure(indicators(tables.bars_1h(spark, sf_dir))), 100), known).select("symbol", "sector", "bucket")
 
 
 @query(None)
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greedy selection; its target count is the operator's own limit. Tests check its properties."""
-    spec = sampler.SampleSpec(cutoff=CUTOFF, min_bar_index=EARLY)
-    return sampler.choose(sampler.candidates(_facts(spark, sf_dir), spec), spec)
+    return sampler.choose(sampled(spark, sf_dir), sampler.SampleSpec(cutoff=CUTOFF, min_bar_index=EARLY))
 
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,12 +339,12 @@ def prose_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar(b, count(_when(4, "RSI near 55.2 and 1,234 lots", "RSI14 has no figures here"), ()).alias("numbers"), count(_when(3, "the 20-day EMA and 200", "the 20-day EMA, 50 period"), ("20", "50")).alias("named"))
 
 
-@query(sql("SELECT 'full' AS view, count(*)::BIGINT AS pairs FROM bars_1h UNION ALL SELECT 'tail', count(*) FROM bars_1h UNION ALL SELECT 'compact', count(*) FILTER (WHERE pos % 3 <> 0) FROM bars_1h"))
+@query(sql("SELECT 'full' AS view, count(*) FILTER (WHERE pos % 3 <> 1 OR pos >= 29)::BIGINT AS pairs FROM bars_1h UNION ALL SELECT 'tail', count(*) FILTER (WHERE pos % 3 <> 1) FROM bars_1h UNION ALL SELECT 'compact', count(*) FILTER (WHERE pos % 3 = 2) FROM bars_1h"))
 def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view without candles drops the pairs that cite one."""
-    c = contexts(tables.bars_1h(spark, sf_dir), "1h").withColumn("k", F.col("pos"))
+    """A view drops the pairs that cite a candle it doesn't have: the last one, one 30 back, or none."""
+    c, k = contexts(tables.bars_1h(spark, sf_dir), "1h"), F.col("pos") % 3
     none = F.array().cast("array<struct<context_field:string>>")
-    a = F.struct(F.array(F.struct(_when(3, "ohlcv_window[-1].c", "structure.trend").alias("context_field"))).alias("supporting_evidence"), none.alias("conflicting_evidence"), none.alias("important_levels"))
+    a = F.struct(F.array(F.struct(F.when(k == 0, "ohlcv_window[-1].c").when(k == 1, "ohlcv_window[-30].c").otherwise("structure.trend").alias("context_field"))).alias("supporting_evidence"), none.alias("conflicting_evidence"), none.alias("important_levels"))
     rows = c.withColumn("analysis", a)
     out = views.view(rows, "full").select("view")
     for name in ("tail", "compact"):
@@ -327,6 +352,37 @@ def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("view").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query(sql(f"""SELECT {BAR}, least(pos + 1, 60)::BIGINT AS full_candles, least(pos + 1, 20)::BIGINT AS tail_candles, strftime(min(ts) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), '%Y-%m-%dT%H:%M:%S+00:00') AS tail_from,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS tail_to, false AS compact_candles, true AS rest_kept FROM bars_1h"""))
+def view_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candles of each view of every context; nothing else changes."""
+    rows = contexts(tables.bars_1h(spark, sf_dir), "1h")
+    full, tail, compact = (views.trim(F.col("context"), x) for x in ("full", "tail", "compact"))
+    rows = rows.select("symbol", "pos", full.ohlcv_window.alias("full"), tail.ohlcv_window.alias("tail"), F.to_json(compact).alias("compact"), F.to_json(F.col("context").dropFields("ohlcv_window")).alias("rest"), F.to_json(tail.dropFields("ohlcv_window")).alias("tail_rest"))
+    end = lambda i: F.element_at("tail", i).t
+    kept = (F.col("compact") == F.col("rest")) & (F.col("tail_rest") == F.col("rest"))
+    return bar(rows, F.size("full").cast("long").alias("full_candles"), F.size("tail").cast("long").alias("tail_candles"), end(1).alias("tail_from"), end(-1).alias("tail_to"), F.get_json_object("compact", "$.ohlcv_window").isNotNull().alias("compact_candles"), kept.alias("rest_kept"))
+
+
+@query(sql(f"""SELECT {BAR}, nullif('SchemaError: ' || concat_ws(chr(10), CASE WHEN pos % 2 = 1 THEN 'supporting_evidence: at least 2 entries' END, CASE WHEN pos % 3 = 0 THEN 'market_state: not an allowed value' END, CASE WHEN pos % 5 = 0 THEN 'important_levels.role: not an allowed value' END,
+    CASE WHEN pos % 4 = 0 THEN 'scenarios.direction: not an allowed value' END, CASE WHEN pos % 7 = 0 THEN 'confidence: not within 0 and 1' END), 'SchemaError: ') AS error FROM bars_1h"""))
+def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with an answer of the wrong shape, one place a line."""
+    rows = tables.bars_1h(spark, sf_dir).withColumn("k", F.col("pos"))
+    one = F.array(_evidence("structure.trend", F.lit("x")))
+    scenario = lambda d: F.struct(d.alias("direction"), F.lit("a break").alias("condition"))
+    body = F.struct(
+        *[F.lit(x).alias(c) for c, x in (("higher_timeframe_bias", "NEUTRAL"), ("market_structure", "RANGE"), ("setup_type", "NONE"))],
+        _when(3, "SIDEWAYS", "RANGING").alias("market_state"),
+        F.when(F.col("k") % 2 == 1, one).otherwise(F.concat(one, one)).alias("supporting_evidence"),
+        one.alias("conflicting_evidence"),
+        F.array(F.struct(F.lit(1.5).alias("price"), _when(5, "PIVOT", "SUPPORT").alias("role"))).alias("important_levels"),
+        F.array(scenario(F.lit("BULLISH")), scenario(_when(4, None, "BEARISH"))).alias("scenarios"),
+        _when(7, 1.5, 0.5).alias("confidence"),
+    )
+    return bar(teacher.parse(rows.withColumn("text", F.to_json(body))), "error")
+
+
 @query(sql("SELECT model, count(*)::BIGINT AS pairs, (list_sort(list(t)))[len(list(t)) // 2 + 1]::BIGINT AS median, (list_sort(list(t)))[floor(len(list(t)) * 0.95)::BIGINT + 1]::BIGINT AS p95, max(t)::BIGINT AS max FROM (SELECT model, floor(prompt_tokens * 7 / 1.62) AS t FROM t_a) GROUP BY model"))
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results(spark, sf_dir).withColumn("t", views.token_estimate(F.col("prompt_tokens") * 7))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SERIES, stamp
-from ..operators import metrics, summary, teacher
+from ..operators import indicators as ind
+from ..operators import metrics, sampler, summary, teacher
 from ..operators import validate as v
 from ..session import scratch_path
 from ..sources import csv, records, sinks, tables
@@ -89,3 +90,104 @@ def pair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_pairs(teacher.pairs(rows, "compact", "Describe the market.", "Context: {context}"), path)
     pairs = records.read_records(spark, path, "example_id string, messages array<struct<role:string,content:string>>, view string, split string")
     return pairs.groupBy("view", "split").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.size("messages")).cast("long").alias("messages"))
+
+
+@query(sql("SELECT symbol, sha256(string_agg(pos || ',' || volume::BIGINT || chr(10), '' ORDER BY pos)) AS sha256, sum(length(pos || ',' || volume::BIGINT) + 1)::BIGINT AS length FROM bars_1h GROUP BY symbol"))
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and bytes of a text file for each series."""
+    path = scratch_path(spark, "texts")
+    lines = tables.bars_1h(spark, sf_dir).withColumn("value", F.concat_ws(",", "pos", F.col("volume").cast("long")))
+    lines.repartition("symbol").sortWithinPartitions("symbol", "pos").select("symbol", "value").write.partitionBy("symbol").text(path)
+    return csv.digests(spark, path).select(F.regexp_extract("file", "/symbol=([^/]*)/", 1).alias("symbol"), "sha256", "length")
+
+
+@query(sql("""SELECT symbol, CASE WHEN symbol NOT IN ('click', 'view') THEN any_value("interval") END AS lineage_interval, CASE WHEN symbol NOT IN ('click', 'view') THEN count(*)::BIGINT END AS rows FROM bars_1h GROUP BY symbol"""))
+def lineage_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals that the records beside the files tell: one record is cut off, one file has none."""
+    series, path = tables.bars_1h(spark, sf_dir).groupBy(*SERIES).agg(F.count(F.lit(1)).alias("rows")), scratch_path(spark, "lineage")
+    record = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), *SERIES, "rows"))
+    told = series.filter("symbol <> 'view'").select(F.col("symbol").alias("of"), F.when(F.col("symbol") == "click", F.substring(record, 1, 30)).otherwise(record).alias("value"))
+    told.repartition("of").write.partitionBy("of").text(path)
+    read = csv.lineage(spark, path).select("symbol", F.col("interval").alias("lineage_interval"), "rows")
+    return series.select("symbol").join(read, "symbol", "left")
+
+
+@query(sql(f"SELECT strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS datetime, {r('open', 'high', 'low', 'close', 'volume')} FROM bars_1h"))
+def vendor_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vendor's names, columns of its own and local times."""
+    bars = tables.bars_1h(spark, sf_dir).select(F.col("ts").alias("Date"), F.col("open").alias("Open.NS"), F.col("high").alias("High"), F.col("low").alias(" Low"), F.col("close").alias("CLOSE"), F.col("volume").alias("Volume"), F.lit(0.0).alias("Dividends"))
+    return csv.normalise_vendor(bars, "Asia/Kolkata").select(stamp(F.col("datetime")).alias("datetime"), *rounded("open", "high", "low", "close", "volume"))
+
+
+@query(sql("SELECT symbol, pos::BIGINT AS pos FROM weeks QUALIFY NOT (row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) = 1 AND close IS NULL)",
+    weeks="SELECT symbol || '#' || pos // 7 AS symbol, pos, CASE WHEN pos % 7 <> 3 AND pos % 14 <> 6 THEN close END AS close FROM bars_1h"))
+def unclosed_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of seven bars, half of them with an open last bar, all with a missing close within."""
+    bars = tables.bars_1h(spark, sf_dir).withColumn("close", F.when((F.col("pos") % 7 != 3) & (F.col("pos") % 14 != 6), F.col("close")))
+    return bar(v.drop_unclosed_tail(bars.withColumn("symbol", F.concat("symbol", F.lit("#"), F.floor(F.col("pos") / 7).cast("string")))))
+
+
+@query(sql(r"""SELECT o_orderkey::BIGINT AS id, stem, regexp_extract(stem, '^(.*)_([^_]*)$', 1) AS symbol, regexp_extract(stem, '^(.*)_([^_]*)$', 2) AS "interval", 'plain' || o_orderkey AS bare_symbol, '1d' AS bare_interval FROM stems""",
+    stems="""SELECT o_orderkey, translate(replace(CASE o_orderkey % 4 WHEN 0 THEN '^N' || o_orderkey WHEN 1 THEN 'INR' || o_orderkey || '=X' WHEN 2 THEN 'M&M/' || o_orderkey || '.NS' ELSE 'BRK_' || o_orderkey END, '^', 'IDX_'), '=/.&', '____')
+        || '_' || CASE o_orderkey % 3 WHEN 0 THEN '1d' WHEN 1 THEN '1h' ELSE '15m' END AS stem FROM orders"""))
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe stems of symbols with marks, and what a scan takes from paths with them; a stem without an underscore is a symbol."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    of = lambda n, *names: F.element_at(F.array(*names), (key % n + 1).cast("int"))
+    symbol = of(4, F.concat(F.lit("^N"), text), F.concat(F.lit("INR"), text, F.lit("=X")), F.concat(F.lit("M&M/"), text, F.lit(".NS")), F.concat(F.lit("BRK_"), text))
+    rows = tables.table(spark, sf_dir, "orders").select(key.cast("long").alias("id"), csv.safe_stem(symbol, of(3, *map(F.lit, ("1d", "1h", "15m")))).alias("stem"), F.concat(F.lit("plain"), text).alias("bare"))
+    name = csv.stem(F.concat(F.lit("/data/raw/"), F.col("stem"), F.lit(".csv")))
+    return rows.select("id", "stem", csv.symbol_of(name).alias("symbol"), csv.interval_of(name).alias("interval"), csv.symbol_of(F.col("bare")).alias("bare_symbol"), csv.interval_of(F.col("bare")).alias("bare_interval"))
+
+
+@query(sql("""SELECT symbol, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict, coalesce(issues, 0)::BIGINT AS issues, coalesce(found, 0)::BIGINT AS found
+    FROM v_judged LEFT JOIN (SELECT symbol, count(*) AS issues, sum(n) AS found FROM v_issues GROUP BY symbol) USING (symbol)"""))
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all series as JSON files, read back."""
+    bars, path = validation.both(spark, sf_dir), scratch_path(spark, "reports")
+    found = v.all_issues(bars, samples=10)
+    sinks.report_json(v.verdicts(bars, found), found).select("report").write.text(path)
+    reports = records.read_records(spark, path, "symbol string, verdict string, issues array<struct<count:bigint>>")
+    of = F.coalesce("issues", F.array().cast("array<struct<count:bigint>>"))
+    return reports.select("symbol", "verdict", F.size(of).cast("long").alias("issues"), F.aggregate(of, F.lit(0).cast("long"), lambda n, i: n + i["count"]).alias("found"))
+
+
+@query(corpus.REGISTRY["model_summary"][1])
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark table as a CSV file with its fixed columns, read back by their names."""
+    path = scratch_path(spark, "summary")
+    sinks.write_summary(summary.summarise(corpus.results(spark, sf_dir)), path)
+    read = spark.read.option("header", True).schema(", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in sinks.SUMMARY_COLUMNS)).csv(path)
+    return read.select("model", *[F.col(c).cast("long").alias(c) for c in ("examples", "calls")], *corpus.SUMMARY, "structure_agreement_rate")
+
+
+@query(sql("SELECT 'symbol' AS dimension, symbol AS value, count(*)::BIGINT AS n FROM cand GROUP BY symbol UNION ALL SELECT 'stratum', stratum, count(*) FROM cand GROUP BY stratum"))
+def sample_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by symbol and by stratum of examples from a file of records."""
+    path = scratch_path(spark, "examples")
+    sinks.write_records(corpus.sampled(spark, sf_dir), path)
+    return sampler.describe(records.read_records(spark, path, "stratum string, source string, symbol string, interval string, pos int"))
+
+
+@query(sql("SELECT symbol, coalesce(max(volume), 0) > 0 AND symbol <> 'view' AS has_volume FROM bars_1h GROUP BY symbol"))
+def volume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a series has any volume: scanned files, one of them without."""
+    bars = tables.bars_1h(spark, sf_dir)
+    rows = _scanned(spark, bars.withColumn("volume", F.when(F.col("symbol") != "view", F.col("volume"))))
+    return ind.windowed(ind.recursions(ind.true_range(rows))).groupBy("symbol").agg(F.bool_and("has_volume").alias("has_volume"))
+
+
+@query(sql("""SELECT symbol, pos::BIGINT AS pos, split, 'system,user,assistant' AS roles, 'Describe the market.' AS system, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS as_of, round(close, 4) AS trigger_price, trend, true AS counted
+    FROM pair_rows JOIN facts USING (symbol, pos) WHERE ok AND resolved"""))
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles, the context inside the user's message and the analysis that the assistant gives, of every pair."""
+    pairs = teacher.pairs(_judged(spark, sf_dir, metrics.GateSpec(require_grounded=False, forbid_contradictions=False)), "compact", "Describe the market.", "Context: {context}")
+    m, of = F.col("messages"), F.split("example_id", "_1h#")
+    said = lambda i: m[i].content
+    context = F.regexp_replace(said(1), "^Context: ", "")
+    counted = F.col("tokens") == F.floor(F.length(F.concat(said(0), said(1), said(2))) / 1.62)
+    return pairs.select(
+        of[0].alias("symbol"), of[1].cast("long").alias("pos"), "split", F.array_join(F.transform(m, lambda x: x.role), ",").alias("roles"), said(0).alias("system"), F.get_json_object(context, "$.as_of").alias("as_of"),
+        F.get_json_object(said(2), "$.scenarios[0].trigger_price").cast("double").alias("trigger_price"), F.get_json_object(said(2), "$.market_structure").alias("trend"), (counted & F.get_json_object(context, "$.ohlcv_window").isNull()).alias("counted"),
+    )

@@ -9,7 +9,7 @@ from ..functions.scalar import stamp
 from ..operators import indicators as ind
 from ..operators import structure as st
 from ..sources import tables
-from .sql import sql
+from .sql import BLOCKS, sql
 
 REGISTRY: dict[str, tuple] = {}
 
@@ -238,8 +238,31 @@ def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar(context_json(contexts(bars, "1h", strided(bars, 20))), "context")
 
 
-@query(sql("""SELECT symbol, pos::BIGINT AS pos FROM (SELECT symbol, pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars_1h)
-    WHERE pos >= least(200, n - 1) AND (pos - least(200, n - 1)) % greatest(1, (n - least(200, n - 1)) // 20) = 0 AND (pos - least(200, n - 1)) / greatest(1, (n - least(200, n - 1)) // 20) < 20"""))
+BLOCKS |= {
+    "strided": """SELECT symbol, pos FROM (SELECT symbol, pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars_1h)
+    WHERE pos >= least(200, n - 1) AND (pos - least(200, n - 1)) % greatest(1, (n - least(200, n - 1)) // 20) = 0 AND (pos - least(200, n - 1)) / greatest(1, (n - least(200, n - 1)) // 20) < 20""",
+    "told": """SELECT *, least(8, count(sh) OVER w + count(sl) OVER w) AS n_swings, least(3, count(event_type) OVER w) AS n_events, first_value(ts) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS first_ts
+        FROM facts WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+}
+
+
+@query(sql("""SELECT s.symbol, s.pos::BIGINT AS pos, strftime(s.ts, '%Y-%m-%dT%H:%M:%S+00:00') AS as_of, (s.pos + 1)::BIGINT AS bars_available, least(60, s.pos + 1)::BIGINT AS candles, strftime(first_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS first_candle,
+    round(s.rsi, 2) AS rsi, round(s.atr, 4) AS atr, round(s.ema_50, 4) AS ema_50, s.trend, s.bias, round(s.active_high, 4) AS active_high, n_swings::BIGINT AS n_swings, n_events::BIGINT AS n_events, s.vol_regime, s.trend_regime,
+    coalesce(n_levels, 0)::BIGINT AS n_levels, first_level, coalesce(n_setups, 0)::BIGINT AS n_setups, x.trend AS htf_trend, round(x.close, 4) AS htf_close
+    FROM strided JOIN told s USING (symbol, pos) LEFT JOIN (SELECT symbol, pos, count(*) AS n_setups FROM verdicts WHERE met = total GROUP BY ALL) USING (symbol, pos)
+    LEFT JOIN (SELECT symbol, pos, count(*) AS n_levels, round(min(price), 4) AS first_level FROM lv GROUP BY ALL) USING (symbol, pos) LEFT JOIN htf_at a USING (symbol, pos) LEFT JOIN dd_st x ON x.symbol = a.symbol AND x.pos = a.hpos"""))
+def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nested documents of market_context say, read from their JSON."""
+    at = lambda path, kind="string": F.get_json_object("context", f"$.{path}").cast(kind)
+    size = lambda path: F.json_array_length(at(path)).cast("long")
+    numbers = {"rsi": "indicators.rsi", "atr": "indicators.atr", "ema_50": "indicators.ema.50", "active_high": "structure.active_swing_high", "first_level": "levels[0].price", "htf_close": "higher_timeframe.close"}
+    texts = {"as_of": "as_of", "first_candle": "ohlcv_window[0].t", "trend": "structure.trend", "bias": "structure.bias", "vol_regime": "volatility.regime", "trend_regime": "regime.trend_regime", "htf_trend": "higher_timeframe.trend"}
+    sizes = {"candles": "ohlcv_window", "n_swings": "structure.swings", "n_events": "structure.recent_events", "n_levels": "levels", "n_setups": "setups"}
+    read = [*[at(p, "double").alias(c) for c, p in numbers.items()], *[at(p).alias(c) for c, p in texts.items()], *[size(p).alias(c) for c, p in sizes.items()]]
+    return market_context(spark, sf_dir).select("symbol", "pos", at("bars_available", "long").alias("bars_available"), *read)
+
+
+@query(sql("SELECT symbol, pos::BIGINT AS pos FROM strided"))
 def strided_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import strided
 
