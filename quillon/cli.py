@@ -46,10 +46,10 @@ def cmd_validate(spark, args) -> int:
 
 def cmd_screen(spark, args) -> int:
     bars = indicators.indicators(_bars(spark, args.path).filter(F.col("close").isNotNull()))
-    ranked = screen.buckets(screen.measure(bars), args.min_turnover).orderBy(F.desc("score"))
+    ranked = screen.buckets(screen.measure(bars), args.min_turnover)
     if args.out:
-        ranked.coalesce(1).write.option("header", True).csv(args.out)
-    ranked.filter("bucket = 'clean'").show(args.top, truncate=False)
+        sinks.write_screen(ranked, args.out)
+    ranked.filter("bucket = 'clean'").orderBy(F.desc("score")).show(args.top, truncate=False)
     return 0
 
 

@@ -15,6 +15,7 @@ from ..functions.scalar import iso8601
 from ..operators import grounding, metrics, sampler, screen, summary, teacher, views
 from ..operators.context import contexts, described
 from ..operators.indicators import indicators
+from ..session import scratch_path
 from ..sources import tables
 from .market import BAR, bar, rounded
 from .sql import BLOCKS, sql
@@ -140,6 +141,13 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", *[F.col(f"analysis.{c}") for c in (*summary.CONSISTENCY_FIELDS, "confidence")])
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table, as a report reads it: summaries go over the rows several times."""
+    rows, path = results(spark, sf_dir), scratch_path(spark, "results")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.judge(results(spark, sf_dir).filter("run = 0")).withColumn("split", metrics.split(F.col("as_of"), "2024-01-20"))
 
@@ -185,7 +193,7 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT model, round(consistency, 6) AS consistency, round(confidence_spread, 6) AS confidence_spread FROM t_con"))
 def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.consistency(results(spark, sf_dir)).select("model", *rounded("consistency", "confidence_spread"))
+    return summary.consistency(stored(spark, sf_dir)).select("model", *rounded("consistency", "confidence_spread"))
 
 
 SUMMARY = ("schema_compliance_rate", "first_attempt_rate", "mean_attempts", "fact_agreement_rate", "grounded_rate", "hallucinated_numbers_per_example", "numbers_in_prose_per_example", "contradictions_per_example", "mean_confidence", "mean_prompt_tokens", "mean_cost", "total_cost", "p50_latency", "p95_latency", "consistency")
@@ -193,7 +201,7 @@ SUMMARY = ("schema_compliance_rate", "first_attempt_rate", "mean_attempts", "fac
 
 @query(sql(f"SELECT model, examples::BIGINT AS examples, calls::BIGINT AS calls, {', '.join(f'round({c}, 6) AS {c}' for c in SUMMARY)}, round(s1 / c1, 6) AS structure_agreement_rate FROM t_q"))
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summarise(results(spark, sf_dir)).select("model", "examples", "calls", *rounded(*SUMMARY, "structure_agreement_rate"))
+    return summary.summarise(stored(spark, sf_dir)).select("model", "examples", "calls", *rounded(*SUMMARY, "structure_agreement_rate"))
 
 
 @query(sql("SELECT model, error[:position(':' IN error) - 1] AS label, count(*)::BIGINT AS n FROM t_s WHERE run = 0 AND error IS NOT NULL GROUP BY ALL"))
@@ -208,17 +216,17 @@ def contradiction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT model, round(p50_latency, 6) AS p50, round(p95_latency, 6) AS p95 FROM t_q"))
 def nearest_rank_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summarise(results(spark, sf_dir)).select("model", F.round("p50_latency", 6).alias("p50"), F.round("p95_latency", 6).alias("p95"))
+    return summary.summarise(stored(spark, sf_dir)).select("model", F.round("p50_latency", 6).alias("p50"), F.round("p95_latency", 6).alias("p95"))
 
 
 @query(sql("SELECT model, round(quality, 6) AS quality FROM t_q"))
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.quality(summary.summarise(results(spark, sf_dir))).select("model", *rounded("quality"))
+    return summary.quality(summary.summarise(stored(spark, sf_dir))).select("model", *rounded("quality"))
 
 
 @query(sql("SELECT model, failed::VARCHAR AS failed_gates, len(failed) = 0 AS eligible FROM t_gate"))
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = summary.gates(summary.summarise(results(spark, sf_dir)))
+    g = summary.gates(summary.summarise(stored(spark, sf_dir)))
     return g.select("model", F.concat(F.lit("["), F.array_join("failed_gates", ", "), F.lit("]")).alias("failed_gates"), "eligible")
 
 
@@ -227,13 +235,13 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec_b="SELECT *, coalesce(eligible AND quality >= (SELECT max(quality) FROM rec_e WHERE eligible) - 0.03 AND pc IS NOT NULL, false) AS near FROM rec_e",
     rec_n="SELECT *, bool_or(near) OVER () AS any_near FROM rec_b"))
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = summary.recommend(summary.gates(summary.quality(summary.summarise(results(spark, sf_dir)))), 1000)
+    ranked = summary.recommend(summary.gates(summary.quality(summary.summarise(stored(spark, sf_dir)))), 1000)
     return ranked.select("model", "eligible", *rounded("quality", "projected_cost"), F.col("rank").cast("long").alias("rank"), "chosen")
 
 
 @query(sql("SELECT count(*)::BIGINT AS jobs, count(*) FILTER (WHERE NOT (run = 0 AND k % 17 <> 0))::BIGINT AS pending FROM t_a"))
 def checkpoint_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = results(spark, sf_dir).select("model", "example_id", "run", "ok")
+    rows = stored(spark, sf_dir).select("model", "example_id", "run", "ok")
     left = summary.pending(rows, rows.filter("run = 0 and ok"))
     return rows.agg(F.count(F.lit(1)).alias("jobs")).join(left.agg(F.count(F.lit(1)).alias("pending")), F.lit(True))
 

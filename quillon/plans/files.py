@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import jsonschema
 from ..functions.scalar import SERIES, stamp
+from ..operators import context, metrics, sampler, screen, summary, teacher
 from ..operators import indicators as ind
-from ..operators import metrics, sampler, summary, teacher
 from ..operators import validate as v
 from ..session import scratch_path
 from ..sources import csv, records, sinks, tables
@@ -157,7 +159,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark table as a CSV file with its fixed columns, read back by their names."""
     path = scratch_path(spark, "summary")
-    sinks.write_summary(summary.summarise(corpus.results(spark, sf_dir)), path)
+    sinks.write_summary(summary.summarise(corpus.stored(spark, sf_dir)), path)
     read = spark.read.option("header", True).schema(", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in sinks.SUMMARY_COLUMNS)).csv(path)
     return read.select("model", *[F.col(c).cast("long").alias(c) for c in ("examples", "calls")], *corpus.SUMMARY, "structure_agreement_rate")
 
@@ -191,3 +193,87 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         of[0].alias("symbol"), of[1].cast("long").alias("pos"), "split", F.array_join(F.transform(m, lambda x: x.role), ",").alias("roles"), said(0).alias("system"), F.get_json_object(context, "$.as_of").alias("as_of"),
         F.get_json_object(said(2), "$.scenarios[0].trigger_price").cast("double").alias("trigger_price"), F.get_json_object(said(2), "$.market_structure").alias("trend"), (counted & F.get_json_object(context, "$.ohlcv_window").isNull()).alias("counted"),
     )
+
+
+@query(corpus.REGISTRY["screen_universe"][1])
+def screen_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screen through its CSV file, where an empty text and a missing one are the same."""
+    path, screened = scratch_path(spark, "screen"), screen.buckets(screen.measure(ind.indicators(tables.bars_1h(spark, sf_dir))), 100)
+    sinks.write_screen(screened, path)
+    return spark.read.option("header", True).schema(screened.schema).csv(path).drop("interval").withColumn("suspect", F.coalesce("suspect", F.lit("")))
+
+
+@query(corpus.REGISTRY["corpus_totals"][1])
+def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a corpus through its JSON file."""
+    path, totals = scratch_path(spark, "totals"), corpus.corpus_totals(spark, sf_dir)
+    sinks.write_records(totals, path)
+    return records.read_records(spark, path, ", ".join(f"{n} {t}" for n, t in totals.dtypes))
+
+
+@query(sql("""SELECT symbol, pos::BIGINT AS pos, least(60, pos + 1)::BIGINT AS candles, trend, round(rsi, 2) AS rsi FROM strided JOIN facts USING (symbol, pos)"""))
+def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context documents as lines of JSON, read back under their own schema."""
+    bars, path = tables.bars_1h(spark, sf_dir), scratch_path(spark, "contexts")
+    made = context.contexts(bars, "1h", context.strided(bars, 20))
+    context.context_json(made).select("context").write.text(path)
+    read = spark.read.schema(made.schema["context"].dataType).json(path)
+    return read.select("symbol", F.col("bar_index").cast("long").alias("pos"), F.size("ohlcv_window").cast("long").alias("candles"), "structure.trend", "indicators.rsi")
+
+
+#: The outline that a model is shown of an answer, and the answer's data dictionary: fixed values.
+OUTLINE = """- higher_timeframe_bias (BULLISH | BEARISH | NEUTRAL | UNAVAILABLE)
+- higher_timeframe_rationale (string)
+- market_structure (UPTREND | DOWNTREND | EXPANSION | CONTRACTION | RANGE | INSUFFICIENT_DATA)
+- market_structure_explanation (string)
+- market_state (TRENDING_UP | TRENDING_DOWN | RANGING | BREAKOUT | BREAKDOWN | REVERSAL | CHOPPY)
+- setup_type (TREND_CONTINUATION_LONG | TREND_CONTINUATION_SHORT | RANGE_FADE_LONG | RANGE_FADE_SHORT | VOLATILITY_BREAKOUT_LONG | REVERSAL_LONG | REVERSAL_SHORT | NONE)
+- supporting_evidence (list of object)
+  - statement (string)
+  - context_field (string)
+  - value (string)
+- conflicting_evidence (list of object)
+  - statement (string)
+  - context_field (string)
+  - value (string)
+- important_levels (list of object)
+  - price (number)
+  - role (string)
+  - context_field (string)
+  - note (string)
+- scenarios (list of object)
+  - name (string)
+  - direction (string)
+  - condition (string)
+  - trigger_price (number)
+  - invalidation_price (number)
+  - expectation (string)
+- confidence (number)
+- reasoning_summary (string)"""
+EVIDENCE = """| field | type | optional | description |
+|-|-|-|-|
+| evidence | array | yes | what is cited |
+| evidence[].statement | string | yes |  |
+| evidence[].context_field | string | yes |  |
+| evidence[].value | string | yes |  |"""
+
+
+def _lines(text: str) -> str:
+    return f"SELECT i::BIGINT AS at, l[i] AS line FROM (SELECT string_split('{text}', chr(10)) AS l), range(1, {text.count(chr(10)) + 2}) t(i)"
+
+
+def _numbered(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "at bigint, line string")
+
+
+@query(_lines(OUTLINE))
+def answer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict schema of an answer, from its Spark type, as the outline for prompts."""
+    kind = StructType.fromDDL(f"a {teacher.ANALYSIS}")["a"].dataType
+    return _numbered(spark, jsonschema.outline(jsonschema.strict(jsonschema.of_type(kind, metrics.VOCABULARY))))
+
+
+@query(_lines(EVIDENCE))
+def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of a nested type, a line for each field."""
+    return _numbered(spark, sinks.data_dictionary(StructType.fromDDL("evidence array<struct<statement:string,context_field:string,value:string>>"), {"evidence": "what is cited"}))

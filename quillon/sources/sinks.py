@@ -51,6 +51,11 @@ def write_summary(summaries: DataFrame, path: str) -> None:
     summaries.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in SUMMARY_COLUMNS]).orderBy("model").coalesce(1).write.option("header", True).csv(path)
 
 
+def write_screen(screened: DataFrame, path: str) -> None:
+    """The screen as CSV, best first; one row for each series, so one file."""
+    screened.orderBy(F.desc("score")).coalesce(1).write.option("header", True).csv(path)
+
+
 def report_json(verdicts: DataFrame, issues: DataFrame) -> DataFrame:
     """One JSON report for each series: its verdict and its issues."""
     keys = ["symbol", "interval"]
