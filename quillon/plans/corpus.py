@@ -287,6 +287,12 @@ def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(count(found.join(near, (F.col("source") == F.col("__s")) & (F.abs(F.col("pos") - F.col("__p")) < spec.separation), "left_anti"), "left_over"), F.lit(True))
 
 
+@query(sql("SELECT stratum, source, pos::BIGINT AS pos FROM cand ORDER BY source, pos LIMIT 25"))
+def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of the examples, whose length is what is asked for."""
+    return sampled(spark, sf_dir).orderBy("source", "pos").limit(25).select("stratum", "source", F.col("pos").cast("long").alias("pos"))
+
+
 @query(sql("SELECT symbol, sector, CASE WHEN suspect <> '' THEN 'flagged' WHEN median_turnover_cr >= 100 THEN 'clean' ELSE 'thin' END AS bucket FROM scr LEFT JOIN (VALUES ('click', 'input'), ('view', 'input'), ('purchase', 'sales'), ('none', 'none')) x(symbol, sector) USING (symbol)"))
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sector of every screened series, null where none is known."""

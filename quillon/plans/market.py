@@ -262,6 +262,26 @@ def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market_context(spark, sf_dir).select("symbol", "pos", at("bars_available", "long").alias("bars_available"), *read)
 
 
+#: The default parameters as their fingerprint reads them: fixed values.
+DEFAULTS = (
+    '{"atr_percentile_min_periods": 60, "atr_percentile_window": 252, "atr_period": 14, "efficiency_window": 20, "ema_periods": [5, 20, 50, 100, 200], '
+    '"equal_level_atr": 0.15, "event_recency_bars": 10, "level_cluster_atr": 0.5, "level_min_touches": 2, "level_proximity_atr": 0.5, '
+    '"max_levels_per_side": 4, "max_swings_in_context": 8, "ohlcv_window_bars": 60, "price_decimals": 4, "range_er_max": 0.2, "ratio_decimals": 4, '
+    '"realized_vol_window": 20, "return_periods": [1, 5, 20], "rsi_period": 14, "setup_fast_ema": 20, "setup_slow_ema": 50, "swing_lookback": 3, '
+    '"trend_er_min": 0.35, "volume_sma_window": 20}'
+)
+
+
+@query(sql(f"SELECT symbol, substr(sha256('{DEFAULTS}'), 1, 16) AS params_fingerprint, '1.1.0' AS schema_version, count(*)::BIGINT AS documents FROM strided GROUP BY symbol"))
+def context_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters and the schema that every document says it was made with."""
+    from ..operators.context import contexts, strided
+
+    bars, c = tables.bars_1h(spark, sf_dir), F.col("context")
+    made = contexts(bars, "1h", strided(bars, 20)).select("symbol", c.params_fingerprint.alias("params_fingerprint"), c.schema_version.alias("schema_version"))
+    return made.groupBy("symbol", "params_fingerprint", "schema_version").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query(sql("SELECT symbol, pos::BIGINT AS pos FROM strided"))
 def strided_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import strided
