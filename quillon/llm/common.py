@@ -103,3 +103,18 @@ def without(docs: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: s
         gone = F.broadcast(gone)
     same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash"))
     return docs.join(gone, same, "left_anti")
+
+
+#: Keys that can each hold a HEAVY-th of all rows: so many rows, at most, are broadcast for them.
+HEAVY = 1024
+
+
+def attach(rows: DataFrame, totals: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """rows left-joined with totals, one row for each key; both are written tables and no key is null.
+
+    A key with size of at least a HEAVY-th of all n rows comes to its rows by broadcast, so no task
+    gets all rows of a hot key; the others are joined by a shuffle.
+    """
+    often = F.col(size) * HEAVY >= n
+    heavy = F.broadcast(totals.filter(often))
+    return rows.join(heavy, key).unionByName(rows.join(F.broadcast(totals.filter(often).select(key)), key, "left_anti").join(totals.filter(~often), key, "left"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, language_id, packing, quality_rules, sharding, simhash, toxicity, warc
+from . import chat, decontamination, exact_dedup, html_text, language_id, packing, quality_rules, sharding, simhash, spelling, toxicity, vector_codes, warc
 from .common import table
 
 
@@ -55,9 +55,21 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_benchmark_decontamination, op4_html_main_text, op5_simhash_near_duplicates, op6_warc_round_trip, op7_chat_formatting, op8_toxicity, op9_host_quality_rules, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_benchmark_decontamination, op4_html_main_text, op5_simhash_near_duplicates, op6_warc_round_trip, op7_chat_formatting, op8_toxicity, op9_host_quality_rules, op10_hash_tree_sharding, op11_spelling_variants, op12_exact_dedup, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontamination.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op7_chat_formatting": chat.oracle(), "op9_host_quality_rules": quality_rules.ORACLE, "op10_hash_tree_sharding": sharding.oracle()}
+    return {"op3_benchmark_decontamination": decontamination.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op7_chat_formatting": chat.oracle(), "op9_host_quality_rules": quality_rules.ORACLE, "op10_hash_tree_sharding": sharding.oracle(), "op11_spelling_variants": spelling.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE, "op13_vector_codes": vector_codes.oracle()}
