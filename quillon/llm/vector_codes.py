@@ -188,7 +188,8 @@ def _updated(kept: DataFrame, books: list[list[list[int]]], vector: str) -> list
                 np.add.at(part, index[:, p], parts[:, p])
                 sums[p] += part
         p, e = np.nonzero(counts)
-        yield pd.DataFrame({"part": p, "entry": e, "n": counts[p, e], "sums": [list(map(str, sums[a, b])) for a, b in zip(p, e, strict=True)]})
+        if len(p):
+            yield pd.DataFrame({"part": p, "entry": e, "n": counts[p, e], "sums": [list(map(str, sums[a, b])) for a, b in zip(p, e, strict=True)]})
 
     def whole(own: pd.DataFrame) -> pd.DataFrame:
         n = int(own["n"].sum())
