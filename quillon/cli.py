@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .operators import context, indicators, metrics, sampler, screen, structure, summary, teacher, validate, views
 from .params import EngineParams, Thresholds, load_yaml
 from .session import session
-from .sources import csv, records, sinks
+from .sources import csv, records, sinks, tables
 
 
 def _bars(spark, path: str):
@@ -45,7 +45,7 @@ def cmd_validate(spark, args) -> int:
 
 
 def cmd_screen(spark, args) -> int:
-    bars = indicators.indicators(_bars(spark, args.path).filter(F.col("close").isNotNull()))
+    bars = indicators.indicators(tables.numbered(_bars(spark, args.path).filter(F.col("close").isNotNull()), "pos"))
     ranked = screen.buckets(screen.measure(bars), args.min_turnover)
     if args.out:
         sinks.write_screen(ranked, args.out)
@@ -56,8 +56,8 @@ def cmd_screen(spark, args) -> int:
 def cmd_context(spark, args) -> int:
     params = load_yaml(args.config, EngineParams) if args.config else EngineParams()
     bars = _gated(spark, args)
-    n = context.strided(bars, args.count) if args.bar is None else bars.filter(F.col("pos") == args.bar).select("symbol", "interval", "pos")
-    out = context.context_json(context.contexts(bars, args.interval, n, params))
+    chosen = context.strided(bars, args.count, max(params.ema_periods)) if args.bar is None else context.at_bar(bars, args.bar)
+    out = context.context_json(context.contexts(bars, chosen, params))
     if args.out:
         out.select("context").write.text(args.out)
     else:
@@ -74,7 +74,7 @@ def cmd_summary(spark, args) -> int:
 
 def cmd_schema(spark, args) -> int:
     empty = spark.createDataFrame([], "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double")
-    schema = context.contexts(empty, args.interval).schema["context"].dataType
+    schema = context.contexts(empty).schema["context"].dataType
     print(schema.json() if args.json else sinks.data_dictionary(schema))
     return 0
 
@@ -94,9 +94,9 @@ def _scored(spark, path: str, context_schema: str | None = None):
     return records.read_checkpoint(spark, path, teacher.SCORED + (f", context {context_schema}" if context_schema else ""))
 
 
-def _context_type(spark, interval: str) -> str:
+def _context_type(spark) -> str:
     empty = spark.createDataFrame([], "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double")
-    return context.contexts(empty, interval).schema["context"].dataType.simpleString()
+    return context.contexts(empty).schema["context"].dataType.simpleString()
 
 
 def _gate(args) -> metrics.GateSpec:
@@ -120,7 +120,7 @@ def cmd_report(spark, args) -> int:
 
 def cmd_regate(spark, args) -> int:
     """Judges scored rows anew and writes what is accepted and what isn't."""
-    rows = _scored(spark, args.path, _context_type(spark, args.interval))
+    rows = _scored(spark, args.path, _context_type(spark))
     judged = metrics.judge(rows, _gate(args)).withColumn("split", metrics.split(F.col("as_of"), args.val_start))
     sinks.write_corpus(judged, f"{args.out}/accepted", f"{args.out}/rejected")
     print(json.dumps(summary.corpus_totals(judged).first().asDict()))
@@ -140,7 +140,7 @@ def cmd_describe(spark, args) -> int:
 def cmd_export(spark, args) -> int:
     """Training pairs of the accepted rows in every view, by view and split."""
     prompt = records.load_prompt(args.prompts, args.prompt_version)
-    rows = _scored(spark, args.path, _context_type(spark, args.interval))
+    rows = _scored(spark, args.path, _context_type(spark))
     judged = metrics.judge(rows, _gate(args)).withColumn("split", metrics.split(F.col("as_of"), args.val_start))
     pairs = None
     for view in views.VIEWS:
@@ -162,7 +162,6 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("path")
             p.add_argument("--out")
         p.add_argument("--config")
-        p.add_argument("--interval", default="1d")
         p.add_argument("--allow-failed", action="store_true")
         p.add_argument("--count", type=int, default=200 if name == "sample" else 20)
         p.add_argument("--bar", type=int)

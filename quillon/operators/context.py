@@ -17,9 +17,9 @@ from .structure import structure
 DISCLAIMER = "Descriptive output for education and research; not trading advice."
 
 
-def described(bars: DataFrame, interval: str, params: EngineParams = EngineParams()) -> DataFrame:
+def described(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
     """Every bar with indicators, structure, the closed higher period, levels and setups."""
-    return closed_period(assessed(bars, params), higher_timeframe(bars, interval, params), params)
+    return closed_period(assessed(bars, params), higher_timeframe(bars, params), params)
 
 
 def assessed(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
@@ -27,8 +27,8 @@ def assessed(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFram
     return setups(series_levels(structure(indicators(bars, params), params), params), params)
 
 
-def _measured(bars: DataFrame, interval: str, params: EngineParams) -> DataFrame:
-    return closed_period(structure(indicators(bars, params), params), higher_timeframe(bars, interval, params), params)
+def _measured(bars: DataFrame, params: EngineParams) -> DataFrame:
+    return closed_period(structure(indicators(bars, params), params), higher_timeframe(bars, params), params)
 
 
 def strided(bars: DataFrame, count: int, warm_up: int = 200) -> DataFrame:
@@ -40,18 +40,24 @@ def strided(bars: DataFrame, count: int, warm_up: int = 200) -> DataFrame:
     return bars.select(*SERIES, "pos", ((k >= 0) & (k % step == 0) & (k / step < count)).alias("take")).filter("take").drop("take")
 
 
+def at_bar(bars: DataFrame, index: int) -> DataFrame:
+    """The position of one bar of each series; a negative index counts from the end, and a series without it has none."""
+    wanted = F.lit(index) if index >= 0 else F.count(F.lit(1)).over(Window.partitionBy(*SERIES)) + index
+    return bars.select(*SERIES, "pos", wanted.alias("wanted")).filter("pos = wanted").drop("wanted")
+
+
 def _present(pairs: list[tuple[str, Column]]) -> Column:
     return F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
-def contexts(bars: DataFrame, interval: str, chosen: DataFrame | None = None, params: EngineParams = EngineParams()) -> DataFrame:
+def contexts(bars: DataFrame, chosen: DataFrame | None = None, params: EngineParams = EngineParams()) -> DataFrame:
     """symbol, interval, pos, context (a struct) for the chosen bars, or all.
 
     With chosen bars, known swings, levels and setups upon them and the candle windows are built for
     these alone, from equi-joins by series and by bar.
     """
     p, r = params.price_decimals, params.ratio_decimals
-    rows = _measured(bars, interval, params)
+    rows = _measured(bars, params)
     candle = F.struct(iso8601(F.col("ts")).alias("t"), *[F.round(c, p).alias(k) for k, c in zip("ohlc", ("open", "high", "low", "close"), strict=True)], F.when(F.col("has_volume"), F.round("volume", 2)).alias("v"))
     rows = rows.withColumn("__k", F.count("event").over(so_far()))
     last_three = Window.partitionBy(*SERIES).orderBy("__k").rangeBetween(-2, 0)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import SERIES
 from ..params import HIGHER_TIMEFRAME, EngineParams
 from ..sources.tables import numbered
-from .indicators import recursions, true_range
+from .indicators import recursions
 from .structure import structure
 
 
@@ -38,36 +38,56 @@ def bucket(ts: Column, rule: str) -> tuple[Column, Column]:
     raise ValueError(f"unknown rule {rule!r}")
 
 
-def resample(bars: DataFrame, rule: str) -> DataFrame:
-    """Candles by the rule, with period_end. First and last skip missing prices; a missing volume adds nothing."""
-    label, end = bucket(F.col("ts"), rule)
+def rule_of(interval: Column) -> Column:
+    """The rule of the higher timeframe that an interval is read against; null where it has none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in HIGHER_TIMEFRAME.items() for x in pair]), interval)
+
+
+def resample(bars: DataFrame, rule: str | None = None) -> DataFrame:
+    """Candles by the rule, or by each series' own; series that have none give none. With period_end, rule, and pos in the series.
+
+    A symbol may have series of several intervals; each is resampled by itself and keeps its interval.
+    First and last skip missing prices, a missing volume adds nothing, and a period that lacks a price
+    altogether is no candle.
+    """
+    bars = bars.withColumn("rule", F.lit(rule) if rule else rule_of(F.col("interval"))).filter(F.col("rule").isNotNull())
+    label, end = F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp")
+    for r in [rule] if rule else dict.fromkeys(HIGHER_TIMEFRAME.values()):
+        start, stop = bucket(F.col("ts"), r)
+        label, end = F.when(F.col("rule") == r, start).otherwise(label), F.when(F.col("rule") == r, stop).otherwise(end)
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("pos"))
-    grouped = bars.select("*", label.alias("__label"), end.alias("period_end")).groupBy(F.col("symbol"), F.col("__label").alias("ts"), F.col("period_end"))
-    out = grouped.agg(
-        F.min_by("open", at("open")).alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", at("close")).alias("close"),
-        F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"),
-    )
-    return numbered(out.withColumn("interval", F.lit(rule))).select(*SERIES, "pos", "ts", "open", "high", "low", "close", "volume", "period_end")
+    grouped = bars.select("*", label.alias("__label"), end.alias("period_end")).groupBy(*SERIES, "rule", F.col("__label").alias("ts"), "period_end")
+    prices = {
+        "open": F.min_by("open", at("open")),
+        "high": F.max("high"),
+        "low": F.min("low"),
+        "close": F.max_by("close", at("close")),
+    }
+    out = grouped.agg(*[price.alias(c) for c, price in prices.items()], F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume")).dropna(subset=list(prices))
+    return numbered(out).select(*SERIES, "pos", "ts", "open", "high", "low", "close", "volume", "period_end", "rule")
+
 
+def higher_timeframe(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
+    """The engine on the higher timeframe of each series: one row for each period, with structure and averages.
 
-def higher_timeframe(bars: DataFrame, interval: str, params: EngineParams = EngineParams()) -> DataFrame:
-    """The engine on the higher timeframe of ``interval``: one row for each period, with structure and averages."""
-    return structure(recursions(true_range(resample(bars, HIGHER_TIMEFRAME[interval])), params), params)
+    A row keeps the series' own interval; rule tells the higher one. A series of no more periods than
+    the two sides of a swing and one has no higher timeframe.
+    """
+    higher = resample(bars)
+    enough = F.count(F.lit(1)).over(Window.partitionBy(*SERIES)) > 2 * params.swing_lookback + 1
+    return structure(recursions(higher.withColumn("__enough", enough).filter("__enough").drop("__enough"), params), params)
 
 
 def closed_period(base: DataFrame, higher: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
-    """Adds to each base bar ``htf``: the last higher bar whose end isn't after the bar's own time.
+    """Adds to each base bar ``htf``: the last higher bar of its series whose end isn't after the bar's own time.
 
-    Both are put on one time line per symbol, higher bars first at equal times, and the last one seen
-    is carried on: a shuffle by symbol, no range join.
+    Both are put on one time line per series, higher bars first at equal times, and the last one seen
+    is carried on: a shuffle by series, no range join.
     """
     emas = F.create_map(*[x for n in params.ema_periods for x in (F.lit(str(n)), F.round(f"ema_{n}", params.price_decimals))])
     event = F.when(F.col("last_event").isNotNull(), F.struct(F.col("last_event.type").alias("type"), F.col("last_event.ts").alias("timestamp"), F.round("last_event.level", params.price_decimals).alias("level"), F.round("last_event.close", params.price_decimals).alias("close"), (F.col("pos") - F.col("last_event.index")).alias("bars_ago")))
     snapshot = F.struct(
-        F.col("interval"),
+        F.col("rule").alias("interval"),
         (F.col("pos") + 1).alias("bars_available"),
         F.col("ts").alias("as_of"),
         "trend",
@@ -76,7 +96,7 @@ def closed_period(base: DataFrame, higher: DataFrame, params: EngineParams = Eng
         F.map_filter(emas, lambda _, v: v.isNotNull()).alias("ema"),
         event.alias("last_event"),
     )
-    facts = higher.select("symbol", F.col("period_end").alias("ts"), F.lit(0).alias("__tag"), snapshot.alias("__htf"))
+    facts = higher.select(*SERIES, F.col("period_end").alias("ts"), F.lit(0).alias("__tag"), snapshot.alias("__htf"))
     line = base.withColumn("__tag", F.lit(1)).unionByName(facts, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("ts", "__tag", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*SERIES).orderBy("ts", "__tag", "pos").rowsBetween(Window.unboundedPreceding, 0)
     return line.withColumn("htf", F.last("__htf", ignorenulls=True).over(w)).filter(F.col("__tag") == 1).drop("__tag", "__htf")

@@ -81,7 +81,7 @@ BLOCKS |= {
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(tables.bars_1h(spark, sf_dir), "1h")
+    return described(tables.bars_1h(spark, sf_dir))
 
 
 def _when(k: int, yes, no) -> Column:
@@ -308,7 +308,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context JSON of every bar with one analysis that cites it, partly falsified by position."""
-    c = contexts(tables.bars_1h(spark, sf_dir), "1h").withColumn("k", F.col("pos"))
+    c = contexts(tables.bars_1h(spark, sf_dir)).withColumn("k", F.col("pos"))
     x = F.col("context")
     rsi, high = x.indicators.rsi, x.structure.active_swing_high
     none = F.lit(None).cast("string")
@@ -356,7 +356,7 @@ def prose_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT 'full' AS view, count(*) FILTER (WHERE pos % 3 <> 1 OR pos >= 29)::BIGINT AS pairs FROM bars_1h UNION ALL SELECT 'tail', count(*) FILTER (WHERE pos % 3 <> 1) FROM bars_1h UNION ALL SELECT 'compact', count(*) FILTER (WHERE pos % 3 = 2) FROM bars_1h"))
 def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view drops the pairs that cite a candle it doesn't have: the last one, one 30 back, or none."""
-    c, k = contexts(tables.bars_1h(spark, sf_dir), "1h"), F.col("pos") % 3
+    c, k = contexts(tables.bars_1h(spark, sf_dir)), F.col("pos") % 3
     none = F.array().cast("array<struct<context_field:string>>")
     a = F.struct(F.array(F.struct(F.when(k == 0, "ohlcv_window[-1].c").when(k == 1, "ohlcv_window[-30].c").otherwise("structure.trend").alias("context_field"))).alias("supporting_evidence"), none.alias("conflicting_evidence"), none.alias("important_levels"))
     rows = c.withColumn("analysis", a)
@@ -370,7 +370,7 @@ def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS tail_to, false AS compact_candles, true AS rest_kept FROM bars_1h"""))
 def view_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candles of each view of every context; nothing else changes."""
-    rows = contexts(tables.bars_1h(spark, sf_dir), "1h")
+    rows = contexts(tables.bars_1h(spark, sf_dir))
     full, tail, compact = (views.trim(F.col("context"), x) for x in ("full", "tail", "compact"))
     rows = rows.select("symbol", "pos", full.ohlcv_window.alias("full"), tail.ohlcv_window.alias("tail"), F.to_json(compact).alias("compact"), F.to_json(F.col("context").dropFields("ohlcv_window")).alias("rest"), F.to_json(tail.dropFields("ohlcv_window")).alias("tail_rest"))
     end = lambda i: F.element_at("tail", i).t

@@ -177,7 +177,7 @@ def volume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a series has any volume: scanned files, one of them without."""
     bars = tables.bars_1h(spark, sf_dir)
     rows = _scanned(spark, bars.withColumn("volume", F.when(F.col("symbol") != "view", F.col("volume"))))
-    return ind.windowed(ind.recursions(ind.true_range(rows))).groupBy("symbol").agg(F.bool_and("has_volume").alias("has_volume"))
+    return ind.windowed(ind.recursions(rows)).groupBy("symbol").agg(F.bool_and("has_volume").alias("has_volume"))
 
 
 @query(sql("""SELECT symbol, pos::BIGINT AS pos, split, 'system,user,assistant' AS roles, 'Describe the market.' AS system, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS as_of, round(close, 4) AS trigger_price, trend, true AS counted
@@ -215,7 +215,7 @@ def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context documents as lines of JSON, read back under their own schema."""
     bars, path = tables.bars_1h(spark, sf_dir), scratch_path(spark, "contexts")
-    made = context.contexts(bars, "1h", context.strided(bars, 20))
+    made = context.contexts(bars, context.strided(bars, 20))
     context.context_json(made).select("context").write.text(path)
     read = spark.read.schema(made.schema["context"].dataType).json(path)
     return read.select("symbol", F.col("bar_index").cast("long").alias("pos"), F.size("ohlcv_window").cast("long").alias("candles"), "structure.trend", "indicators.rsi")

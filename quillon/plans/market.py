@@ -88,12 +88,12 @@ def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"SELECT {BAR}, {r('ema_5', 'ema_20', 'ema_50', 'ema_100', 'ema_200')} FROM h_ind"))
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))), *rounded("ema_5", "ema_20", "ema_50", "ema_100", "ema_200"))
+    return bar(ind.recursions(tables.bars_1h(spark, sf_dir)), *rounded("ema_5", "ema_20", "ema_50", "ema_100", "ema_200"))
 
 
 @query(sql(f"SELECT {BAR}, {r('rsi')} FROM h_ind"))
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))), *rounded("rsi"))
+    return bar(ind.recursions(tables.bars_1h(spark, sf_dir)), *rounded("rsi"))
 
 
 @query(sql(f"SELECT {BAR}, {r('atr', 'atr_pct')} FROM h_ind"))
@@ -112,18 +112,18 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.structure(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))))
+    return st.structure(ind.recursions(tables.bars_1h(spark, sf_dir)))
 
 
 @query(sql(f"""SELECT symbol, "index"::BIGINT AS "index", confirmed_index::BIGINT AS confirmed_index, {T}, kind, round(price, 6) AS price, label FROM h_swings"""))
 def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = st.swings(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))))
+    s = st.swings(ind.recursions(tables.bars_1h(spark, sf_dir)))
     return s.select("symbol", F.col("index").cast("long"), F.col("confirmed_index").cast("long"), stamp(F.col("ts")).alias("ts"), "kind", *rounded("price"), "label")
 
 
 @query(sql("SELECT symbol, kind, label, count(*)::BIGINT AS swings FROM h_swings GROUP BY ALL"))
 def swing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.swings(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir)))).groupBy("symbol", "kind", "label").agg(F.count(F.lit(1)).alias("swings"))
+    return st.swings(ind.recursions(tables.bars_1h(spark, sf_dir))).groupBy("symbol", "kind", "label").agg(F.count(F.lit(1)).alias("swings"))
 
 
 @query(sql(f"SELECT {BAR}, trend, bias, {r('active_high', 'active_low')} FROM h_st"))
@@ -173,14 +173,28 @@ def htf_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bars = tables.bars_1h(spark, sf_dir)
     h = F.col("htf")
-    return bar(closed_period(bars, higher_timeframe(bars, "1h")), h.bars_available.cast("long").alias("bars_available"), stamp(h.as_of).alias("as_of"), h.trend.alias("trend"), h.bias.alias("bias"), h.close.alias("close"), h.last_event.type.alias("last_event"))
+    return bar(closed_period(bars, higher_timeframe(bars)), h.bars_available.cast("long").alias("bars_available"), stamp(h.as_of).alias("as_of"), h.trend.alias("trend"), h.bias.alias("bias"), h.close.alias("close"), h.last_event.type.alias("last_event"))
+
+
+@query(sql(f"""SELECT a.symbol, a.interval, a.pos::BIGINT AS pos, CASE WHEN x.pos IS NOT NULL THEN a.rule END AS rule, (x.pos + 1)::BIGINT AS bars_available, strftime(x.ts, '%Y-%m-%d %H:%M:%S') AS as_of,
+        x.trend, x.bias, round(x.close, 4) AS close, x.last_type AS last_event
+    FROM (SELECT *, '1h' AS "interval", '1D' AS rule FROM htf_at UNION ALL SELECT *, '1d', '1W' FROM week_at UNION ALL SELECT symbol, pos, NULL, '1mo', NULL FROM month) a
+    LEFT JOIN (SELECT symbol, '1D' AS rule, pos, ts, trend, bias, close, last_type FROM dd_st UNION ALL SELECT symbol, '1W', pos, ts, trend, bias, close, last_type FROM ww_st) x
+    ON x.symbol = a.symbol AND x.rule = a.rule AND x.pos = a.hpos"""))
+def htf_every_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed higher period of each bar in a table of series of several intervals."""
+    from ..operators.resample import closed_period, higher_timeframe
+
+    bars, h = tables.every_interval(spark, sf_dir), F.col("htf")
+    rows = closed_period(bars, higher_timeframe(bars)).withColumn("rule", h.interval)
+    return bar(rows, "interval", "rule", h.bars_available.cast("long").alias("bars_available"), stamp(h.as_of).alias("as_of"), h.trend.alias("trend"), h.bias.alias("bias"), h.close.alias("close"), h.last_event.type.alias("last_event"))
 
 
 @query(sql(f"SELECT {BAR}, id::BIGINT AS id, side, touches::BIGINT AS touches, i0::BIGINT AS first_index, i1::BIGINT AS last_index, {r('price')}, round((price - close) / atr, 6) AS distance_atr FROM lv"))
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.levels import series_levels
 
-    bars = st.swing_columns(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))))
+    bars = st.swing_columns(ind.recursions(tables.bars_1h(spark, sf_dir)))
     df = bar(series_levels(bars), F.posexplode_outer("levels").alias("id", "v")).filter(F.col("v").isNotNull())
     long = lambda c: F.col(f"v.{c}").cast("long").alias(c)
     return df.select("symbol", "pos", F.col("id").cast("long").alias("id"), "v.side", long("touches"), long("first_index"), long("last_index"), F.round("v.price", 6).alias("price"), F.round("v.distance_atr", 6).alias("distance_atr"))
@@ -214,7 +228,7 @@ def candle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import levels as lv
 
-    bars = st.swing_columns(ind.recursions(ind.true_range(tables.bars_1h(spark, sf_dir))))
+    bars = st.swing_columns(ind.recursions(tables.bars_1h(spark, sf_dir)))
     df = bar(lv.recent_swings(bars), F.expr("slice(known, greatest(size(known) - 7, 1), 8)").alias("s")).filter(F.size("s") > 0)
     keyed = F.sort_array(F.transform("s", lambda x: F.struct(x["index"].alias("i"), x.kind.alias("k"), x.label.alias("l"))))
     return df.select("symbol", "pos", F.array_join(F.transform(keyed, lambda x: F.concat(x.k, F.lit(":"), x.l, F.lit("@"), x.i.cast("string"))), ",").alias("swings"))
@@ -235,7 +249,7 @@ def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import context_json, contexts, strided
 
     bars = tables.bars_1h(spark, sf_dir)
-    return bar(context_json(contexts(bars, "1h", strided(bars, 20))), "context")
+    return bar(context_json(contexts(bars, strided(bars, 20))), "context")
 
 
 BLOCKS |= {
@@ -278,7 +292,7 @@ def context_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import contexts, strided
 
     bars, c = tables.bars_1h(spark, sf_dir), F.col("context")
-    made = contexts(bars, "1h", strided(bars, 20)).select("symbol", c.params_fingerprint.alias("params_fingerprint"), c.schema_version.alias("schema_version"))
+    made = contexts(bars, strided(bars, 20)).select("symbol", c.params_fingerprint.alias("params_fingerprint"), c.schema_version.alias("schema_version"))
     return made.groupBy("symbol", "params_fingerprint", "schema_version").agg(F.count(F.lit(1)).alias("documents"))
 
 

@@ -143,5 +143,13 @@ BLOCKS |= {
             {'c': 'a bearish CHoCH occurred recently', 'ok': fresh AND last_type = 'CHOCH_BEARISH'}, {'c': 'close holds below the broken level', 'ok': close < last_level}, {'c': 'RSI has rolled below 55', 'ok': rsi < 55}] FROM facts WHERE atr IS NOT NULL)""",
     "verdicts": """SELECT symbol, pos, k, rule, direction, trig, inval, count(*) AS total, count(*) FILTER (WHERE coalesce(t.ok, false)) AS met,
         string_agg(t.c, '; ' ORDER BY i) FILTER (WHERE NOT coalesce(t.ok, false)) AS missing FROM tests GROUP BY ALL""",
-    "htf_at": """SELECT b.symbol, b.pos, max(x.pos) AS hpos FROM bars_1h b LEFT JOIN day x ON x.symbol = b.symbol AND x.period_end <= b.ts GROUP BY b.symbol, b.pos""",
+    "htf_at": """SELECT b.symbol, b.pos, max(x.pos) AS hpos FROM bars_1h b LEFT JOIN (SELECT * FROM day QUALIFY count(*) OVER (PARTITION BY symbol) > 7) x ON x.symbol = b.symbol AND x.period_end <= b.ts GROUP BY b.symbol, b.pos""",
 }
+
+# Series of several intervals: hourly and daily candles of a symbol, daily ones of orders, and monthly ones, which have no higher timeframe.
+BLOCKS |= {
+    "every_1d": """SELECT symbol, pos, ts, open, high, low, close, volume FROM bars_1d UNION ALL SELECT symbol, pos, ts, open, high, low, close, volume FROM day""",
+    "every_1w": """SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY b) - 1 AS pos, b AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close,
+        sum(volume) AS volume, b + INTERVAL 7 DAY AS period_end FROM (SELECT *, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-04') AS b FROM every_1d) GROUP BY symbol, b""",
+    "week_at": """SELECT b.symbol, b.pos, max(x.pos) AS hpos FROM every_1d b LEFT JOIN (SELECT * FROM every_1w QUALIFY count(*) OVER (PARTITION BY symbol) > 7) x ON x.symbol = b.symbol AND x.period_end <= b.ts GROUP BY b.symbol, b.pos""",
+} | engine_blocks("ww", "every_1w", 52)

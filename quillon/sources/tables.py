@@ -12,11 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    """Adds pos: the 0-based position of a bar in its series, by time."""
+def numbered(bars: DataFrame, order: str = "ts") -> DataFrame:
+    """Adds pos: the 0-based position of a bar in its series, by time or another order."""
     from pyspark.sql.window import Window
 
-    return bars.withColumn("pos", F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")) - 1)
+    return bars.withColumn("pos", F.row_number().over(Window.partitionBy(*SERIES).orderBy(order)) - 1)
 
 
 def _candles(rows: DataFrame, interval: str) -> DataFrame:
@@ -43,6 +43,15 @@ def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candles(o.select(F.col("o_orderpriority").alias("symbol"), F.date_trunc("day", "o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("price"), F.struct("o_orderdate", "o_orderkey").alias("at")), "1d")
 
 
+def every_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly and daily candles of the same events, and daily and monthly ones of the same orders, as one table of series."""
+    from ..operators.resample import resample
+
+    hourly, daily = bars_1h(spark, sf_dir), bars_1d(spark, sf_dir)
+    again = lambda bars, rule, interval: resample(bars, rule).withColumn("interval", F.lit(interval)).select(*hourly.columns)
+    return hourly.unionByName(again(hourly, "1D", "1d")).unionByName(daily).unionByName(again(daily, "1ME", "1mo"))
+
+
 def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly candles with defects at fixed positions, so that every check has something to find."""
     b = bars_1h(spark, sf_dir)

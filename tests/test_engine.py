@@ -206,13 +206,82 @@ def test_truncation_invariance(spark):
     for _ in range(259):
         closes.append(closes[-1] * math.exp(rng.gauss(0, 0.02)))
     rows = from_closes(closes)
-    whole = {r["pos"]: r["context"] for r in context_json(contexts(frame(spark, rows), "1d", params=FAST)).collect()}
+    whole = {r["pos"]: r["context"] for r in context_json(contexts(frame(spark, rows), params=FAST)).collect()}
     for n in (91, 143, 247):
-        part = {r["pos"]: r["context"] for r in context_json(contexts(frame(spark, rows[:n]), "1d", params=FAST)).collect()}
+        part = {r["pos"]: r["context"] for r in context_json(contexts(frame(spark, rows[:n]), params=FAST)).collect()}
         assert part[n - 1] == whole[n - 1] and part[n // 2] == whole[n // 2]
     assert "NaN" not in whole[259] and '"higher_timeframe"' in whole[259]
 
 
+def folded(x, n, alpha):
+    """The recursion one bar at a time."""
+    out, state, run = [], None, []
+    for v in x:
+        if state is None:
+            run = [*run, v] if math.isfinite(v) else []
+            state = sum(run[-n:]) / n if len(run) >= n else None
+        else:
+            state = alpha * v + (1 - alpha) * state if math.isfinite(v) else math.nan
+        out.append(math.nan if state is None else state)
+    return np.array(out)
+
+
+#: Bars of a series and those whose close is missing: seeds and gaps before, at and after the borders of blocks of 64 bars.
+GAPS = {"none": (640, ()), "late seed": (500, (3, 60, 61, 62, 63, 64)), "never": (400, tuple(range(2, 400, 9))), "one block": (64, ()), "broken at border": (300, (64,)), "broken later": (300, (200,)), "one bar": (1, ()), "two blocks": (128, ()), "first of a block missing": (200, tuple(range(0, 129)))}
+
+
+def test_recursions_in_blocks(spark):
+    """A series in blocks gives what a fold over the whole series gives."""
+    params = EngineParams(ema_periods=(5, 10, 20, 50), rsi_period=5, atr_period=5)
+    rng, rows, closes = random.Random(1), [], {}
+    for name, (n, gaps) in GAPS.items():
+        price, closes[name] = 100.0, []
+        for i in range(n):
+            price *= math.exp(rng.gauss(0, 0.01))
+            close = math.nan if i in gaps else price
+            closes[name].append((price * 1.01, price * 0.99, close))
+            rows.append((name, "1h", i, dt.datetime(2024, 1, 1), price, price * 1.01, price * 0.99, None if i in gaps else price, 1.0))
+    rng.shuffle(rows)
+    got = ind.recursions(spark.createDataFrame(rows, SCHEMA), params, block_bars=64).toPandas().sort_values("pos")
+    assert len(got) == len(rows)
+    for name, known in closes.items():
+        own, (high, low, close) = got[got["symbol"] == name], np.array(known).T
+        before = np.concatenate(([np.nan], close[:-1]))
+        spread = np.fmax(high - low, np.fmax(abs(high - before), abs(low - before)))
+        move = close - before
+        gain, loss = (folded(np.where(np.isnan(move), np.nan, np.maximum(sign * move, 0)), 5, 1 / 5) for sign in (1, -1))
+        expected = {"true_range": spread, "atr": folded(spread, 5, 1 / 5), "rsi": ind.strength(gain, loss), **{f"ema_{n}": folded(close, n, 2 / (n + 1)) for n in params.ema_periods}}
+        for column, values in expected.items():
+            np.testing.assert_allclose(own[column].astype(float), values, rtol=1e-9, err_msg=f"{name} {column}")
+
+
+def test_intervals_of_a_symbol_stay_apart(spark):
+    """Hourly, daily, monthly and minute series of one symbol give what each gives alone."""
+    start, rows = dt.datetime(2024, 1, 1), []
+    for interval, n, step in (("1h", 24 * 20, dt.timedelta(hours=1)), ("1d", 120, dt.timedelta(days=1)), ("1mo", 30, dt.timedelta(days=30)), ("1m", 90, dt.timedelta(minutes=1)), ("30m", 48 * 3, dt.timedelta(minutes=30))):
+        closes = [100 + 10 * math.sin(i / 5) + i / 50 for i in range(n)]
+        rows += [("A", interval, i, start + i * step, c, c + 1, c - 1, c, 10.0) for i, c in enumerate(closes)]
+    told = lambda own: {(r["interval"], r["pos"]): r["htf"] for r in rs.closed_period(frame(spark, own), rs.higher_timeframe(frame(spark, own), FAST), FAST).collect()}
+    together = told(rows)
+    assert len(together) == len(rows)
+    for interval in ("1h", "1d", "1mo", "1m", "30m"):
+        alone = told([r for r in rows if r[1] == interval])
+        assert alone == {k: v for k, v in together.items() if k[0] == interval}
+    last = {i: max((k for k in together if k[0] == i), key=lambda k: k[1]) for i in ("1h", "1d", "1mo", "1m", "30m")}
+    assert together[last["1h"]]["interval"] == "1D" and together[last["1d"]]["interval"] == "1W"
+    assert all(together[last[i]] is None for i in ("1mo", "1m", "30m"))  # no rule, no rule, three days: fewer than two sides of a swing and one
+    day = rs.resample(frame(spark, rows), "1D").filter("interval = '1h' AND pos = 3").first()
+    assert day["volume"] == 240.0 and day["rule"] == "1D"
+
+
+def test_few_periods_give_no_higher_timeframe(spark):
+    hours = lambda n: [("A", "1h", i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1.0 + i % 7, 2.0 + i % 7, 0.5, 1.0 + i % 7, 1.0) for i in range(n)]
+    assert rs.higher_timeframe(frame(spark, hours(24 * 5)), FAST).count() == 0
+    assert rs.higher_timeframe(frame(spark, hours(24 * 5 + 1)), FAST).count() == 6
+    priceless = [(*r[:4], None, *r[5:]) if 24 <= i < 48 else r for i, r in enumerate(hours(24 * 7))]
+    assert rs.higher_timeframe(frame(spark, priceless), FAST).count() == 6  # the day without an open is no candle
+
+
 def test_no_look_ahead_in_the_source():
     for path in (Path(ind.__file__).parent).glob("*.py"):
         text = path.read_text()
@@ -235,7 +304,7 @@ def test_setups_fire_and_miss(spark):
     points = [100.0]
     for _ in range(8):
         points += [points[-1] * 1.05, points[-1] * 1.05 * 0.985]
-    bars = described(frame(spark, from_closes(zigzag(points, 4))), "1d", FAST)
+    bars = described(frame(spark, from_closes(zigzag(points, 4))), FAST)
     names = {s["name"] for r in bars.select("setups").collect() for s in r["setups"]}
     assert "TREND_CONTINUATION_LONG" in names
     early = bars.filter("atr IS NULL").select("setups", "near_miss_setups").collect()
@@ -313,7 +382,7 @@ def test_unclosed_tail_only(spark):
 def test_empty_series(spark):
     nothing = frame(spark, [])
     assert validate.all_issues(nothing).count() == 0
-    assert contexts(nothing, "1d", params=FAST).count() == 0
+    assert contexts(nothing, params=FAST).count() == 0
 
 
 # --------------------------------------------------------------- sampling

@@ -207,6 +207,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "PASS" in capsys.readouterr().out
     assert cli.main(["context", str(tmp_path / "raw"), "--bar", "70"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["bar_index"] == 70
+    assert cli.main(["context", str(tmp_path / "raw"), "--bar", "-1"]) == 0
     assert cli.main(["schema"]) == 0
     assert "ohlcv_window" in capsys.readouterr().out
     rows[3][5] = rows[3][6] - 1
@@ -222,7 +223,7 @@ def test_corpus_commands(spark, tmp_path, capsys, monkeypatch):
     from tests.test_engine import FAST, frame
 
     monkeypatch.setattr(cli, "session", lambda: spark)
-    seen = contexts(frame(spark, clean_daily(100)), "1d", params=FAST).filter("pos >= 60")
+    seen = contexts(frame(spark, clean_daily(100)), params=FAST).filter("pos >= 60")
     rows = seen.select(F.concat("symbol", F.lit("#"), "pos").alias("example_id"), "symbol", "interval", "pos", "context")
     x = F.col("context")
     evidence = lambda f, v: F.struct(F.lit("as shown").alias("statement"), F.lit(f).alias("context_field"), v.cast("string").alias("value"))
@@ -268,7 +269,7 @@ def test_views_of_full_windows(spark):
     cite = F.concat(F.lit("ohlcv_window[-"), F.get(F.array(*map(F.lit, back)), F.col("pos") % len(back)).cast("string"), F.lit("].c"))
     none = F.array().cast("array<struct<context_field:string>>")
     analysis = F.struct(F.array(F.struct(cite.alias("context_field"))).alias("supporting_evidence"), none.alias("conflicting_evidence"), none.alias("important_levels"))
-    rows = contexts(bars, "1d").withColumn("analysis", analysis).persist()
+    rows = contexts(bars).withColumn("analysis", analysis).persist()
     for name, kept in (("full", 60), ("tail", 20), ("compact", 0)):
         got = {r["pos"] for r in views.view(rows, name).select("pos").collect()}
         assert got == {p for p in range(90) if back[p % len(back)] <= min(p + 1, kept)}, name
@@ -346,6 +347,27 @@ def test_contexts_of_chosen_bars_are_those_of_all(spark):
 
     bars = spark.createDataFrame(clean_daily(90), "symbol string, interval string, pos int, ts timestamp, open double, high double, low double, close double, volume double")
     chosen = bars.filter("pos % 13 = 5").select("symbol", "interval", "pos")
-    every = {r["pos"]: r["context"] for r in context_json(contexts(bars, "1d", params=FAST)).collect()}
-    got = {r["pos"]: r["context"] for r in context_json(contexts(bars, "1d", chosen, FAST)).collect()}
+    every = {r["pos"]: r["context"] for r in context_json(contexts(bars, params=FAST)).collect()}
+    got = {r["pos"]: r["context"] for r in context_json(contexts(bars, chosen, FAST)).collect()}
     assert got == {p: c for p, c in every.items() if p % 13 == 5} and len(got) == 7
+
+
+def test_context_command_on_a_mixed_folder(spark, tmp_path, capsys):
+    """Daily and hourly files of a symbol beside each other: each context has its own higher timeframe; -1 is each file's last bar."""
+    import json
+
+    from quillon import cli
+
+    header, start = "Datetime,Open,High,Low,Close,Volume\n", dt.datetime(2024, 1, 1)
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for interval, n, step in (("1h", 24 * 12, dt.timedelta(hours=1)), ("1d", 100, dt.timedelta(days=1)), ("1mo", 20, dt.timedelta(days=31))):
+        lines = [f"{(start + i * step).isoformat()}+00:00,{c},{c + 1},{c - 1},{c},10" for i in range(n) for c in [100 + i % 11]]
+        (raw / f"AAA_{interval}.csv").write_text(header + "\n".join(lines) + "\n")
+    told = lambda *more: [json.loads(x) for x in (cli.main(["context", str(raw), "--allow-failed", *more]), capsys.readouterr().out)[1].splitlines()]
+    last = {c["interval"]: c for c in told("--bar", "-1")}
+    assert {i: c["bar_index"] for i, c in last.items()} == {"1h": 287, "1d": 99, "1mo": 19}
+    assert {i: (c.get("higher_timeframe") or {}).get("interval") for i, c in last.items()} == {"1h": "1D", "1d": "1W", "1mo": None}
+    (tmp_path / "fast.yaml").write_text("ema_periods: [5, 20, 50]\n")
+    sampled = told("--count", "3", "--config", str(tmp_path / "fast.yaml"))
+    assert [c["bar_index"] for c in sampled if c["interval"] == "1d"] == [50, 66, 82]  # from the longest average on
