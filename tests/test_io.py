@@ -129,9 +129,20 @@ def test_extract_object(spark, raw, expected):
 TREE = {"a": {"b": [{"id": "S0", "v": 1.5}, {"t": "2024", "v": 2}]}, "ema": {"20": 3.0}, "x": {"only": None}}
 
 
-@pytest.mark.parametrize(("path", "expected"), [("a.b[0].v", (True, 1.5)), ("a.b[-1].v", (True, 2)), ("a.b[s0].v", (True, 1.5)), ("a.b.2024.v", (True, 2)), ("a.b[5].v", (False, None)), ("x.only", (True, None)), ("nope", (False, None))])
+@pytest.mark.parametrize(("path", "expected"), [("a.b[0].v", [1.5]), ("a.b[-1].v", [2]), ("a.b[s0].v", [1.5]), ("a.b.2024.v", [2]), ("a.b[5].v", []), ("x.only", [None]), ("nope", []), ("a.b[0].v.w", []), (" a . b [ 0 ] . v ", [1.5])])
 def test_paths(path, expected):
-    assert grounding.walk(TREE, path) == expected
+    assert grounding.Document(TREE).at(path) == expected
+
+
+def test_paths_completed():
+    tree = TREE | {"deep": {"ema": {"20": 4.0, "50": 1.0}, "b": [[{"v": 9}]]}}
+    document = grounding.Document(tree)
+    assert document.completed("ema.50") == "deep.ema.50" and document.completed("b[1].v") == "a.b[1].v" and document.completed("[0].v") is None
+    assert document.completed("20") is None  # two fields end so
+    assert document.cited("ema.50") == {"found": True, "kind": "number", "text": "1.0", "number": 1.0, "concession": "deep.ema.50"}
+    assert document.cited("b[0]") == {"found": False, "kind": None, "text": None, "number": None, "concession": None}  # a.b[0] and deep.b[0]
+    assert document.cited("only")["found"] and document.cited("a.b")["kind"] == "filled" and not document.cited("")["found"] and not document.cited(None)["found"]
+    assert document.numbers == {1.5, 2.0, 3.0, 4.0, 1.0, 9.0} and document.periods == {"20", "50"}
 
 
 def test_prose_numbers(spark):
