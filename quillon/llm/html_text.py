@@ -3,10 +3,13 @@
 Markup is stripped into lines, one for each block element, in page order; elements that never are
 main text (menus, forms, scripts, adverts, comments and the like, by tag, role, class or id) leave
 blank lines. A line's weight is the length of its text; menu lines, nearly all links, weigh nothing.
-Where the page names its article or main element, each line inside weighs INSIDE more and each line
-outside OUTSIDE less. Weights are summed over a sliding window of lines: the text surges where the sum
-passes a threshold and dives where it falls to nothing, and every stretch between is kept, but for
-lines without weight. Where nothing surges, the threshold is half of the largest sum.
+Weights are summed over a sliding window of lines. Where a whole window weighs nothing the text dives,
+which cuts the page into stretches; a stretch is kept where its sums surge to half of the page's largest
+sum, or to SURGE where that is less, and its lines of any weight are the text. So a short line beside
+others stays, and a few short lines by themselves, as pages have at their edges, go.
+
+An article or main element only tells where text weighs: if it holds most of a page's text, what is
+outside weighs nothing, and links inside weigh what they say. Surges and dives decide there as well.
 
 Names (classes, ids, roles) are judged on boxes, not on headings, list items or what is inside
 running text; inside an article only whole names count, and ids only where they tell of comments.
@@ -42,6 +45,7 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end never reaches beyond.
 WALLS = frozenset("ul ol dl table tbody thead tfoot div article section main aside nav header footer body html form".split())
+OPTIONAL_END = frozenset(("p", *CLOSES))
 #: Elements that names may mark: boxes; paragraphs outside an article; spans and links outside running text.
 BOXES_TAGS = frozenset("div section article aside header footer nav ul ol dl table form figure details center fieldset blockquote span a ins".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th figcaption caption summary blockquote pre".split())
@@ -61,15 +65,15 @@ WRAPPERS, LAYOUT = frozenset("content article main".split()), frozenset("sidebar
 SECTION_IDS, READERS = frozenset("discussion notice notices related side".split()), frozenset("comment comments disqus thread respond replies".split())
 #: Words that say what kind of box a name is of.
 BOXES = frozenset("box slot unit wrap wrapper container block area list section link links button buttons bar item items".split())
+#: Words that say where a box is, or whose it is.
+PLACES = frozenset("top bottom left right inline middle mid upper lower first last inner outer in article post posts story page content main user users reader readers mobile desktop".split())
 #: Names mark too much if they silence this many times the text that is left, and nothing that is left surges.
 TOO_MUCH = 10
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Lines of a window, weight that makes a surge, and share of link text above which a line is a menu's.
 WINDOW, SURGE, LINK_SHARE = 3, 80, 0.6
-#: What a line inside the named article weighs more, and one outside it less, in characters.
-INSIDE, OUTSIDE = 80, 400
-#: Open elements that are told apart; deeper ones are part of the last of these.
-DEPTH = 256
+#: Share of a page's text above which its named article is where the text weighs.
+MOST = 0.5
 
 #: A tag ends at > outside of quoted values, or before the next <. Quotes count where a value begins. Nothing is tried twice.
 _TOKEN = re.compile(
@@ -95,7 +99,8 @@ def _marked(tag: str, key: str, name: str, in_article: bool) -> bool:
     marks = BOILERPLATE.intersection(words)
     if in_article:
         # A part of a name tells nothing inside an article, and an id may be made from a heading's text.
-        return bool(marks) and (marks | BOXES >= set(words) if key != "id" else READERS | BOXES >= set(words))
+        known = (marks if key != "id" else READERS & marks) | BOXES | PLACES
+        return not marks.isdisjoint(known) and known >= set(words)
     if words[0] in WRAPPERS and marks <= LAYOUT or key == "id" and tag == "section" and (len(words) > 1 or words[0] in SECTION_IDS):
         marks = frozenset()
     return bool(marks) or not HEADER.isdisjoint(words) and ABOUT_ARTICLE.isdisjoint(words)
@@ -120,9 +125,12 @@ def page_lines(html: str, by_name: bool = True, forms: bool = False) -> tuple[li
     """
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    #: Open elements: tag, and what was in force outside it; how many of each tag there are.
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    opened: dict[str, int] = defaultdict(int)
+    #: Open elements: tag, and what was in force outside it; where each tag's open ones are.
+    stack: list[tuple] = []
+    opened: dict[str, list[int]] = defaultdict(list)
+    #: Elements with an optional end that are open since the last wall; the innermost block.
+    near: dict[str, int] = {}
+    block = -1
     silent = article = link = running = named = False
     links = 0
 
@@ -135,10 +143,10 @@ def page_lines(html: str, by_name: bool = True, forms: bool = False) -> tuple[li
         links = 0
 
     def close(depth: int) -> None:
-        nonlocal silent, article, link, running
-        _, silent, article, link, running = stack[depth]
+        nonlocal silent, article, link, running, near, block
+        _, silent, article, link, running, near, block = stack[depth]
         for tag, *_ in stack[depth:]:
-            opened[tag] -= 1
+            opened[tag].pop()
         del stack[depth:]
 
     at, n = 0, len(html)
@@ -168,41 +176,33 @@ def page_lines(html: str, by_name: bool = True, forms: bool = False) -> tuple[li
         if tag in BLOCK:
             end_line()
         if m["end"]:
-            if opened[tag] > 0:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                    if tag not in BLOCK and stack[depth][0] in BLOCK:
-                        break  # a stray end of an inline element
+            # An inline element's end doesn't reach out of the block that it stands in.
+            if opened[tag] and (tag in BLOCK or opened[tag][-1] > block):
+                close(opened[tag][-1])
             continue
         if tag == "br":
             text.append("\n")
         if tag in VOID:
             continue
-        if tag in BLOCK and opened["p"] > 0:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    close(depth)  # a block ends an open paragraph
-                    break
-                if stack[depth][0] in WALLS:
-                    break
-        if tag in CLOSES and any(opened[t] > 0 for t in CLOSES[tag]):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in CLOSES[tag]:
-                    close(depth)
-                    break
-                if stack[depth][0] in WALLS:
-                    break
+        if tag in BLOCK and "p" in near:
+            close(near["p"])  # a block ends an open paragraph
+        if tag in CLOSES and (ended := [near[t] for t in CLOSES[tag] if t in near]):
+            close(max(ended))
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else n
             continue
         attributes = m["marks"]
-        if attributes.endswith("/") and tag not in BLOCK or len(stack) >= DEPTH:
+        if attributes.endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, silent, article, link, running))
-        opened[tag] += 1
+        stack.append((tag, silent, article, link, running, near, block))
+        opened[tag].append(len(stack) - 1)
+        if tag in WALLS:
+            near = {}
+        elif tag in OPTIONAL_END:
+            near = near | {tag: len(stack) - 1}
+        if tag in BLOCK:
+            block = len(stack) - 1
         around = tag in AROUND and not (forms and tag == "form") or tag == "header" and not article
         if tag in SILENT or around or attributes and not attributes.isspace() and tag not in ("html", "body", "main") and by_name and _unwanted(tag, attributes, article, running):
             silent = True
@@ -217,24 +217,22 @@ def page_lines(html: str, by_name: bool = True, forms: bool = False) -> tuple[li
 
 
 def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """[first, end) of each stretch of lines from a surge to the dive after it."""
+    """[first, end) of each stretch of lines between dives that has a surge."""
     n = len(weights)
-    block, total = [0] * n, 0
-    for j in range(n - 1, -1, -1):
-        total += weights[j] - (weights[j + window] if j + window < n else 0)
-        block[j] = total
-    least = surge if max(block, default=0) >= surge else max(block, default=0) / 2
+    sums, total = [], 0
+    for j in range(n):
+        total += weights[j] - (weights[j - window] if j >= window else 0)
+        sums.append(total)
+    least = min(surge, max(sums, default=0) / 2)
     kept: list[tuple[int, int]] = []
-    i = 0
-    while i < n:
-        if weights[i] and block[i] >= least:
-            end = i
-            while end < n and block[end]:
-                end += 1
-            kept.append((i, end))
-            i = end
+    start, most = None, 0
+    for j in range(n + 1):
+        if j == n or not sums[j]:
+            if start is not None and most >= least:
+                kept.append((start, j))
+            start, most = None, 0
         else:
-            i += 1
+            start, most = (j if start is None else start), max(most, sums[j])
     return kept
 
 
@@ -249,14 +247,13 @@ def main_text(html: str | None) -> str:
             if sum(len(t) for t, _, _ in plain[0]) - left > (max(TOO_MUCH * left, SURGE) if left else 0):
                 lines, named = plain
                 break
-    named = named and any(t and a for t, _, a in lines)
+    inside = sum(len(t) for t, _, a in lines if a)
+    within = named and inside > MOST * sum(len(t) for t, _, _ in lines)
 
-    def weight(t: str, linked: int, inside: bool) -> int:
-        if not t:
-            return 0
-        if named and inside:
-            return len(t) + INSIDE
-        return 0 if linked > LINK_SHARE * len(t) else max(0, len(t) - OUTSIDE * named)
+    def weight(t: str, linked: int, a: bool) -> int:
+        if within:
+            return len(t) if a else 0
+        return 0 if linked > LINK_SHARE * len(t) else len(t)
 
     weights = [weight(*line) for line in lines]
     return "\n".join(lines[j][0] for a, b in stretches(weights) for j in range(a, b) if weights[j])

@@ -136,14 +136,55 @@ def test_no_name_drops_a_heading_or_paragraph_of_an_article(name, tag):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([0, 0, 1, 5, 30, 79, 80, 200]), max_size=30))
 def test_stretches_against_plain_windows(weights):
-    block = [sum(weights[i : i + 3]) for i in range(len(weights))]
-    least = min(80, max(block, default=0) / 2) if max(block, default=0) < 80 else 80
-    kept, inside = set(), False
-    for i, w in enumerate(weights):
-        inside = (inside and block[i] > 0) or (w > 0 and block[i] >= least)
-        if inside:
-            kept.add(i)
-    assert {j for a, b in html_text.stretches(weights) for j in range(a, b)} == kept
+    assert {j for a, b in html_text.stretches(weights) for j in range(a, b) if weights[j]} == {j for j in plain_stretches(weights) if weights[j]}
+
+
+def plain_stretches(weights: list[int], window: int = 3, surge: int = 80) -> set[int]:
+    """Every line between two dives, where some window between them surges; all windows summed anew."""
+    windows = [sum(weights[max(0, i - window + 1) : i + 1]) for i in range(len(weights))]
+    least = min(surge, max(windows, default=0) / 2)
+    runs = ["".join(g) for _, g in itertools.groupby("x" if w else "-" for w in windows)]
+    kept, at = set(), 0
+    for run in runs:
+        if run[0] == "x" and max(windows[at : at + len(run)]) >= least:
+            kept |= set(range(at, at + len(run)))
+        at += len(run)
+    return kept
+
+
+LINKS = "<ul>" + "".join(f"<li><a href={i}>Link number {i}</a>" for i in range(4)) + "</ul>"
+
+
+def test_surges_and_dives_decide():
+    """Short lines by themselves go and short lines of the text stay; no tag or name tells them apart."""
+    page = f"<body><div>Welcome here</div>{LINKS}<div><p>Start.</p><p>{BODY}</p><p>Of.</p><p>To.</p><p>So.</p><p>Ends.</p></div>{LINKS}<div>Contact us</div></body>"
+    assert html_text.main_text(page) == f"Start.\n{BODY.strip()}\nOf.\nTo.\nSo.\nEnds."
+    named = page.replace("<div><p>Start.", "<article><p>Start.").replace("Ends.</p></div>", "Ends.</p></article>")
+    assert html_text.main_text(named) == html_text.main_text(page)
+    split = f"<article><p>{BODY * 3}</p></article>{LINKS}<p>Elsewhere. {BODY}</p>{LINKS}<article><p>Teaser</p></article>"
+    assert html_text.main_text(split) == (BODY * 3).strip()  # the second article has no surge of its own
+
+
+@pytest.mark.parametrize("name", ['class="ad-slot-top"', 'class="article-ad"', 'class="related-posts"', 'class="user-comments"', 'id="reader-comments"', 'class="comment-list"'])
+def test_boxes_inside_an_article(name):
+    assert html_text.main_text(f"<article><p>{BODY}</p><div {name}>Not of the text. {BODY}</div><p>End.</p></article>") == BODY.strip() + "\nEnd."
+
+
+def test_elements_below_many_others():
+    page = "<div>" * 3000 + f"<nav>menu menu</nav><p>{BODY}</p><aside>advert text {BODY}</aside>"
+    assert html_text.main_text(page) == BODY.strip()
+
+
+def test_pages_without_article_tags():
+    """With its article element called div, a page gives the same text, by surges and dives alone and by a plain version of them."""
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table(f"{TESTDATA}/sf0.01/pages.parquet").to_pylist():
+        page = re.sub(r"(</?)(article|main)\b", r"\1div", r["html"])
+        lines, named = html_text.page_lines(page)
+        weights = [0 if linked > html_text.LINK_SHARE * len(t) else len(t) for t, linked, _ in lines]
+        plain = "\n".join(lines[j][0] for j in sorted(plain_stretches(weights)) if weights[j])
+        assert not named and html_text.main_text(page) == plain == html_text.main_text(r["html"])
 
 
 def test_pages_edges(spark, fixture_dir):
