@@ -25,6 +25,8 @@ from .common import written
 ROW_OVERHEAD = 16
 #: Sub-ranges of a shard that are numbered side by side; the table of their counts has shards x this rows.
 SLOT_BUCKETS = 256
+#: Parts that equal rows are numbered in, and rows from which a bucket of four times the mean is numbered so.
+SALTS, LARGE_BUCKET = 64, 50_000
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, text: str = "text", doc
     Texts are read once and never shuffled. Slots are gapless without a sort of a whole shard: a
     shard's rows fall into SLOT_BUCKETS hash ranges, each is numbered by itself, and the counts of
     the ranges before it (n_shards x SLOT_BUCKETS rows, so a broadcast has a fixed bound) are added.
+    The hash is of all that a row shows, so ids that repeat or are null spread over the ranges; rows
+    that are the same in everything fill a range of their own and are numbered in SALTS parts.
     """
     now, then = tree(n_shards), grown(tree(n_shards))
     content = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
@@ -103,20 +107,41 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, text: str = "text", doc
         (F.length(content) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(content).cast("long").alias("text_crc32"),
         key.alias("__key"),
-        F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), key)), 1, 2), 16, 10).cast("int").alias("bucket"),
     )
+    shown = F.md5(F.concat_ws(":", F.lit("slot"), "__key", F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    rows = rows.withColumn("bucket", F.conv(F.substring(shown, 1, 2), 16, 10).cast("int")).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     rows = place(place(rows, F.col("__key"), now, "shard"), F.col("__key"), then, "grown_shard").drop("__key")
     rows = written(rows, "shards")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    counts = written(rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("count")), "slot-counts")
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("n", F.row_number().over(within))
-        .join(F.broadcast(starts), ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard")
+    numbered = rows.withColumn("n", F.row_number().over(within))
+    mean = counts.agg(F.avg("count")).first()[0] or 0
+    full = F.broadcast(counts.filter(F.col("count") > max(LARGE_BUCKET, 4 * mean)).select("shard", "bucket"))
+    if full.limit(1).count():
+        numbered = rows.join(full, ["shard", "bucket"], "left_anti").withColumn("n", F.row_number().over(within)).unionByName(_in_parts(rows.join(full, ["shard", "bucket"])))
+    return numbered.join(F.broadcast(starts), ["shard", "bucket"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard"
     )
 
 
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Adds n, the number of a row in its (shard, bucket), where few rows are different but some are there very often.
+
+    Equal rows may be numbered in any order, so their salts divide them: parts are counted map-side,
+    the counts of the parts before are added, and each part is numbered by itself.
+    """
+    same = ["shard", "bucket", "doc_id", "text_crc32", "size", "salt"]
+    earlier = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*same).count().select(*[F.col(c).alias(f"__{c}") for c in same], F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("grown_shard")))
+    matched = F.lit(True)
+    for c in same:
+        matched &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return numbered.join(parts, matched).withColumn("n", F.col("n") + F.col("__before")).select(*rows.columns, "n")
+
+
 def oracle(n_shards: int = 40) -> str:
     """The same in DuckDB; crc32 is folded bytewise over its 256-entry table, built from the polynomial."""
     def winner(src: str, prefix: str, children: str, out: str) -> str:
@@ -137,5 +162,5 @@ crctab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE n = 8),
 sized AS (SELECT rid, doc_id, k, octet_length(encode(t)) + 16 AS size, encode(t) AS b, hex(encode(t)) AS h FROM d),
 crcs AS (SELECT rid, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM sized, crctab)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, a.shard::INT AS shard,
-       (row_number() OVER (PARTITION BY a.shard ORDER BY ('0x' || substr(md5('slot:' || k), 1, 2))::INT, doc_id NULLS FIRST, crc, size) - 1)::BIGINT AS slot, z.shard::INT AS grown_shard
+       (row_number() OVER (PARTITION BY a.shard ORDER BY ('0x' || substr(md5('slot:' || k || ':' || crc || ':' || size), 1, 2))::INT, doc_id NULLS FIRST, crc, size) - 1)::BIGINT AS slot, z.shard::INT AS grown_shard
 FROM sized JOIN crcs USING (rid) JOIN r3 a ON a.rid = sized.rid AND a.g = 0 JOIN r3 z ON z.rid = sized.rid AND z.g = 1"""

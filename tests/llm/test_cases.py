@@ -550,3 +550,20 @@ def test_sharding_and_simhash_of_large_ids(spark):
     got = sharding.shard_documents(docs).collect()
     assert {r["doc_id"] for r in got} == {*(2**62 + i for i in range(50)), None}
     assert {r["component_id"] for r in simhash.report(docs).collect()} == {2**62}
+
+
+# ------------------------------------------------------- shards
+
+
+def test_slots_of_very_many_equal_rows(spark, monkeypatch):
+    """Null ids with different texts spread; rows that are equal in everything are numbered in parts. Slots stay gapless and right."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "LARGE_BUCKET", 100)
+    docs = spark.range(30000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string"))).alias("text"))
+    got = sharding.shard_documents(docs).toPandas()
+    assert len(got) == 30000
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    same = got[got["doc_id"].isna() & (got["size"] == 20) & (got["text_crc32"] == __import__("zlib").crc32(b"same"))].sort_values("slot")["slot"].tolist()
+    assert len(same) >= 5000 and same == list(range(same[0], same[0] + len(same)))
