@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -31,16 +30,15 @@ def cmd_validate(spark, args) -> int:
     limits = load_yaml(args.config, Thresholds, "thresholds") if args.config else Thresholds()
     bars = csv.scan(spark, args.path)
     found = validate.all_issues(bars, limits, samples=validate.SAMPLES)
-    judged = validate.verdicts(bars, found)
+    reports = validate.reports(bars, found, csv.digests(spark, args.path)).persist()
     if args.out:
-        sinks.write_records(sinks.report_json(judged, found), args.out)
-    failed, issues = 0, defaultdict(list)
-    # A few rows a series, gathered once.
-    for r in found.collect():
-        issues[r["symbol"], r["interval"]].append(r.asDict())
-    for r in judged.orderBy("symbol", "interval").collect():
-        print(sinks.report_markdown(r.asDict(), issues[r["symbol"], r["interval"]]))
+        sinks.write_records(sinks.report_json(reports), args.out)
+    failed = 0
+    # A few rows a series.
+    for r in reports.orderBy("symbol", "interval").toLocalIterator():
+        print(sinks.report_markdown(r.asDict(recursive=True)))
         failed += r["verdict"] == "FAIL"
+    reports.unpersist()
     return 1 if failed else 0
 
 
@@ -80,12 +78,14 @@ def cmd_schema(spark, args) -> int:
 
 
 def cmd_sample(spark, args) -> int:
+    """Frozen examples: the chosen bars with their contexts, as scoring, regating and exporting read them."""
     params = load_yaml(args.config, EngineParams) if args.config else EngineParams()
     spec = sampler.SampleSpec(target_count=args.count, cutoff=args.cutoff, min_separation=params.ohlcv_window_bars)
-    bars = structure.structure(indicators.indicators(_gated(spark, args), params), params)
-    chosen = sampler.choose(sampler.candidates(bars, spec), spec)
+    scanned = csv.scan(spark, args.path)
+    bars = _gated(spark, args)
+    chosen = sampler.choose(sampler.candidates(structure.structure(indicators.indicators(bars, params), params), spec), spec)
     if args.out:
-        sinks.write_records(chosen, args.out)
+        sinks.write_records(sampler.examples(chosen, context.contexts(bars, chosen, params), scanned), args.out)
     print(json.dumps([r.asDict() for r in sampler.describe(chosen).collect()]))
     return 0
 

@@ -6,7 +6,7 @@ running the tail of this chain again with another GateSpec.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DATASET_SCHEMA_VERSION
@@ -68,11 +68,24 @@ def score(parsed: DataFrame, examples: DataFrame) -> DataFrame:
 
 def corpus(scored: DataFrame, spec: metrics.GateSpec = metrics.GateSpec(), val_start: str = "2024-01-01") -> DataFrame:
     """Adds the gate's verdict, the split and the corpus's schema version."""
-    return metrics.judge(scored, spec).withColumn("split", metrics.split(F.col("context.as_of"), val_start)).withColumn("dataset_schema_version", F.lit(DATASET_SCHEMA_VERSION))
+    return metrics.judge(scored, spec).withColumn("split", metrics.split(F.col("context.as_of"), val_start)).withColumns({"dataset_schema_version": F.lit(DATASET_SCHEMA_VERSION), "lineage": lineage(scored)})
+
+
+#: What a corpus row tells of how it came about.
+LINEAGE = ("model", "resolved_model", "served_by", "prompt_version", "prompt_hash", "structured_mode", "temperature", "engine_version", "context_schema_version", "params_fingerprint")
+
+
+def lineage(rows: DataFrame) -> Column:
+    """The lineage of scored rows: their own columns, and the versions and fingerprint that their contexts carry; null what they lack."""
+    c = F.col("context")
+    known = {"engine_version": c.engine_version, "context_schema_version": c.schema_version, "params_fingerprint": c.params_fingerprint}
+    of = lambda n: known[n] if n in known else F.col(n).cast("string") if n in rows.columns else F.lit(None).cast("string")
+    return F.struct(*[of(n).alias("teacher_model" if n == "model" else n) for n in LINEAGE])
 
 
 def pairs(rows: DataFrame, view: str, system: str, user_template: str) -> DataFrame:
-    """Chat pairs of the accepted rows in a view: example_id, split, view, messages, tokens."""
+    """Chat pairs of the accepted rows in a view: example_id, split, view, messages, lineage, tokens."""
+    rows = rows if "lineage" in rows.columns else rows.withColumn("lineage", lineage(rows))
     shown = views.view(rows.filter("accepted"), view).withColumn("messages", views.messages(system, user_template))
     chars = F.aggregate("messages", F.lit(0), lambda n, m: n + F.length(m.content))
-    return shown.select("example_id", "split", "view", "messages", views.token_estimate(chars).alias("tokens"))
+    return shown.select("example_id", "split", "view", "messages", "lineage", views.token_estimate(chars).alias("tokens"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import SERIES, business_days, series_window
+from ..functions.scalar import SERIES, business_days, series_window, stamp
 from ..params import CALENDAR_INTERVALS, INTERVAL_SECONDS, Thresholds
 
 REQUIRED = ("ts", "open", "high", "low", "close", "volume")
@@ -244,6 +244,47 @@ def verdicts(bars: DataFrame, found: DataFrame) -> DataFrame:
     return every.withColumn("verdict", F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
 
 
+#: The checks in the order of a report.
+TEN = ("required_columns", "dtypes", "missing_values", "chronological_order", "duplicates", "timezone_consistency", "ohlc_relationships", "value_domains", "missing_candles", "abnormal_gaps")
+
+
+def dataset_facts(bars: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """facts of every series, and what its file tells: source, sha256, columns, declared interval and time zone; null where bars don't come from files.
+
+    digests: file and sha256, one row a file.
+    """
+    scanned = {"file", "raw_datetime"} <= set(bars.columns)
+    rows = contracted(bars)
+    zone = F.nullif(F.regexp_extract("raw_datetime", OFFSET, 1), F.lit("")) if scanned else F.lit(None).cast("string")
+    dated = F.col("raw_datetime").isNotNull() if scanned else F.lit(False)
+    told = rows.groupBy(*SERIES).agg(
+        (F.min("file") if scanned else F.min(F.lit(None).cast("string"))).alias("source"),
+        F.min("columns").alias("columns"),
+        F.count_distinct(F.when(dated, zone)).alias("__zones"),
+        F.max(F.when(dated, zone)).alias("__zone"),
+        F.coalesce(F.bool_or(dated & zone.isNull()), F.lit(False)).alias("__naive"),
+    )
+    told = told.withColumn("timezone", F.when((F.col("__zones") > 1) | ((F.col("__zones") == 1) & F.col("__naive")), "MIXED").otherwise(F.col("__zone"))).drop("__zones", "__zone", "__naive")
+    sums = digests.select(F.col("file").alias("__file"), "sha256") if digests is not None else None
+    told = told.join(sums, F.col("source") == F.col("__file"), "left").drop("__file") if sums is not None else told.withColumn("sha256", F.lit(None).cast("string"))
+    fields = ("source", "sha256", "rows", "columns", "first_timestamp", "last_timestamp", "declared_interval", "inferred_interval_seconds", "timezone")
+    out = facts(bars).join(told, list(SERIES)).withColumns({"first_timestamp": stamp(F.col("first_ts")), "last_timestamp": stamp(F.col("last_ts")), "declared_interval": F.col("interval"), "inferred_interval_seconds": F.col("inferred")})
+    return out.select(*SERIES, F.struct(*fields).alias("dataset"))
+
+
+def reports(bars: DataFrame, found: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """One row for each series: errors, warnings, verdict, dataset, checks (all TEN, with or without issues) and issues."""
+    keys = list(SERIES)
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("count"))), F.lit(0)).cast("long")
+    told = [c for c in ("check", "code", "severity", "field", "count", "samples") if c in found.columns]
+    by_check = found.groupBy(*keys, "check").agg(of(ERROR).alias("errors"), of(WARNING).alias("warnings"), F.collect_list(F.struct(*told)).alias("issues"))
+    listed = by_check.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("check", F.struct("errors", "warnings")))).alias("__by"), F.sort_array(F.flatten(F.collect_list("issues"))).alias("issues"))
+    at = lambda c, n: F.coalesce(F.element_at("__by", c)[n], F.lit(0).cast("long"))
+    checks = F.array(*[F.struct(F.lit(c).alias("check"), (at(c, "errors") == 0).alias("passed"), at(c, "errors").alias("errors"), at(c, "warnings").alias("warnings")) for c in TEN])
+    out = verdicts(bars, found).join(dataset_facts(bars, digests), keys).join(listed, keys, "left")
+    return out.select(*keys, "errors", "warnings", "verdict", "dataset", checks.alias("checks"), F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType)).alias("issues"))
+
+
 def gate(bars: DataFrame, judged: DataFrame) -> DataFrame:
     """The bars of series that didn't fail."""
     return bars.join(judged.filter("verdict <> 'FAIL'").select(*SERIES), list(SERIES), "left_semi")

@@ -147,12 +147,35 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM v_judged LEFT JOIN (SELECT symbol, count(*) AS issues, sum(n) AS found FROM v_issues GROUP BY symbol) USING (symbol)"""))
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all series as JSON files, read back."""
-    bars, path = validation.both(spark, sf_dir), scratch_path(spark, "reports")
-    found = v.all_issues(bars, samples=10)
-    sinks.report_json(v.verdicts(bars, found), found).select("report").write.text(path)
-    reports = records.read_records(spark, path, "symbol string, verdict string, issues array<struct<count:bigint>>")
-    of = F.coalesce("issues", F.array().cast("array<struct<count:bigint>>"))
-    return reports.select("symbol", "verdict", F.size(of).cast("long").alias("issues"), F.aggregate(of, F.lit(0).cast("long"), lambda n, i: n + i["count"]).alias("found"))
+    reports = _reports(spark, validation.both(spark, sf_dir))
+    return reports.select("symbol", "verdict", F.size("issues").cast("long").alias("issues"), F.aggregate("issues", F.lit(0).cast("long"), lambda n, i: n + i["count"]).alias("found"))
+
+
+def _reports(spark: SparkSession, bars: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """The reports of bars after a way through JSON files."""
+    made, path = v.reports(bars, v.all_issues(bars, samples=10), digests), scratch_path(spark, "reports")
+    sinks.report_json(made).select("report").write.text(path)
+    return records.read_records(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema))
+
+
+@query(sql(f"""SELECT symbol, c AS "check", coalesce(errors, 0)::BIGINT AS errors, coalesce(warnings, 0)::BIGINT AS warnings, coalesce(errors, 0) = 0 AS passed
+    FROM (SELECT DISTINCT symbol FROM allbars), (SELECT unnest([{", ".join(f"'{c}'" for c in v.TEN)}]) AS c)
+    LEFT JOIN (SELECT symbol AS s, chk, sum(n) FILTER (WHERE severity = 'ERROR') AS errors, sum(n) FILTER (WHERE severity = 'WARNING') AS warnings FROM v_issues GROUP BY ALL) ON s = symbol AND chk = c"""))
+def report_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten checks of the reports of scanned files, those that found nothing included."""
+    reports = _reports(spark, _scanned(spark, validation.both(spark, sf_dir), "+00:00"))
+    return reports.select("symbol", F.explode("checks").alias("c")).select("symbol", "c.check", "c.errors", "c.warnings", "c.passed")
+
+
+@query(f"""SELECT symbol, rows, first_ts, last_ts, inferred, '1h' AS declared, '+00:00' AS timezone, 'datetime,open,high,low,close,volume' AS columns, true AS digested FROM ({validation.REGISTRY["v_facts"][1]})""")
+def report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reports of scanned files tell of these: their digest is that of the file's bytes."""
+    bars, path = validation.both(spark, sf_dir), scratch_path(spark, "candles")
+    sinks.write_series(bars.select(*SERIES, "pos", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("datetime"), *csv.COLUMNS[1:]), path)
+    digests = csv.digests(spark, path)
+    d = F.col("dataset")
+    rows = _reports(spark, csv.scan(spark, path), digests).join(digests.select(F.col("file").alias("source"), F.col("sha256").alias("own")), d.source == F.col("source"), "left")
+    return rows.select("symbol", d.rows.alias("rows"), d.first_timestamp.alias("first_ts"), d.last_timestamp.alias("last_ts"), d.inferred_interval_seconds.alias("inferred"), d.declared_interval.alias("declared"), d.timezone.alias("timezone"), F.array_join(d.columns, ",").alias("columns"), F.coalesce(d.sha256 == F.col("own"), F.lit(False)).alias("digested"))
 
 
 @query(corpus.REGISTRY["model_summary"][1])

@@ -89,7 +89,7 @@ def timezones(rows: DataFrame) -> DataFrame:
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """file, sha256 and length of every file."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def lineage(spark: SparkSession, path: str) -> DataFrame:

@@ -56,22 +56,25 @@ def write_screen(screened: DataFrame, path: str) -> None:
     screened.orderBy(F.desc("score")).coalesce(1).write.option("header", True).csv(path)
 
 
-def report_json(verdicts: DataFrame, issues: DataFrame) -> DataFrame:
-    """One JSON report for each series: its verdict and its issues."""
-    keys = ["symbol", "interval"]
-    told = [c for c in ("check", "code", "severity", "field", "count", "samples") if c in issues.columns]
-    listed = issues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*told))).alias("issues"))
-    return verdicts.join(listed, keys, "left").select(*keys, F.to_json(F.struct(*verdicts.columns, "issues")).alias("report"))
+def report_json(reports: DataFrame) -> DataFrame:
+    """One JSON report for each series: verdict, dataset, the ten checks and the issues."""
+    return reports.select(*SERIES, F.to_json(F.struct(*reports.columns)).alias("report"))
 
 
-def report_markdown(verdict: dict, issues: list[dict]) -> str:
+def _table(header: str, rows: list[tuple]) -> list[str]:
+    return [f"| {header.replace(',', ' |')} |", "|-" * (header.count(",") + 1) + "|", *("| " + " | ".join(str(x) for x in r) + " |" for r in rows), ""]
+
+
+def report_markdown(report: dict) -> str:
     """A report for people, of one series."""
-    lines = [f"# {verdict['symbol']} {verdict['interval']}: {verdict['verdict']}", "", f"{verdict['errors']} errors, {verdict['warnings']} warnings", ""]
+    issues, shown = report["issues"], lambda i, c: ", ".join(str(x[c]) for x in i.get("samples") or () if x.get(c) is not None)
+    lines = [f"# {report['symbol']} {report['interval']}: {report['verdict']}", "", f"{report['errors']} errors, {report['warnings']} warnings. Nothing was changed or repaired.", "", "## Dataset", ""]
+    lines += _table("fact,value", [(k, ", ".join(v) if isinstance(v, list) else "-" if v is None else v) for k, v in report["dataset"].items()])
+    lines += ["## Checks", "", *_table("check,result,errors,warnings", [(c["check"], "PASS" if c["passed"] else "FAIL", c["errors"], c["warnings"]) for c in report["checks"]])]
     if issues:
-        lines += ["| check | code | field | severity | count | first rows |", "|-|-|-|-|-|-|"]
-        shown = lambda i: ", ".join(str(x["pos"]) for x in i.get("samples") or ())
-        lines += [f"| {i['check']} | {i['code']} | {i['field'] or ''} | {i['severity']} | {i['count']} | {shown(i)} |" for i in sorted(issues, key=lambda i: (i["severity"], i["check"], i["code"], i["field"] or ""))]
-    return "\n".join(lines) + "\n"
+        rows = sorted(issues, key=lambda i: (i["severity"], i["check"], i["code"], i["field"] or ""))
+        lines += ["## Findings", "", *_table("check,code,field,severity,count,first rows,first times", [(i["check"], i["code"], i["field"] or "", i["severity"], i["count"], shown(i, "pos"), shown(i, "ts")) for i in rows])]
+    return "\n".join(lines).rstrip("\n") + "\n"
 
 
 def recommendation_markdown(ranked: list[dict]) -> str:

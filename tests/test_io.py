@@ -271,6 +271,8 @@ def test_corpus_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["export", kept, "--out", str(tmp_path / "pairs"), "--prompts", str(tmp_path / "prompts")]) == 0
     pairs = {json.loads(line)["view"]: json.loads(line)["pairs"] for line in capsys.readouterr().out.strip().splitlines()}
     assert pairs == {"full": 36, "tail": 36, "compact": 16}
+    told = spark.read.json(str(tmp_path / "pairs")).select("lineage.*").distinct().collect()
+    assert {(r["teacher_model"], r["engine_version"], r["params_fingerprint"]) for r in told} == {(r["teacher_model"], "1.0.0", FAST.fingerprint()) for r in told} and all(r["teacher_model"] for r in told)
 
 
 def test_views_of_full_windows(spark):
@@ -382,3 +384,41 @@ def test_context_command_on_a_mixed_folder(spark, tmp_path, capsys):
     (tmp_path / "fast.yaml").write_text("ema_periods: [5, 20, 50]\n")
     sampled = told("--count", "3", "--config", str(tmp_path / "fast.yaml"))
     assert [c["bar_index"] for c in sampled if c["interval"] == "1d"] == [50, 66, 82]  # from the longest average on
+
+
+def test_reports_tell_facts_and_all_checks(spark, tmp_path, capsys, monkeypatch):
+    """The report of a file has its facts, its digest and a row for each of the ten checks, in JSON and for people."""
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    rows = clean_daily(40)
+    rows[5][7] = None
+    write(tmp_path / "raw", "A B_1d.csv", [",".join([r[3].isoformat() + "+05:30", *("" if x is None else str(x) for x in r[4:])]) for r in rows])
+    assert cli.main(["validate", str(tmp_path / "raw"), "--out", str(tmp_path / "out")]) == 1
+    shown = capsys.readouterr().out
+    report = json.loads(spark.read.json(str(tmp_path / "out")).first()["report"])
+    facts = report["dataset"]
+    import hashlib
+
+    assert facts["sha256"] == hashlib.sha256((tmp_path / "raw" / "A B_1d.csv").read_bytes()).hexdigest()
+    assert (facts["rows"], facts["declared_interval"], facts["inferred_interval_seconds"], facts["timezone"]) == (40, "1d", 86400, "+05:30")
+    assert facts["columns"][0] == "datetime" and facts["first_timestamp"] == "2023-12-31 18:30:00"
+    assert [c["check"] for c in report["checks"]] == list(validate.TEN)
+    assert [c["check"] for c in report["checks"] if not c["passed"]] == ["missing_values"]
+    assert f"| sha256 | {facts['sha256']} |" in shown and "| missing_values | FAIL | 1 | 0 |" in shown and "| abnormal_gaps | PASS | 0 |" in shown
+    assert "| missing_values | NULL_VALUE | close | ERROR | 1 | 5 | 2024-01-07 18:30:00 |" in shown
+
+
+def test_frozen_examples_have_their_contexts(spark, tmp_path, capsys, monkeypatch):
+    """What the sample command writes is what the chosen bars' contexts are, and can be scored against."""
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    rows = clean_daily(400)
+    write(tmp_path / "raw", "CLEAN_1d.csv", [",".join([r[3].isoformat() + "+00:00", *map(str, r[4:])]) for r in rows])
+    assert cli.main(["sample", str(tmp_path / "raw"), "--count", "2", "--cutoff", "2026-01-01", "--out", str(tmp_path / "examples")]) == 0
+    kind = cli._context_type(spark)
+    got = spark.read.schema(f"example_id string, symbol string, interval string, source_file string, bar_index int, as_of string, stratum string, context {kind}").json(str(tmp_path / "examples")).collect()
+    bars = csv.scan(spark, str(tmp_path / "raw")).drop("file", *csv.FILE_FACTS)
+    whole = {r["pos"]: r["context"] for r in contexts(bars, bars.filter(F.col("pos").isin([r["bar_index"] for r in got])).select("symbol", "interval", "pos")).collect()}
+    assert len(got) == 2 and all(r["bar_index"] >= 250 for r in got)
+    for r in got:
+        assert r["example_id"] == f"CLEAN_1d#{r['bar_index']}" and r["source_file"].endswith("CLEAN_1d.csv") and r["as_of"] == r["context"]["as_of"]
+        assert r["stratum"] == f"{r['context']['structure']['trend']}|{r['context']['volatility']['regime']}"
+        assert r["context"].asDict(recursive=True) == whole[r["bar_index"]].asDict(recursive=True)
