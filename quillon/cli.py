@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import functions as F
 
 from .operators import context, indicators, metrics, sampler, screen, structure, summary, teacher, validate, views
-from .params import EngineParams, Thresholds, load_yaml
+from .params import EngineParams, Thresholds, load_sectors, load_yaml
 from .session import session
 from .sources import csv, records, sinks, tables
 
@@ -45,6 +45,8 @@ def cmd_validate(spark, args) -> int:
 def cmd_screen(spark, args) -> int:
     bars = indicators.indicators(tables.numbered(_bars(spark, args.path).filter(F.col("close").isNotNull()), "pos"))
     ranked = screen.buckets(screen.measure(bars), args.min_turnover)
+    if args.candidates:
+        ranked = screen.with_sectors(ranked, spark.createDataFrame(load_sectors(args.candidates), "symbol string, sector string"))
     if args.out:
         sinks.write_screen(ranked, args.out)
     ranked.filter("bucket = 'clean'").orderBy(F.desc("score")).show(args.top, truncate=False)
@@ -162,6 +164,7 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("path")
             p.add_argument("--out")
         p.add_argument("--config")
+        p.add_argument("--candidates")
         p.add_argument("--allow-failed", action="store_true")
         p.add_argument("--count", type=int, default=200 if name == "sample" else 20)
         p.add_argument("--bar", type=int)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import SERIES, business_days, series_window, stamp
+from ..functions.scalar import SERIES, business_days, iso8601, series_window, stamp
 from ..params import CALENDAR_INTERVALS, INTERVAL_SECONDS, Thresholds
 
 REQUIRED = ("ts", "open", "high", "low", "close", "volume")
@@ -290,8 +290,24 @@ def gate(bars: DataFrame, judged: DataFrame) -> DataFrame:
     return bars.join(judged.filter("verdict <> 'FAIL'").select(*SERIES), list(SERIES), "left_semi")
 
 
-def drop_unclosed_tail(bars: DataFrame) -> DataFrame:
-    """Without the last bar of each series if a price of it is missing; no other bar is touched."""
+def _unclosed(bars: DataFrame) -> DataFrame:
     last = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("pos"))) == 1
     open_ = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
-    return bars.withColumn("__drop", last & open_).filter(~F.col("__drop")).drop("__drop")
+    return bars.withColumn("__drop", last & open_)
+
+
+def drop_unclosed_tail(bars: DataFrame) -> DataFrame:
+    """Without the last bar of each series if a price of it is missing; no other bar is touched."""
+    return _unclosed(bars).filter(~F.col("__drop")).drop("__drop")
+
+
+def lineage_records(bars: DataFrame, source: str, schema_version: str = "1.0.0") -> DataFrame:
+    """What the record beside a series' file tells once its unclosed tail is dropped: rows, first and last time, and the time of the bar that was dropped, if one was."""
+    kept = ~F.col("__drop")
+    told = _unclosed(bars).groupBy(*SERIES).agg(
+        F.count_if(kept).alias("rows"),
+        iso8601(F.min(F.when(kept, F.col("ts")))).alias("first_timestamp"),
+        iso8601(F.max(F.when(kept, F.col("ts")))).alias("last_timestamp"),
+        iso8601(F.max(F.when(~kept, F.col("ts")))).alias("dropped_unclosed_tail"),
+    )
+    return told.select(F.lit(schema_version).alias("schema_version"), F.lit(source).alias("source"), *told.columns, F.lit("UTC").alias("storage_timezone"))

@@ -129,6 +129,17 @@ def unclosed_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar(v.drop_unclosed_tail(bars.withColumn("symbol", F.concat("symbol", F.lit("#"), F.floor(F.col("pos") / 7).cast("string")))))
 
 
+@query(sql("""SELECT symbol, "interval", count(*) FILTER (WHERE NOT gone)::BIGINT AS rows, strftime(max(ts) FILTER (WHERE NOT gone), '%Y-%m-%dT%H:%M:%S+00:00') AS last_timestamp, strftime(max(ts) FILTER (WHERE gone), '%Y-%m-%dT%H:%M:%S+00:00') AS dropped
+    FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) = 1 AND close IS NULL AS gone FROM months) GROUP BY ALL""",
+    months="""SELECT symbol || '#' || pos // 70 AS symbol, '1h' AS "interval", pos, ts, CASE WHEN pos % 7 <> 3 AND pos % 140 <> 69 THEN close END AS close FROM bars_1h"""))
+def unclosed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time of a dropped tail, and the rows that are left, through the record beside each series."""
+    bars = tables.bars_1h(spark, sf_dir).withColumn("close", F.when((F.col("pos") % 7 != 3) & (F.col("pos") % 140 != 69), F.col("close")))
+    path = scratch_path(spark, "lineage")
+    sinks.write_lineage(v.lineage_records(bars.withColumn("symbol", F.concat("symbol", F.lit("#"), F.floor(F.col("pos") / 70).cast("string"))), "events"), path)
+    return csv.lineage(spark, path).select("symbol", "interval", "rows", "last_timestamp", F.col("dropped_unclosed_tail").alias("dropped"))
+
+
 @query(sql(r"""SELECT o_orderkey::BIGINT AS id, stem, regexp_extract(stem, '^(.*)_([^_]*)$', 1) AS symbol, regexp_extract(stem, '^(.*)_([^_]*)$', 2) AS "interval", 'plain' || o_orderkey AS bare_symbol, '1d' AS bare_interval FROM stems""",
     stems="""SELECT o_orderkey, translate(replace(CASE o_orderkey % 4 WHEN 0 THEN '^N' || o_orderkey WHEN 1 THEN 'INR' || o_orderkey || '=X' WHEN 2 THEN 'M&M/' || o_orderkey || '.NS' ELSE 'BRK_' || o_orderkey END, '^', 'IDX_'), '=/.&', '____')
         || '_' || CASE o_orderkey % 3 WHEN 0 THEN '1d' WHEN 1 THEN '1h' ELSE '15m' END AS stem FROM orders"""))

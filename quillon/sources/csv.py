@@ -94,7 +94,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def lineage(spark: SparkSession, path: str) -> DataFrame:
     """The sidecar records beside the files; broken ones give no row."""
-    schema = "schema_version string, source string, symbol string, interval string, period string, storage_timezone string, rows bigint, dropped_unclosed_tail string, sha256 string, _corrupt_record string"
+    schema = "schema_version string, source string, symbol string, interval string, period string, storage_timezone string, rows bigint, first_timestamp string, last_timestamp string, dropped_unclosed_tail string, sha256 string, _corrupt_record string"
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(path)
     return raw.select(stem(F.col("_metadata.file_path")).alias("stem"), "*").filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 

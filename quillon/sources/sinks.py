@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions.scalar import SERIES
+from .csv import safe_stem
 
 #: The benchmark table's columns, in order.
 SUMMARY_COLUMNS = (
@@ -26,6 +27,12 @@ def write_series(bars: DataFrame, path: str) -> None:
     bars.repartition(*SERIES).sortWithinPartitions(*SERIES, "pos").drop("pos").write.mode("errorifexists").partitionBy(*SERIES).option("header", True).csv(path)
 
 
+def write_lineage(records: DataFrame, path: str) -> None:
+    """The record of each series as a JSON file of its own; what is there already is never overwritten."""
+    rows = records.select(safe_stem(F.col("symbol"), F.col("interval")).alias("of"), F.to_json(F.struct(*records.columns)).alias("value"))
+    rows.repartition("of").write.mode("errorifexists").partitionBy("of").text(path)
+
+
 def write_records(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 

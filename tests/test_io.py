@@ -422,3 +422,16 @@ def test_frozen_examples_have_their_contexts(spark, tmp_path, capsys, monkeypatc
         assert r["example_id"] == f"CLEAN_1d#{r['bar_index']}" and r["source_file"].endswith("CLEAN_1d.csv") and r["as_of"] == r["context"]["as_of"]
         assert r["stratum"] == f"{r['context']['structure']['trend']}|{r['context']['volatility']['regime']}"
         assert r["context"].asDict(recursive=True) == whole[r["bar_index"]].asDict(recursive=True)
+
+
+def test_screen_with_candidates(spark, tmp_path, monkeypatch):
+    """Sectors come from the candidates file; a symbol without one, and bars without a close, are screened as well."""
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    for symbol in ("AAA", "BBB"):
+        rows = clean_daily(120)
+        rows[50][7] = None
+        write(tmp_path / "raw", f"{symbol}_1d.csv", [",".join([r[3].isoformat() + "+00:00", *("" if x is None else str(x) for x in r[4:])]) for r in rows])
+    (tmp_path / "universe.yaml").write_text("candidates:\n  Energy: [AAA, CCC]\n  Metals: [AAA]\n  Empty:\n")
+    assert cli.main(["screen", str(tmp_path / "raw"), "--candidates", str(tmp_path / "universe.yaml"), "--out", str(tmp_path / "screen")]) == 0
+    got = spark.read.option("header", True).csv(str(tmp_path / "screen")).collect()
+    assert {(r["symbol"], r["sector"]) for r in got} == {("AAA", "Energy"), ("BBB", None)}
