@@ -241,7 +241,11 @@ def verdicts(bars: DataFrame, found: DataFrame) -> DataFrame:
     of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("count"))), F.lit(0)).cast("long")
     sums = found.groupBy(*SERIES).agg(of(ERROR).alias("errors"), of(WARNING).alias("warnings"))
     every = bars.select(*SERIES).distinct().join(sums, list(SERIES), "left").na.fill(0, ["errors", "warnings"])
-    return every.withColumn("verdict", F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS"))
+    return every.withColumn("verdict", _verdict())
+
+
+def _verdict() -> Column:
+    return F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
 
 
 #: The checks in the order of a report.
@@ -281,8 +285,10 @@ def reports(bars: DataFrame, found: DataFrame, digests: DataFrame | None = None)
     listed = by_check.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("check", F.struct("errors", "warnings")))).alias("__by"), F.sort_array(F.flatten(F.collect_list("issues"))).alias("issues"))
     at = lambda c, n: F.coalesce(F.element_at("__by", c)[n], F.lit(0).cast("long"))
     checks = F.array(*[F.struct(F.lit(c).alias("check"), (at(c, "errors") == 0).alias("passed"), at(c, "errors").alias("errors"), at(c, "warnings").alias("warnings")) for c in TEN])
-    out = verdicts(bars, found).join(dataset_facts(bars, digests), keys).join(listed, keys, "left")
-    return out.select(*keys, "errors", "warnings", "verdict", "dataset", checks.alias("checks"), F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType)).alias("issues"))
+    out = dataset_facts(bars, digests).join(listed, keys, "left").withColumn("checks", checks)
+    total = lambda n: F.aggregate("checks", F.lit(0).cast("long"), lambda sum_, c: sum_ + c[n])
+    out = out.withColumns({"errors": total("errors"), "warnings": total("warnings"), "issues": F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType))})
+    return out.select(*keys, "errors", "warnings", _verdict().alias("verdict"), "dataset", "checks", "issues")
 
 
 def gate(bars: DataFrame, judged: DataFrame) -> DataFrame:
