@@ -311,3 +311,28 @@ def answer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary of a nested type, a line for each field."""
     return _numbered(spark, sinks.data_dictionary(StructType.fromDDL("evidence array<struct<statement:string,context_field:string,value:string>>"), {"evidence": "what is cited"}))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS rows, count(DISTINCT event_id)::BIGINT AS ids, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into a checkpoint that stops between a batch and its commit, and is started again: no row is lost or comes twice."""
+    from ..streaming import checkpoint
+
+    path, state = scratch_path(spark, "records"), scratch_path(spark, "stream")
+    events = tables.table(spark, sf_dir, "events")
+
+    def stopped(session: SparkSession, at: str, batch_id: int) -> None:
+        raise InterruptedError(f"stopped before the commit of batch {batch_id}")
+
+    def run(write) -> None:
+        stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
+        stream.select("event_id", "event_type", "value").writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    try:
+        run(checkpoint.append_once(path, stopped))
+    except Exception as error:
+        if "stopped before the commit" not in str(error):
+            raise
+    run(checkpoint.append_once(path))
+    rows = checkpoint.committed(spark, path, "event_id bigint, event_type string, value double")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))

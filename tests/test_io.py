@@ -435,3 +435,46 @@ def test_screen_with_candidates(spark, tmp_path, monkeypatch):
     assert cli.main(["screen", str(tmp_path / "raw"), "--candidates", str(tmp_path / "universe.yaml"), "--out", str(tmp_path / "screen")]) == 0
     got = spark.read.option("header", True).csv(str(tmp_path / "screen")).collect()
     assert {(r["symbol"], r["sector"]) for r in got} == {("AAA", "Energy"), ("BBB", None)}
+
+
+def test_stream_checkpoint_is_exactly_once(spark, tmp_path):
+    """Files come in one batch each; the stream stops before a commit, within one, and after one, and starts again each time."""
+    from quillon.streaming import checkpoint
+
+    path, state = str(tmp_path / "records"), str(tmp_path / "state")
+    read = lambda: sorted(r["i"] for r in checkpoint.committed(spark, path, "i bigint").collect())
+    assert read() == []
+    calls = []
+
+    def failing(at):
+        def commit(session, where, batch_id):
+            calls.append(batch_id)
+            if at == "after":
+                checkpoint.commit(session, where, batch_id)
+            raise InterruptedError("stopped")
+
+        return commit
+
+    def run(committed_by=checkpoint.commit):
+        stream = spark.readStream.schema("i bigint").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        started = stream.writeStream.foreachBatch(checkpoint.append_once(path, committed_by)).option("checkpointLocation", state).trigger(availableNow=True).start()
+        started.awaitTermination()
+
+    def add(name, *values):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join(json.dumps({"i": v}) + "\n" for v in values))
+
+    add("a.json", 1, 2)
+    with pytest.raises(Exception, match="stopped"):
+        run(failing("before"))
+    assert read() == []  # written, but not committed
+    add("b.json", 3)
+    run()
+    assert read() == [1, 2, 3]
+    add("c.json", 4, 4)
+    with pytest.raises(Exception, match="stopped"):
+        run(failing("after"))
+    run()
+    assert read() == [1, 2, 3, 4, 4] and calls == [0, 2]
+    run()
+    assert read() == [1, 2, 3, 4, 4]
