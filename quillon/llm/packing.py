@@ -1,16 +1,15 @@
 """Best-fit packing by the configuration linear program.
 
 Documents become token pieces in one pass over the texts. All that the driver sees is the histogram
-of piece lengths (2048 numbers). Lengths, short ones included, are grouped into classes of like
-volume, each as large as its longest; the configuration program over the classes (one variable for
-each way to fill a sequence) is solved by multiplicative weights: an unbounded-knapsack dynamic
-program prices the best pattern, the classes it covers get cheaper, and so on until all are covered.
-Real lengths are dealt to the patterns, rounded down, the last slot of each making up for what the
-others fall short; what is left over goes best-fit decreasing into the room that is left. Several
-parts of the amounts are tried, down to none, and the fewest sequences win, so that the result never
-has more than best-fit decreasing. The outcome is a table of rank intervals for each length, of a
-size that doesn't depend on the number of documents; pieces are ranked within (length, salt) cells
-and find their sequence by a broadcast range join.
+of piece lengths (2048 numbers). The configuration program over these lengths (one variable for each
+way to fill a sequence) is solved by multiplicative weights: an unbounded-knapsack dynamic program
+prices patterns, the lengths they cover get cheaper, and so on until all are covered; the prices
+also give a lower bound, which tells when the amounts are good enough. The amounts are rounded by
+carrying fractions on from pattern to like pattern and dealt; what is left over goes best-fit
+decreasing into the room that is left. Several parts of the amounts are tried, down to none, and the
+fewest sequences win, so that the result never has more than best-fit decreasing. The outcome is a
+table of rank intervals for each length, of a size that doesn't depend on the number of documents;
+pieces are ranked within (length, salt) cells and find their sequence by a broadcast range join.
 
 Defined cases: a null or empty text is one piece with the end id alone; equal rows are packed each;
 a null id is an id; an empty table gives no rows; other columns are ignored.
@@ -43,11 +42,13 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 CACHED_WORDS = 300_000
 #: Pieces of one length that a task ranks: a CELLS-th of all, within these limits.
 CELLS, CELL_ROWS = 1024, (1_000, 250_000)
-#: Classes of the linear program, its pricing rounds at most, the part of a class's demand that a
-#: round covers at most, and the exponent of the weights.
-CLASSES, ROUNDS, STEP, ETA = 64, 1500, 0.1, 24.0
-#: Parts of a pattern's amount that are dealt, rounded down; the rest closes gaps. They are tried in turn.
-PARTS = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.0)
+#: Passes and rounds of the program at most, the part of a length's demand that a round covers, the
+#: exponent of the weights, how far below the best a pattern may be, and how near the bound is near enough.
+PASSES, ROUNDS, STEP, ETA, SLACK, GAP = 4, 300, 0.1, 1.0, 0.02, 0.01
+#: Stairs of the simple prices, and the least price a length has, as part of its share of the capacity.
+STAIRS, TINY = 8, 1e-6
+#: Parts of the program's amounts that are dealt; best-fit does the rest. They are tried in turn.
+PARTS = (1.0, 0.98, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.4, 0.2, 0.0)
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -114,59 +115,109 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ca
     return map_frames(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, PIECES)
 
 
-def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of most value (class -> copies) by the unbounded-knapsack dynamic program."""
-    order = np.argsort(sizes, kind="stable")
-    s, v = sizes[order], values[order]
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(s, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], choice[c] = best[c - 1], -2
-        if k := upto[c]:
-            gain = best[c - s[:k]] + v[:k]
-            j = int(gain.argmax())
-            if gain[j] > best[c]:
-                best[c], choice[c] = gain[j], j
-    out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0 and choice[c] != -1:
-        if choice[c] == -2:
-            c -= 1
-        else:
-            out[int(order[choice[c]])] += 1
-            c -= int(s[choice[c]])
-    return dict(out)
-
-
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, eta: float = ETA) -> list[tuple[dict[int, int], float]]:
-    """Patterns and amounts that cover the demand: the configuration program by multiplicative weights.
-
-    The weight of a class falls exponentially with the share of its demand that is covered; classes
-    that are covered leave the pricing. A round covers at most ``step`` of a class, or one whole
-    piece where that is more.
+def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The most value that fits into each room from 0 to capacity, by the unbounded-knapsack dynamic program. sizes: ascending."""
+    worth = np.full(capacity + 1, -np.inf)
+    worth[sizes] = values
+    best, least, most = np.zeros(capacity + 1), int(sizes[0]), int(sizes[-1])
+    for c in range(least, capacity + 1):
+        k = min(c, most)
+        best[c] = max(best[c - 1], (best[c - k : c - least + 1][::-1] + worth[least : k + 1]).max())
+    return best
+
+
+def start_prices(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The best bound among a few simple prices, and these prices: a length's share of the capacity, or that share in steps
+    of 1/k (a share that lies on a step stays as it is, since k + 1 such pieces fill a sequence).
+
+    Prices under which no pattern is worth more than 1 are a dual solution, so the worth of the demand
+    is a lower bound; the knapsack program tells what to divide by.
+    """
+    share, found = sizes / capacity, []
+    for k in range(STAIRS + 1):
+        prices = np.where((k + 1) * sizes % capacity, (k + 1) * sizes // capacity / k, share) if k else share
+        prices = prices + TINY * share
+        prices = prices / price(sizes, prices, capacity)[capacity]
+        found.append((float(demand @ prices), -k, prices))
+    bound, _, prices = max(found, key=lambda x: x[:2])
+    return bound, prices
+
+
+def _cover(sizes: np.ndarray, demand: np.ndarray, capacity: int, start: np.ndarray) -> tuple[dict[tuple[int, ...], float], float, np.ndarray, bool]:
+    """One pass of multiplicative weights: patterns (lengths, descending) and amounts, the best bound met, the mean prices, whether all is covered.
+
+    A length's price falls exponentially with the share of its demand that is covered. A round runs
+    the knapsack program once and reads many patterns off its table: from each length on, whatever
+    keeps the pattern within SLACK of the best, of the lengths that this round may still cover (STEP
+    of their demand). Covered lengths leave the pricing.
     """
-    covered, amounts, patterns = np.zeros(len(sizes)), defaultdict(float), {}
-    for _ in range(rounds):
-        open_ = np.flatnonzero(covered < 1 - 1e-9)
+    n, least, most = len(sizes), int(sizes[0]), int(sizes[-1])
+    covered, amounts, bound, mean, open_ = np.zeros(n), defaultdict(float), 0.0, np.zeros(n), np.arange(n)
+    at = np.full(capacity + 1, -1)
+    at[sizes] = np.arange(n)
+    least_amount = 1e-9 * demand
+    for _ in range(ROUNDS):
+        open_ = np.flatnonzero(covered < 1 - 1e-6)
         if not len(open_):
             break
-        weight = np.exp(-eta * (covered[open_] - covered[open_].min()) / len(sizes) ** 0.5)
-        pattern = {int(open_[j]): a for j, a in price(sizes[open_], sizes[open_] / capacity * weight, capacity).items()}
-        amount = min(max(step * demand[j], 1.0) / a for j, a in pattern.items())
-        amount = max(amount, 1.0)
-        for j, a in pattern.items():
-            covered[j] += amount * a / demand[j]
-        key = tuple(sorted(pattern.items()))
-        patterns[key] = pattern
-        amounts[key] += amount
-    return [(patterns[k], x) for k, x in amounts.items()]
+        prices = np.zeros(n)
+        prices[open_] = start[open_] * np.exp(-ETA * (covered[open_] - covered[open_].min()))
+        best = price(sizes[open_], prices[open_], capacity)
+        prices, best = prices / best[capacity], best / best[capacity]
+        bound, mean = max(bound, float(demand @ prices)), mean + prices
+        room = np.where(covered < 1 - 1e-6, demand * np.minimum(STEP, 1 - covered), 0.0)
+        worth = np.full(capacity + 1, -np.inf)
+        usable = room > least_amount
+        worth[sizes[usable]] = prices[usable]
+        for first in open_[np.argsort(-(prices[open_] + best[capacity - sizes[open_]]), kind="stable")].tolist():
+            while room[first] > least_amount[first]:
+                pattern, value, c = {first: 1}, prices[first], capacity - int(sizes[first])
+                while c >= least:
+                    k = min(c, most)
+                    ahead = best[c - k : c - least + 1][::-1] + worth[least : k + 1]
+                    j = int(ahead.argmax())
+                    if value + ahead[j] < 1 - SLACK:
+                        break
+                    i = int(at[least + j])
+                    pattern[i] = pattern.get(i, 0) + 1
+                    value += prices[i]
+                    c -= least + j
+                if value < 1 - SLACK:
+                    break
+                amount = min(room[i] / a for i, a in pattern.items())
+                for i, a in pattern.items():
+                    room[i] -= amount * a
+                    covered[i] += amount * a / demand[i]
+                    if room[i] <= least_amount[i]:
+                        worth[sizes[i]] = -np.inf
+                amounts[tuple(int(sizes[i]) for i in sorted(pattern, reverse=True) for _ in range(pattern[i]))] += amount
+    return amounts, bound, mean / max(mean.max(), 1e-300), not (covered < 1 - 1e-6).any()
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """Patterns and amounts that cover the demand, and a lower bound: the configuration program by multiplicative weights.
+
+    Every length counts as itself. A pass starts from the mean prices of the one before; passes end
+    when the amounts come within GAP of the bound. The pass of the least amount is taken.
+    """
+    bound, prices = start_prices(sizes, demand, capacity)
+    least, taken = np.inf, {}
+    for _ in range(PASSES):
+        amounts, met, mean, whole = _cover(sizes, demand, capacity, prices)
+        bound = max(bound, met)
+        if (value := sum(amounts.values())) < least and whole or not taken:
+            least, taken = value if whole else np.inf, amounts
+        if least <= (1 + GAP) * bound:
+            break
+        prices = np.maximum(mean, TINY * sizes / capacity)
+    return taken, bound
 
 
 class _Plan:
     """Runs of equal sequences. A run: its count, its pieces [(length, copies)] in order, its room."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.rooms, self.by_room = capacity, [], defaultdict(list)
+        self.capacity, self.rooms, self.by_room, self.dealt = capacity, [], defaultdict(list), 0
 
     def put(self, count: int, pieces: list[tuple[int, int]]) -> None:
         room = self.capacity - sum(n * a for n, a in pieces)
@@ -215,77 +266,81 @@ class _Plan:
         return sum(count for runs in self.by_room.values() for count, _ in runs)
 
 
-def _deal(left: dict[int, int], classes: list[list[int]], slots: list[int], capacity: int) -> tuple[int, list[tuple[int, int]]]:
-    """One sequence of a pattern in real lengths, and how often what is left allows it; (0, []) if a class is used up.
+class _Left:
+    """What is left of each length, and the longest that is left up to a length."""
+
+    def __init__(self, lengths: dict[int, int]):
+        self.count, self.down = dict(lengths), list(range(max(lengths) + 1))
+
+    def longest(self, n: int) -> int:
+        """The longest length up to n of which some is left; 0 without one."""
+        n, path = min(n, len(self.down) - 1), []
+        while n > 0 and (self.down[n] != n or not self.count.get(n)):
+            path.append(n)
+            n = self.down[n] if self.down[n] != n else n - 1
+        for m in path:
+            self.down[m] = n
+        return n
 
-    Each slot gets the longest that is left of its class. The last slot of several gets the longest
-    that fits into the room the others leave, which is of its class or longer: real lengths are
-    shorter than their class's size, and this slot makes up for that.
+
+def _deal(left: _Left, pattern: tuple[int, ...], capacity: int) -> tuple[int, list[tuple[int, int]]]:
+    """One sequence of a pattern, and how often what is left allows it; (0, []) if nothing is left for it.
+
+    A length of which none is left is replaced by the longest below it; the last place gets the
+    longest that fits into the room the others leave.
     """
     need: dict[int, int] = defaultdict(int)
-    room, free = capacity, lambda n: left[n] - need.get(n, 0)
-    for j in slots:
-        n = next((n for n in classes[j] if free(n)), None)
-        if n is None:
-            return 0, []
-        need[n] += 1
-        room -= n
-    if len(slots) > 1:
-        last = n
-        n = next(n for n in range(last + room, last - 1, -1) if n == last or n in left and free(n))
-        need[last] -= 1
-        need[n] += 1
+    room = capacity
+    for i, wanted in enumerate(pattern):
+        n = left.longest(room if i == len(pattern) - 1 else min(wanted, room))
+        while n and left.count[n] == need[n]:
+            n = left.longest(n - 1)
+        if n:
+            need[n] += 1
+            room -= n
     pieces = sorted(((n, a) for n, a in need.items() if a), reverse=True)
-    return min(left[n] // a for n, a in pieces), pieces
-
-
-def _classes(lengths: dict[int, int], most: int) -> list[list[int]]:
-    """The lengths, from the longest down, in classes of like volume; each length its own where that is few enough."""
-    longest_first = sorted(lengths, reverse=True)
-    if len(longest_first) <= most:
-        return [[n] for n in longest_first]
-    each, out, total = sum(n * c for n, c in lengths.items()) / most, [[]], 0
-    for n in longest_first:
-        if out[-1] and total + n * lengths[n] > each:
-            out.append([])
-            total = 0
-        out[-1].append(n)
-        total += n * lengths[n]
-    return out
+    return min((left.count[n] // a for n, a in pieces), default=0), pieces
 
 
-def _rounded(lengths: dict[int, int], patterns: list[tuple[list[int], float]], classes: list[list[int]], part: float, capacity: int) -> _Plan:
-    """``part`` of every pattern's amount, rounded down and dealt; what is left goes best-fit decreasing."""
-    out, left = _Plan(capacity), dict(lengths)
-    for slots, amount in patterns:
-        count = math.floor(amount * part + 1e-9)
+def _rounded(lengths: dict[int, int], patterns: list[tuple[tuple[int, ...], float]], part: float, capacity: int) -> _Plan:
+    """``part`` of every pattern's amount is dealt, fractions carried on to the next, like pattern; what is left goes best-fit decreasing."""
+    out, left, carried = _Plan(capacity), _Left(lengths), 0.5
+    for pattern, amount in patterns:
+        carried += amount * part
+        count = math.floor(carried)
+        carried -= count
         while count:
-            run, pieces = _deal(left, classes, slots, capacity)
+            run, pieces = _deal(left, pattern, capacity)
             if not (run := min(run, count)):
                 break
             for n, a in pieces:
-                left[n] -= run * a
+                left.count[n] -= run * a
             out.put(run, pieces)
+            out.dealt += run * sum(a for _, a in pieces)
             count -= run
-    for n in sorted(left, reverse=True):
-        out.fit(n, left[n])
+    for n in sorted(left.count, reverse=True):
+        out.fit(n, left.count[n])
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rank intervals that pack a histogram of lengths; every (length, rank) has exactly one place.
+def rounded(histogram: dict[int, int], capacity: int = CAPACITY) -> _Plan:
+    """The packing of a histogram of lengths, but for full pieces.
 
     The program is rounded at each of PARTS, and the rounding with the fewest sequences is taken, of
     equals the one that deals most. The last part is 0: never more sequences than best-fit decreasing.
     """
     lengths = {n: c for n, c in histogram.items() if 0 < n < capacity and c}
-    best = _Plan(capacity)
-    if lengths:
-        classes = _classes(lengths, CLASSES)
-        sizes, demand = np.array([c[0] for c in classes]), np.array([float(sum(lengths[n] for n in c)) for c in classes])
-        solved = sorted(solve(sizes, demand, capacity), key=lambda x: (-x[1], sorted(x[0].items())))
-        patterns = [(sorted(j for j, a in pattern.items() for _ in range(a)), amount) for pattern, amount in solved]
-        best = min((_rounded(lengths, patterns, classes, part, capacity) for part in PARTS), key=_Plan.sequences)
+    if not lengths:
+        return _Plan(capacity)
+    sizes = np.array(sorted(lengths))
+    amounts, _ = solve(sizes, np.array([float(lengths[n]) for n in sizes.tolist()]), capacity)
+    patterns = sorted(amounts.items(), reverse=True)
+    return min((_rounded(lengths, patterns, part, capacity) for part in PARTS), key=_Plan.sequences)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """Rank intervals that pack a histogram of lengths; every (length, rank) has exactly one place."""
+    best = rounded(histogram, capacity)
     if full := histogram.get(capacity):
         best.put(full, [(capacity, 1)])
     return best.intervals()

@@ -80,6 +80,33 @@ def test_plan_is_near_the_bound():
     assert sequences <= 1.003 * lengths.sum() / 2048 + 1
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "wide", "narrow", "humps", "thirds"])
+def test_program_comes_within_a_hundredth_of_its_bound(kind):
+    rng = np.random.default_rng(7)
+    drawn = {
+        "lognormal": rng.lognormal(6, 0.8, 20000),
+        "wide": rng.integers(400, 1301, 20000),
+        "narrow": rng.integers(600, 761, 20000),
+        "humps": np.concatenate((rng.normal(1100, 60, 10000), rng.normal(500, 80, 10000))),
+        "thirds": np.concatenate((rng.normal(690, 20, 8000), rng.normal(1050, 30, 4000))),
+    }[kind]
+    histogram = Counter(np.clip(drawn.astype(int), 1, 2047).tolist())
+    sizes = np.array(sorted(histogram))
+    demand = np.array([histogram[n] for n in sizes.tolist()], dtype=float)
+    amounts, bound = packing.solve(sizes, demand, 2048)
+    assert all(sum(p) <= 2048 for p in amounts)
+    given_, value = Counter(), sum(amounts.values())
+    for pattern, amount in amounts.items():
+        for n in pattern:
+            given_[n] += amount
+    assert all(given_[n] >= (1 - 1e-5) * histogram[n] for n in histogram)
+    assert max(bound, demand @ sizes / 2048) * (1 - 1e-5) <= value <= 1.01 * bound
+    packed = packing.rounded(histogram)
+    assert bound - 1e-6 <= packed.sequences() <= 1.01 * bound + 1
+    if kind in ("lognormal", "wide", "narrow"):
+        assert packed.dealt >= 0.8 * sum(histogram.values())
+
+
 def test_packing_of_awkward_rows(spark):
     docs = spark.createDataFrame(awkward(), DOCS)
     encode = packing.encoder()
