@@ -5,7 +5,9 @@ windows' hashes go into a table of bits, some BITS_PER_KEY for each, which every
 constant; it is filled by an aggregation, and ends at MOST_BITS whatever the benchmark's size (beyond
 that more positions become candidates, and are verified). Documents are scanned in place: a position whose first words and whose whole window hit bits
 becomes a candidate, and only candidates leave the row. They are verified by an equi-join on the
-window's words, then counted by document. Everything is built-in expressions.
+window's words, then counted by document. A window is known by the class of all windows of the same
+items, so hits and documents carry keys of fixed size and never lists of items; items are listed once
+for each distinct set of classes that documents have. Everything is built-in expressions.
 
 Defined cases: a null or empty text has no words, no hits and isn't contaminated; null items and
 items without words give no windows; the windows of an item without an id count, the item doesn't; items or rows that repeat count each once or each by itself;
@@ -33,11 +35,16 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """gram, n (its words), words, items (the sorted ids, as strings, of the items that have it)."""
+    """gram, n (its words), words, items (the sorted ids, as strings, of the items that have it), class (of equal items)."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).filter(F.size("w") > 0)
     items = items.select("item", "w", F.least(F.size("w"), F.lit(window)).alias("n"))
     grams = items.select("item", "n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i")).select("item", "n", F.expr("slice(w, i, n)").alias("words"))
-    return grams.groupBy("words", "n").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("gram", F.array_join("words", " "))
+    return grams.groupBy("words", "n").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("gram", F.array_join("words", " ")).withColumn("class", _class(F.col("items")))
+
+
+def _class(names: Column) -> Column:
+    """One string for a sorted list of strings; their lengths keep lists apart whatever the strings hold."""
+    return F.sha2(F.array_join(F.transform(names, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ","), 256)
 
 
 def table_bits(keys: int) -> int:
@@ -61,7 +68,7 @@ def _set(table: Column, h: Column, bits: int) -> Column:
 
 
 def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, items (sorted ids): a row for each row of docs. windows: a written table."""
+    """doc_id, text_hash, n_words, n_hit, classes (sorted, of the windows hit): a row for each row of docs. windows: a written table."""
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())
     keys = windows.select(F.xxhash64("words").alias("h")).union(windows.filter("n > 1").select(F.expr("xxhash64(words[0], words[1])").alias("h"))).union(windows.filter("n = 1").select(F.expr("xxhash64(words[0])").alias("h")))
     n_windows = windows.count()
@@ -92,21 +99,39 @@ def document_hits(docs: DataFrame, windows: DataFrame, text: str = "text", doc_i
     none = F.struct(F.size(words).cast("long").alias("n_words"), F.array().cast("array<struct<i:int,k:int,g:string>>").alias("hits"))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), (let(table, lambda bits: let(words, lambda w: candidates(w, bits))) if lengths else none).alias("c"))
     spread = rows.select("rid", "doc_id", "text_hash", "c.n_words", F.explode_outer("c.hits").alias("hit"))
-    known = windows.select(F.col("gram"), F.col("items"))
+    known = windows.select("gram", "class")
     if n_windows <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     found = spread.join(known, F.col("hit.g") == F.col("gram"), "left")
     mark = F.when(F.col("gram").isNotNull(), F.struct(F.col("hit.i").alias("i"), F.col("hit.k").alias("k")))
-    by_row = found.groupBy("rid", "doc_id", "text_hash", "n_words").agg(F.collect_list(mark).alias("spans"), F.collect_set("items").alias("items"))
+    by_row = found.groupBy("rid", "doc_id", "text_hash", "n_words").agg(F.collect_list(mark).alias("spans"), F.collect_set("class").alias("classes"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(F.sort_array("spans"), zero, lambda a, s: F.struct((a.n + F.greatest(s.i + s.k - F.greatest(s.i, a.end), F.lit(0))).alias("n"), F.greatest(a.end, s.i + s.k).alias("end")), lambda a: a.n)
-    return by_row.select("doc_id", "text_hash", "n_words", covered.cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
+    return by_row.select("doc_id", "text_hash", "n_words", covered.cast("long").alias("n_hit"), F.sort_array("classes").alias("classes"))
+
+
+def item_sets(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """set, items: the sorted items of every distinct, non-empty set of classes among hits. Both are written tables."""
+    sets = hits.filter(F.size("classes") > 0).select(_class(F.col("classes")).alias("set"), "classes").groupBy("set").agg(F.first("classes").alias("classes"))
+    classes = windows.groupBy("class").agg(F.first("items").alias("items"))
+    items = sets.select("set", F.explode("classes").alias("class")).join(classes, "class").select("set", F.explode_outer("items").alias("item"))
+    return items.groupBy("set").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    hits = document_hits(docs, written(benchmark_windows(benchmark, window), "windows"))
-    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    windows = written(benchmark_windows(benchmark, window), "windows")
+    hits = written(document_hits(docs, windows), "hits")
+    sets = item_sets(hits, windows).select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    sets = written(sets, "item_sets")
+    if sets.count() <= BROADCAST_WINDOWS:
+        sets = F.broadcast(sets)
+    own = F.when(F.size("classes") > 0, _class(F.col("classes"))).alias("set")
+    counts = [F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256")]
+    # Rows without a hit have no set, and a null key is never shuffled to meet one.
+    rows = hits.select("doc_id", "n_words", "n_hit", own)
+    found = rows.filter("set IS NOT NULL").join(sets, "set", "left").unionByName(rows.filter("set IS NULL"), allowMissingColumns=True)
+    return found.select("doc_id", "n_words", "n_hit", *counts, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -104,3 +104,18 @@ def test_hosts_are_shrunk(spark):
     kept = {r["doc_id"]: r["kept"] for r in judge_documents(docs).collect()}
     assert not kept[0] and not kept[1] and kept[1000] and kept[5001] and not kept[5000]
     assert {r["doc_id"] for r in keep_documents(docs).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_items_of_a_shared_window_are_listed_once_a_set(spark, fixture_dir):
+    from quillon.llm import decontamination
+    from quillon.llm.common import written
+
+    shared, other = " ".join(f"s{i}" for i in range(10)), " ".join(f"o{i}" for i in range(10))
+    items = [(i, f"{shared} x{i}") for i in range(3000)] + [(5000, other), (5001, f"{other} {shared}")]
+    docs = [(i, f"before {shared} after", "en", "s", 1) for i in range(40)] + [(50, other, "en", "s", 1), (51, f"{other} y {shared}", "en", "s", 1), (52, "clean", "en", "s", 1)]
+    folder = fixture_dir(documents=(DOCS, docs), benchmark=(ITEMS, items), pages=(PAGES, []), conversations=(TURNS, []))
+    assert_same(q.queries()[SQL[0]](spark, folder), q.oracle_sql()[SQL[0]], folder)
+    windows = written(decontamination.benchmark_windows(spark.createDataFrame(items, ITEMS)), "windows")
+    hits = written(decontamination.document_hits(spark.createDataFrame(docs, DOCS), windows), "hits")
+    assert {r["doc_id"]: len(r["classes"]) for r in hits.collect()} == {**dict.fromkeys(range(40), 1), 50: 1, 51: 2, 52: 0}
+    assert sorted(len(r["items"]) for r in decontamination.item_sets(hits, windows).collect()) == [2, 3001, 3002]
