@@ -9,6 +9,7 @@ numbers gives the state before each block, and all blocks then fill in their bar
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,14 +189,36 @@ def windowed(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFram
     )
 
 
-def atr_percentile(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
-    """Adds atr_pct and its average-rank percentile among the trailing window."""
+def trailing_ranks(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """The average rank of each value among the known ones of its trailing window, as a share; NaN where it is missing or fewer than ``least`` are known.
+
+    The window is kept sorted: a value goes in and one goes out by bisection, so a wide window costs little more than a narrow one.
+    """
+    out, held, values = np.full(len(x), np.nan), [], x.tolist()
+    for i, v in enumerate(values):
+        if i >= window and (gone := values[i - window]) == gone:
+            del held[bisect_left(held, gone)]
+        if v == v:
+            insort(held, v)
+            if len(held) >= least:
+                out[i] = (bisect_left(held, v) + bisect_right(held, v) + 1) / 2 / len(held)
+    return out
+
+
+def atr_percentile(bars: DataFrame, params: EngineParams = EngineParams(), block_bars: int = BLOCK_BARS) -> DataFrame:
+    """Adds atr_pct and its average-rank percentile among the trailing window; a task holds a block of a series and the window before it."""
+    window = params.atr_percentile_window
     bars = bars.withColumn("atr_pct", ratio(F.col("atr"), F.col("close")))
-    seen = F.collect_list("atr_pct").over(trailing(params.atr_percentile_window))
-    below = F.size(F.filter("__seen", lambda v: v < F.col("atr_pct")))
-    same = F.size(F.filter("__seen", lambda v: v == F.col("atr_pct")))
-    ranked = (below + (same + 1) / 2) / F.size("__seen")
-    return bars.withColumn("__seen", seen).withColumn("atr_percentile", F.when(F.col("atr_pct").isNotNull() & (F.size("__seen") >= params.atr_percentile_min_periods), ranked)).drop("__seen")
+    names = bars.columns
+
+    def rank(own: pa.Table) -> pa.Table:
+        own = own.sort_by("pos")
+        ranks = trailing_ranks(own["atr_pct"].to_numpy(), window, params.atr_percentile_min_periods)
+        out = own.append_column("atr_percentile", pa.array(ranks, pa.float64(), from_pandas=True))
+        return out.slice(int(np.count_nonzero(own["__halo"].to_numpy()))).select([*names, "atr_percentile"])
+
+    blocks = _with_halo(bars, max(block_bars, window), window)
+    return blocks.groupBy(*_BLOCK).applyInArrow(rank, StructType([*bars.schema.fields, StructField("atr_percentile", DoubleType())]))
 
 
 def classify_volatility(p) -> Column:
@@ -208,5 +231,5 @@ def classify_trend_regime(er, params: EngineParams = EngineParams()) -> Column:
 
 def indicators(bars: DataFrame, params: EngineParams = EngineParams()) -> DataFrame:
     """All indicators and the two regime labels."""
-    out = atr_percentile(windowed(recursions(bars, params), params), params)
+    out = windowed(atr_percentile(recursions(bars, params), params), params)
     return out.withColumn("vol_regime", classify_volatility(F.col("atr_percentile"))).withColumn("trend_regime", classify_trend_regime(F.col("efficiency"), params))

@@ -12,6 +12,8 @@ from ..operators.validate import OFFSET
 COLUMNS = ("datetime", "open", "high", "low", "close", "volume")
 #: What a scan tells of a row's file and texts, besides the candle: the gate reads it.
 FILE_FACTS = ("columns", "unparsed", "raw_datetime")
+#: Lines of a record at most; lines numbered by one task; blocks of files whose counts are broadcast, else they are shuffled.
+RECORD_LINES, RANGE_LINES, BROADCAST_BLOCKS = 1_000, 1_000_000, 100_000
 #: A comma and the field after it, which may be quoted.
 _FIELD = r',(?:"[^"]*(?:""[^"]*)*"|[^,]*)'
 
@@ -52,21 +54,68 @@ def fields(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(0)), plain)
 
 
+def _blocks(lines: DataFrame) -> DataFrame:
+    """Of each block of a file: its first row number, the records and the open quotes before it, whether quotes of the file go over lines and all close, and the file's first line."""
+    own = lines.groupBy("file", "__block").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"), F.sum("__odd").alias("__odds"), F.min_by("value", "__row").alias("__line"))
+    # As many rows as a file has blocks.
+    w = Window.partitionBy("file").orderBy("__block")
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
+    so_far, odds = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)), F.sum("__odds").over(whole)
+    return own.select("file", "__block", "__first", so_far("__n").alias("__base"), (so_far("__odds") % 2).alias("__open"), ((odds > 0) & (odds % 2 == 0)).alias("__quoted"), F.first("__line").over(w).alias("__header"))
+
+
+def _joined(lines: DataFrame) -> DataFrame:
+    """The records of files whose quoted fields have line breaks: file, __at (of its first line), __header, value and pos.
+
+    Lines are looked at by block, records by their first line. One of more than RECORD_LINES lines is
+    no record, and its lines are records each, as are all lines of a file with a quote that never closes.
+    """
+    here = Window.partitionBy("file", "__block").orderBy("__at")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    inside = (F.col("__open") + F.coalesce(F.sum("__odd").over(before), F.lit(0))) % 2 == 1
+    lines = lines.select("file", "__block", "__at", "__header", "value", inside.alias("__inside"))
+    lines = lines.withColumn("__start", F.max(F.when(~F.col("__inside"), F.col("__at"))).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    last = lines.groupBy("file", "__block").agg(F.max("__start").alias("__last"))
+    carried = last.select("file", "__block", F.last("__last", ignorenulls=True).over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    lines = lines.join(carried, ["file", "__block"]).withColumn("__start", F.coalesce("__start", "__carried", F.lit(0)))
+    long = lines.groupBy("file", "__start").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > RECORD_LINES).select("file", "__start", F.lit(True).alias("__apart"))
+    lines = lines.join(long, ["file", "__start"], "left").withColumn("__start", F.when(F.col("__apart"), F.col("__at")).otherwise(F.col("__start")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "value"))), lambda x: x["value"]), "\n")
+    records = lines.groupBy("file", F.col("__start").alias("__at")).agg(F.first("__header").alias("__header"), text.alias("value"))
+    # Records are numbered in ranges of their first lines, then ranges by their counts.
+    records = records.withColumn("__range", F.floor(F.col("__at") / RANGE_LINES))
+    order = Window.partitionBy("file").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = records.groupBy("file", "__range").count().select("file", "__range", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("__base"))
+    within = F.row_number().over(Window.partitionBy("file", "__range").orderBy("__at"))
+    return records.withColumn("__n", within).join(starts, ["file", "__range"]).select("file", "__header", "value", (F.col("__base") + F.col("__n") - 2).alias("pos"))
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """symbol, interval, pos (file row), ts, prices, volume and FILE_FACTS of every row of every CSV under path.
 
     Columns are found by the names in each file's own header, in any order: those that a file lacks
     are null, others are left out, and ``columns`` has all names for the gate to judge. What doesn't
     parse becomes null, and ``unparsed`` names its column. Symbol and interval come from folders
-    symbol=... and interval=..., where there are such, else from the file's name. The order of rows in a file is kept as
-    pos: blocks of a file in order, rows of a block in reading order. Blank lines are skipped.
+    symbol=... and interval=..., where there are such, else from the file's name. The header is a
+    file's first line. Blank lines are skipped, also within quotes; a quoted field may go over lines.
+
+    A file is read by many tasks, each a range of its bytes. A first pass counts the lines and open
+    quotes of each range, and pos is the count before a line's range and its place there: the second
+    pass gives it without a shuffle, unless a file has quoted line breaks.
     """
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    file = F.col("_metadata.file_path")
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value", (quotes % 2).alias("__odd"))
+    blocks = _blocks(lines)
+    # A file has at most one block that isn't as large as a task's input.
+    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    lines = lines.join(blocks, ["file", "__block"]).withColumn("__at", F.col("__base") + F.col("__row") - F.col("__first"))
+    rows = lines.filter(~F.col("__quoted")).select("file", "__header", "value", (F.col("__at") - 1).alias("pos"))
+    rows = rows.union(_joined(lines.filter("__quoted"))).filter("pos >= 0").withColumn("pos", F.col("pos").cast("int"))
+    file = F.col("file")
     symbol, interval = F.coalesce(_folder(file, "symbol"), symbol_of(stem(file))), F.coalesce(_folder(file, "interval"), interval_of(stem(file)))
-    lines = lines.select(file.alias("file"), symbol.alias("symbol"), interval.alias("interval"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
-    order = Window.partitionBy("file").orderBy("__block", "__row")
-    rows = lines.withColumn("pos", F.row_number().over(order) - 2).withColumn("__header", F.first("value").over(order)).filter("pos >= 0")
+    rows = rows.select("*", symbol.alias("symbol"), interval.alias("interval"))
     header = F.transform(fields(F.replace(F.col("__header"), F.lit("\ufeff"), F.lit(""))), lambda x: F.lower(F.trim(x)))
     rows = rows.select("file", "symbol", "interval", "pos", header.alias("columns"), fields(F.col("value")).alias("__fields"))
     at = lambda c: F.array_position("columns", c).cast("int")

@@ -8,6 +8,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,22 @@ def test_recursions_in_blocks(spark):
             np.testing.assert_allclose(own[column].astype(float), values, rtol=1e-9, err_msg=f"{name} {column}")
 
 
+@pytest.mark.parametrize("block", [1, 50, 1 << 16])
+def test_ranks_in_blocks(spark, block):
+    """The trailing rank of every bar, with ties, unknown values and blocks shorter than a series, is what pandas gives."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(230) < 0.1, np.nan, rng.integers(1, 12, 230).astype(float))
+    frame = pd.DataFrame({"symbol": "S", "interval": "1d", "pos": np.arange(230), "atr": x, "close": 2.0, "extra": "e"})
+    bars = spark.createDataFrame(frame).withColumn("atr", F.nanvl("atr", F.lit(None)))
+    got = ind.atr_percentile(bars, FAST, block).orderBy("pos").collect()
+    half = pd.Series(x / 2)
+    expected = half.rolling(30, min_periods=10).apply(lambda w: pd.Series(w).rank(pct=True).iloc[-1], raw=False)
+    assert len(got) == 230 and got[0]["extra"] == "e"
+    for r, y, v in zip(got, expected, half, strict=True):
+        assert (r["atr_percentile"] is None and (y != y or v != v)) or abs(r["atr_percentile"] - y) < 1e-12
+    assert ind.atr_percentile(bars.limit(0), FAST).count() == 0
+
+
 def test_intervals_of_a_symbol_stay_apart(spark):
     """Hourly, daily, monthly and minute series of one symbol give what each gives alone."""
     start, rows = dt.datetime(2024, 1, 1), []

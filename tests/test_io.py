@@ -45,6 +45,46 @@ def test_scan_reports_and_never_repairs(spark, tmp_path):
     assert digest["C_1d.csv"] == hashlib.sha256((folder / "C_1d.csv").read_bytes()).hexdigest()
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_scan_by_ranges_of_bytes(spark, tmp_path, monkeypatch, small):
+    """Positions are the file's order, records go over lines and borders of ranges, and a quote that never closes joins nothing."""
+    import csv as plain_csv
+    import io
+
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    head = "note," + HEAD
+    line = lambda i, note="": f'{note},2024-01-01T00:00:00+00:00,{i},2,0.5,1.5,10'
+    notes = {7: '"two\nlines"', 40: '"a ""b"", and\n\nthen\nc"', 41: '"x\ny"', 200: '"' + "far\n" * 30 + '"'}
+    files = {
+        "PLAIN_1d.csv": "\n" + head + "".join(line(i) + "\n\n" * (i % 5 == 0) + "\n" for i in range(300)),
+        "BREAKS_1d.csv": head + "".join(line(i, notes.get(i, "")) + "\n" for i in range(400)),
+        "OPEN_1d.csv": head + "".join(line(i, '5"' if i == 9 else "") + "\n" for i in range(50)),
+        "LONG_1d.csv": head + "".join(line(i, '"' if i in (3, 40) else "") + "\n" for i in range(60)),
+    }
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    monkeypatch.setattr(csv, "RECORD_LINES", 33)
+    monkeypatch.setattr(csv, "RANGE_LINES", 64)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700" if small else "128MB")
+    try:
+        got = {r["symbol"]: r["rows"] for r in csv.scan(spark, str(folder)).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("pos", "open"))).alias("rows")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for symbol in ("PLAIN", "BREAKS"):
+        expected = [float(r[2]) for r in list(filter(None, plain_csv.reader(io.StringIO(files[f"{symbol}_1d.csv"]))))[1:]]
+        assert [tuple(r) for r in got[symbol]] == list(enumerate(expected))
+    assert [r["pos"] for r in got["OPEN"]] == list(range(50)) and [r["open"] for r in got["OPEN"] if r["pos"] != 9] == [i for i in range(50) if i != 9]
+    assert [r["pos"] for r in got["LONG"]] == list(range(60)) and sum(r["open"] is None for r in got["LONG"]) <= 2
+
+
+def test_scan_of_files_without_rows(spark, tmp_path):
+    folder = tmp_path / "raw"
+    write(folder, "A_1d.csv", [])
+    (folder / "B_1d.csv").write_text("")
+    assert csv.scan(spark, str(folder)).count() == 0
+
+
 def test_names(spark):
     row = spark.range(1).select(csv.safe_stem(F.lit("^NSE.X=F&G"), F.lit("1d")).alias("s"), csv.symbol_of(F.lit("plain")).alias("p"), csv.interval_of(F.lit("plain")).alias("i")).first()
     assert tuple(row) == ("IDX_NSE_X_F_G_1d", "plain", "1d")
