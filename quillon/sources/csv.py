@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +55,16 @@ def fields(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(0)), plain)
 
 
+def _reader(spark: SparkSession) -> DataFrameReader:
+    """A reader whose ranges of a file are the same at each pass: in a session of its own, since else they go by the cores there are at the time."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own.read
+
+
 def _blocks(lines: DataFrame) -> DataFrame:
     """Of each block of a file: its first row number, the records and the open quotes before it, whether quotes of the file go over lines and all close, and the file's first line."""
     own = lines.groupBy("file", "__block").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"), F.sum("__odd").alias("__odds"), F.min_by("value", "__row").alias("__line"))
@@ -99,20 +110,20 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     symbol=... and interval=..., where there are such, else from the file's name. The header is a
     file's first line. Blank lines are skipped, also within quotes; a quoted field may go over lines.
 
-    A file is read by many tasks, each a range of its bytes. A first pass counts the lines and open
-    quotes of each range, and pos is the count before a line's range and its place there: the second
-    pass gives it without a shuffle, unless a file has quoted line breaks.
+    A file is read by many tasks, each a range of its bytes. A first pass, made here, counts the lines
+    and open quotes of each range, and pos is the count before a line's range and its place there:
+    the second pass gives it without a shuffle, unless files have quoted line breaks.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = _reader(spark).text(path).filter(F.trim("value") != "")
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value", (quotes % 2).alias("__odd"))
-    blocks = _blocks(lines)
-    # A file has at most one block that isn't as large as a task's input.
-    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    lines = lines.join(blocks, ["file", "__block"]).withColumn("__at", F.col("__base") + F.col("__row") - F.col("__first"))
-    rows = lines.filter(~F.col("__quoted")).select("file", "__header", "value", (F.col("__at") - 1).alias("pos"))
-    rows = rows.union(_joined(lines.filter("__quoted"))).filter("pos >= 0").withColumn("pos", F.col("pos").cast("int"))
+    blocks = _blocks(lines).persist(StorageLevel.DISK_ONLY)
+    n, broken = blocks.agg(F.count(F.lit(1)), F.coalesce(F.bool_or("__quoted"), F.lit(False))).first()
+    lines = lines.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, ["file", "__block"]).withColumn("__at", F.col("__base") + F.col("__row") - F.col("__first"))
+    rows = (lines.filter(~F.col("__quoted")) if broken else lines).select("file", "__header", "value", (F.col("__at") - 1).alias("pos"))
+    if broken:
+        rows = rows.union(_joined(lines.filter("__quoted")))
+    rows = rows.filter("pos >= 0").withColumn("pos", F.col("pos").cast("int"))
     file = F.col("file")
     symbol, interval = F.coalesce(_folder(file, "symbol"), symbol_of(stem(file))), F.coalesce(_folder(file, "interval"), interval_of(stem(file)))
     rows = rows.select("*", symbol.alias("symbol"), interval.alias("interval"))
